@@ -173,9 +173,11 @@ def _answer(batches):
         ask = new & several
         keep = full | ask
         doc, context, full = doc[keep], context[keep], full[keep]
+        if not len(doc):
+            continue
         order = np.argsort(doc, kind="stable")
         doc, context, full = doc[order], context[order], full[order]
-        edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+        edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
         out = [(int(doc[i]), context[i:j][full[i:j]].tobytes(), context[i:j][~full[i:j]].tobytes()) for i, j in zip(edges, np.append(edges[1:], len(doc)), strict=True)]
         yield _batch(out, ("doc_id", "full", "ask"), (pa.int64(), pa.binary(), pa.binary()))
 
