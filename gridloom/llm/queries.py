@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, packing, quality, simhash, suffix_dedup, toxicity
+from . import decontaminate, exact_dedup, html_text, language_id, packing, quality, simhash, suffix_dedup, toxicity, warc
 from .common import crc_mod, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -21,12 +21,21 @@ def held_out(n: int, rest: int):
     return F.coalesce(crc_mod("doc_id", n) == rest, F.lit(False)).alias("held_out")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive(table(spark, sf_dir, "pages"), records_per_file=2000)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.train(docs.join(labels.where(crc_mod("doc_id", 5) != 0), "doc_id"), limit=2000)
     return toxicity.score(docs, model).select("doc_id", held_out(5, 0), "score", "predicted")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), window=4096, end_id=2)
     return packed.drop("ids")
@@ -63,7 +72,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
+    "op3_html": op3_html,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op6_suffix_dedup": op6_suffix_dedup,
@@ -74,6 +85,16 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        k AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS kept FROM p)
+        SELECT page_id, payload_bytes,
+               list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST((CAST('0x' || substr(hex, 10 * (i // 8) + 1, 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS BIGINT) + 1, 1) FOR i IN range(32)],
+                   'string_agg', '') AS payload_digest,
+               CASE WHEN page_id < kept THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < kept THEN kept END AS refers_to
+        FROM k""",
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
                    FROM documents)
