@@ -67,16 +67,30 @@ def near_tiles(radius: int) -> list[tuple[int, ...]]:
     return [s for s in steps if sum(map(abs, s)) <= radius and s >= (0,) * PARTS]
 
 
-def forest(left: np.ndarray, right: np.ndarray, radius: int, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links between two blocks of fingerprints."""
+def linked(left: np.ndarray, right: np.ndarray, radius: int, cells: int = 1 << 20):
+    """Places (i, j) of the fingerprints of two blocks within ``radius`` bits, some rows of the left at a time.  A
+    fingerprint is a row of 64-bit words; the words after the second are looked at only where the first two leave a
+    chance."""
+    step = max(1, cells // max(1, len(right)))
+    for k in range(0, len(left), step):
+        some = left[k : k + step]
+        apart = np.bitwise_count(some[:, None, 0] ^ right[None, :, 0])
+        if left.shape[1] > 1:
+            apart = apart + np.bitwise_count(some[:, None, 1] ^ right[None, :, 1])
+        i, j = np.nonzero(apart <= radius)
+        if left.shape[1] > 2 and len(i):
+            near = np.bitwise_count(some[i] ^ right[j]).sum(1) <= radius
+            i, j = i[near], j[near]
+        yield k + i, j
+
+
+def forest(left: np.ndarray, right: np.ndarray, pairs) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the links between two blocks of nodes; ``pairs`` gives places of linked nodes."""
     nodes = np.unique(np.concatenate([left, right]))
     at_left, at_right = np.searchsorted(nodes, left), np.searchsorted(nodes, right)
     label = np.arange(len(nodes))
-    lx, rx = left.view(np.uint64), right.view(np.uint64)
-    step = max(1, cells // max(1, len(right)))
-    for k in range(0, len(left), step):
-        i, j = np.nonzero(np.bitwise_count(lx[k : k + step, None] ^ rx[None, :]) <= radius)
-        a, b = at_left[k + i], at_right[j]
+    for i, j in pairs:
+        a, b = at_left[i], at_right[j]
         while len(a):
             la, lb = label[a], label[b]
             a, b, la, lb = (x[la != lb] for x in (a, b, la, lb))
@@ -140,13 +154,106 @@ def links(distinct: DataFrame, radius: int, left_block: int = 8192, right_block:
 
     def compare(t: pa.Table) -> pa.Table:
         side, fp = t.column("side").to_numpy(), t.column("fp").to_numpy()
-        u, v = forest(fp[side == 0], fp[side == 1], radius)
+        left, right = fp[side == 0], fp[side == 1]
+        u, v = forest(left, right, linked(left.view(np.uint64)[:, None], right.view(np.uint64)[:, None], radius))
         return pa.table({"u": u, "v": v})
 
     spread_out = map_arrow(distinct.select("fp"), spread, "tile long, a long, c long, side byte, fp long")
     return spread_out.groupBy("tile", "a", "c").applyInArrow(compare, "u long, v long").where("u != v")
 
 
+WIDE = 4  # words of a wide fingerprint
+
+
+def wide_fingerprint(text: bytes, shingle: int) -> tuple[bytes, int]:
+    """A fingerprint of 64 * WIDE bits, and the number of shingles; without words, zeros."""
+    import xxhash
+
+    words = text.lower().split()
+    if not words:
+        return bytes(8 * WIDE), 0
+    joined, digest = b" ".join(words), xxhash.xxh3_128_digest
+    ends = list(accumulate((len(w) + 1 for w in words)))
+    pieces = [joined] if len(words) <= shingle else [joined[a : b - 1] for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)]
+    votes = np.zeros(64 * WIDE, np.int64)
+    for k in range(0, len(pieces), 1 << 14):
+        some = b"".join([digest(p, 1) + digest(p, 2) for p in pieces[k : k + (1 << 14)]])
+        votes += np.unpackbits(np.frombuffer(some, np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little").sum(0, np.int64)
+    return np.packbits(votes * 2 > len(pieces), bitorder="little").tobytes(), len(pieces)
+
+
+def similar_groups(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: int = 8, left_block: int = 8192, right_block: int = 65536,
+    doc: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """doc_id, component_id for every row, for shingle sets (repeats counted) of a Jaccard ``similarity`` or more.
+
+    Two texts of that similarity have an angle that sets the bits expected to differ among the 256 of a wide
+    fingerprint; ``slack`` bits more make the radius, so that few pairs are lost to chance.  Their numbers of shingles
+    differ by no more than the factor ``similarity``.  Tiles are ranges of that number and of population counts, each
+    as wide as may differ, so only neighbouring tiles are compared.  component_id is the smallest id reachable.  Null
+    and wordless texts form one group; null ids belong to a group but link nothing and name none.  Other columns are
+    not read; an empty table gives no rows.
+    """
+    radius = round(64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + slack
+    tall = 64 * WIDE // (radius + 1) + 1
+    spark = docs.sparkSession
+
+    def run(batches):
+        for batch in batches:
+            found = [wide_fingerprint(t or b"", shingle) for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.int64()), pa.array([f for f, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], ["doc_id", "fp", "n"]
+            )
+
+    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    each = materialise(map_arrow(rows, run, "doc_id long, fp binary, n long"), "op5-wide")
+    # Equal fingerprints link whatever their texts' lengths, and so fold; a group is compared by its shortest and its
+    # longest member.
+    folded = materialise(each.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("n").alias("low"), F.max("n").alias("high")), "op5-folded")
+    size = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1))) / F.lit(-float(np.log(similarity))) + 1e-9)
+    count = " + ".join(f"bit_count(cast(conv(hex(substring(fp, {8 * k + 1}, 8)), 16, -10) as bigint))" for k in range(WIDE))
+    tiled = folded.where("node IS NOT NULL").select(
+        "node", "fp", F.floor(F.expr(count) / (radius + 1)).alias("row"), F.explode(F.array_distinct(F.array(size("low"), size("high")))).alias("size")
+    )
+    tiled = tiled.select("node", "fp", (F.col("size") * (tall + 2) + F.col("row") + 1).cast("long").alias("tile"))
+    # There are as many tiles as ranges of lengths times ranges of counts, whatever the input.
+    counts = dict(tiled.groupBy("tile").count().collect())
+    steps = [0, 1, tall + 1, tall + 2, tall + 3]
+    blocks = {t: -(-n // left_block) for t, n in counts.items()}
+    pools = {t: -(-sum(counts.get(t + s, 0) for s in steps) // right_block) for t in counts}
+    sent = spark.sparkContext.broadcast((blocks, pools))
+
+    def spread(batches):
+        blocks, pools = sent.value
+        for batch in batches:
+            node, tile = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            salt = (node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64)
+            for side, step in [(0, 0), *((1, s) for s in steps)]:
+                home = tile - step
+                kept, free = (np.array([d.get(t, 0) for t in home.tolist()], np.int64) for d in ((blocks, pools) if side == 0 else (pools, blocks)))
+                times = np.where(kept > 0, free, 0)
+                row = np.repeat(np.arange(len(node)), times)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                own = salt[row] % kept[row]
+                a, c = (own, other) if side == 0 else (other, own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(home[row]), pa.array(a), pa.array(c), pa.array(np.full(len(row), side, np.int8)), pa.array(node[row]), batch.column(1).take(pa.array(row))],
+                    ["tile", "a", "c", "side", "node", "fp"],
+                )
+
+    def compare(t: pa.Table) -> pa.Table:
+        side, node = t.column("side").to_numpy(), t.column("node").to_numpy()
+        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
+        u, v = forest(node[side == 0], node[side == 1], linked(fp[side == 0], fp[side == 1], radius))
+        return pa.table({"u": u, "v": v})
+
+    units = map_arrow(tiled, spread, "tile long, a long, c long, side byte, node long, fp binary")
+    roots = components(units.groupBy("tile", "a", "c").applyInArrow(compare, "u long, v long").where("u != v"), "op5-similar")
+    rooted = folded.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    return each.join(rooted, "fp").select("doc_id", "component_id")
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """node, root for every node of ``edges`` (u, v) but the roots; root is the component's smallest node.
 
