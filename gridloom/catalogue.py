@@ -1,4 +1,7 @@
 """The engine's named queries and the DuckDB SQL that each must equal."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .queries import pixels, scalars
+
+_parts = (pixels, scalars)
+QUERIES: dict = {name: query for part in _parts for name, query in part.QUERIES.items()}
+ORACLES: dict = {name: sql for part in _parts for name, sql in part.ORACLES.items()}
