@@ -1,7 +1,7 @@
 """The engine's named queries and the DuckDB SQL that each must equal."""
 
-from .queries import pixels, scalars, statistics
+from .queries import pixels, scalars, statistics, surroundings
 
-_parts = (pixels, scalars, statistics)
+_parts = (pixels, scalars, statistics, surroundings)
 QUERIES: dict = {name: query for part in _parts for name, query in part.QUERIES.items()}
 ORACLES: dict = {name: sql for part in _parts for name, sql in part.ORACLES.items()}

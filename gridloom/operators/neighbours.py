@@ -142,7 +142,7 @@ def receivers(cells: DataFrame, value: str = "z", cell: float = 1.0) -> DataFram
     steepest = F.greatest(*falls)
     way = F.coalesce(*[F.when(f == steepest, F.lit(k)) for k, f in enumerate(falls)])
     way = F.when(steepest > 0, way)
-    dr, dc = (F.element_at(F.array(*[F.lit(o[i]) for o in OFFSETS]), way + 1) for i in (0, 1))
+    dr, dc = (F.when(way.isNotNull(), F.element_at(F.array(*[F.lit(o[i]) for o in OFFSETS]), way + 1)) for i in (0, 1))
     return around.select("scene", "r", "c", value, (F.col("r") + dr).alias("to_r"), (F.col("c") + dc).alias("to_c"))
 
 
