@@ -4,10 +4,16 @@ A test item may differ from its copy in a document by at most ``budget`` edits.
 least one piece then stands in the copy unchanged.  All pieces of a block of items form one Aho-Corasick automaton,
 which a task builds once and runs over every whole text; each piece found fixes where the item would lie, and Myers'
 bit-parallel distance over that stretch decides.  The documents are never shuffled.
+
+The pigeonhole holds at every scale: halve a run of m pieces with at most m - 1 edits, and one half of k pieces has
+at most k - 1.  So a piece found is followed up only while the runs of pieces around it, ever larger, match as well;
+most chance hits end at the first run, after a few characters.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +34,27 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+@lru_cache(maxsize=1 << 14)
+def runs_around(n: int, k: int) -> tuple[tuple[int, int], ...]:
+    """Ranges of pieces that hold piece k when n pieces are halved again and again: the smallest first, without the
+    piece itself and the whole."""
+    found, lo, hi = [], 0, n
+    while hi - lo > 1:
+        middle = (lo + hi) // 2
+        lo, hi = (lo, middle) if k < middle else (middle, hi)
+        found.append((lo, hi))
+    return tuple(x for x in reversed(found) if x[1] - x[0] > 1)
+
+
+@lru_cache(maxsize=1 << 16)
+def places(pattern: str) -> dict[str, int]:
+    """For each character, the bits of its places in the pattern."""
+    masks: dict[str, int] = {}
+    for k, c in enumerate(pattern):
+        masks[c] = masks.get(c, 0) | 1 << k
+    return masks
+
+
 def best_match(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
     """Smallest edit distance of the pattern of length m to any substring of ``text``, and the first place where
     such a substring ends.  ``masks`` has, for each character, the bits of its places in the pattern."""
@@ -58,29 +85,41 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], ratio: float):
         import ahocorasick
 
-        self.items, places = [], {}
+        self.items: list[tuple[int, str, int]] = []
+        found: dict[str, list[tuple[int, int]]] = {}
         self.automaton = ahocorasick.Automaton()
         for item_id, text in items:
             budget = int(len(text) * ratio)
-            masks: dict[str, int] = {}
-            for k, c in enumerate(text):
-                masks[c] = masks.get(c, 0) | 1 << k
-            for at, piece in pieces(text, budget):
-                places.setdefault(piece, []).append((len(self.items), at))
-            self.items.append((item_id, len(text), budget, masks))
-        for piece, where in places.items():
+            for n, (_, piece) in enumerate(pieces(text, budget)):
+                found.setdefault(piece, []).append((len(self.items), n))
+            self.items.append((item_id, text, budget))
+        for piece, where in found.items():
             self.automaton.add_word(piece, (len(piece), where))
         self.automaton.make_automaton()
 
+    def promising(self, text: str, start: int, item: str, budget: int, n: int) -> bool:
+        """Do the runs of pieces around piece n match, if the item's first character stood at ``start``?"""
+        count = budget + 1
+        for lo, hi in runs_around(count, n):
+            a, b, edits = len(item) * lo // count, len(item) * hi // count, hi - lo - 1
+            run = item[a:b]
+            if best_match(places(run), b - a, text[max(0, start + a - edits) : start + b + edits])[0] > edits:
+                return False
+        return True
+
     def find(self, text: str) -> list[tuple[int, int, int, int, int]]:
         """(item_id, edits, length, budget, end) of each item that occurs, by its best place."""
         starts: dict[int, set[int]] = {}
         for end, (size, where) in self.automaton.iter(text):
-            for k, at in where:
-                starts.setdefault(k, set()).add(end - size + 1 - at)
+            for k, n in where:
+                _, item, budget = self.items[k]
+                start = end - size + 1 - len(item) * n // (budget + 1)
+                if start not in starts.get(k, ()) and self.promising(text, start, item, budget, n):
+                    starts.setdefault(k, set()).add(start)
         found = []
         for k, at in starts.items():
-            item_id, m, budget, masks = self.items[k]
+            item_id, item, budget = self.items[k]
+            m, masks = len(item), places(item)
             best, last = budget + 1, 0
             upto = None
             for a in sorted(at):
