@@ -13,23 +13,27 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, slices, utf8
 
-BITS, SIZES = 18, (3, 4, 5)
+BITS, SIZES = 20, (3, 4, 5, 6, 7)
 SLICE = 1 << 20
 LOWER = np.arange(256, dtype=np.uint64)
 LOWER[65:91] += 32
 
 
+def hashed(raw: np.ndarray):
+    """For each size, the bucket of the n-gram that starts at every byte (A-Z in lower case)."""
+    low = x = LOWER[raw]
+    for n in range(2, max(SIZES) + 1):
+        x = x[:-1] * np.uint64(0x100000001B3) + low[n - 1 :] if len(x) > 1 else x[:0]
+        if n in SIZES:
+            y = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+            yield n, (y >> np.uint64(64 - BITS)).astype(np.int32)
+
+
 def present(raw: np.ndarray, at: np.ndarray):
-    """For each text, the sorted buckets of the n-grams (of bytes, A-Z in lower case) that occur in it."""
+    """For each text, the sorted buckets of the n-grams that occur in it."""
     seen = np.zeros(1 << BITS, bool)
     for a, b in slices(at, SLICE):
-        low = LOWER[raw[at[a] : at[b]]]
-        hashes, x = [], low
-        for n in range(2, max(SIZES) + 1):
-            x = x[:-1] * np.uint64(0x100000001B3) + low[n - 1 :] if len(x) > 1 else x[:0]
-            if n in SIZES:
-                y = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-                hashes.append((n, (y >> np.uint64(64 - BITS)).astype(np.int32)))
+        hashes = list(hashed(raw[at[a] : at[b]]))
         for r in range(a, b):
             i, j = int(at[r] - at[a]), int(at[r + 1] - at[a])
             for n, h in hashes:
@@ -40,45 +44,67 @@ def present(raw: np.ndarray, at: np.ndarray):
 
 
 class Model:
-    """``weights``: naive Bayes ratio times regression weight of every bucket."""
+    """``weights``: naive Bayes ratio times regression weight of every bucket; most are zero."""
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
 
     def score(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-        z = np.fromiter((self.weights[x].sum() for x in present(raw, at)), np.float64, len(at) - 1) + self.bias
+        z = np.full(len(at) - 1, self.bias)
+        for a, b in slices(at, SLICE):
+            edge, keys = at[a : b + 1] - at[a], [np.zeros(0, np.int64)]
+            for n, h in hashed(raw[at[a] : at[b]]):
+                place = np.flatnonzero(self.weights[h])
+                row = np.searchsorted(edge, place, side="right") - 1
+                inside = place + n <= edge[row + 1]
+                keys.append(row[inside] << BITS | h[place[inside]])
+            key = np.unique(np.concatenate(keys))
+            z[a:b] += np.bincount(key >> BITS, weights=self.weights[key & ((1 << BITS) - 1)], minlength=b - a)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(features: list[np.ndarray], label: np.ndarray, alpha: float = 1.0, ridge: float = 1e-3, rounds: int = 150) -> Model:
-    """Log-count ratios, then logistic regression by Adam steps over all rows.  With rows of one class only, every
-    score is that class's smoothed share; with none, one half."""
+def fit(features: list[np.ndarray], label: np.ndarray, alpha: float = 0.5, keep: int = 2048, least: int = 4, ridge: float = 3.0, rounds: int = 200) -> Model:
+    """Log-count ratios, then logistic regression over the scaled features by Adam steps over all rows.
+
+    Only the ``keep`` buckets take part that tell the classes apart best (by chi-squared) among those in ``least``
+    texts or more: long texts hold so many others that their noise would drown these.  With rows of one class only,
+    every score is that class's smoothed share; with none, one half.
+    """
     label = np.asarray(label, np.float64)
     size = 1 << BITS
     if not len(label) or label.min() == label.max():
         p = (label.sum() + 1) / (len(label) + 2)
         return Model(np.zeros(size, np.float32), float(np.log(p / (1 - p))))
-    lengths = np.array([len(x) for x in features])
-    flat = np.concatenate(features).astype(np.int64)
-    row = np.repeat(np.arange(len(features)), lengths)
-    pos = np.bincount(flat, weights=label[row], minlength=size)
-    neg = np.bincount(flat, minlength=size) - pos
-    ratio = np.log((pos + alpha) / (label.sum() + 2 * alpha)) - np.log((neg + alpha) / ((1 - label).sum() + 2 * alpha))
-    scaled = ratio[flat]
-    weight, bias = np.zeros(size), float(np.log(label.mean() / (1 - label.mean())))
-    m = v = np.zeros(size)
+    pos, neg = np.zeros(size), np.zeros(size)
+    for x, y in zip(features, label, strict=True):
+        (pos if y else neg)[x] += 1
+    n1, n0 = label.sum(), (1 - label).sum()
+    ratio = np.log((pos + alpha) / (n1 + 2 * alpha)) - np.log((neg + alpha) / (n0 + 2 * alpha))
+    df = pos + neg
+    chi = np.where(df >= least, (pos * n0 - neg * n1) ** 2 / np.maximum(df * (n1 + n0 - df), 1), 0)
+    chosen = np.sort(np.argsort(-chi, kind="stable")[:keep])
+    chosen = chosen[chi[chosen] > 0]
+    place = np.full(size, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    columns = [c[c >= 0] for c in (place[x] for x in features)]
+    flat, row = np.concatenate(columns), np.repeat(np.arange(len(columns)), [len(c) for c in columns])
+    scaled = ratio[chosen][flat]
+    weight, bias = np.zeros(len(chosen)), float(np.log(label.mean() / (1 - label.mean())))
+    m = v = np.zeros(len(chosen))
     mb = vb = 0.0
     for t in range(1, rounds + 1):
         z = np.bincount(row, weights=scaled * weight[flat], minlength=len(label)) + bias
         error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label) / len(label)
-        g = np.bincount(flat, weights=scaled * error[row], minlength=size) + ridge * weight / len(label)
+        g = np.bincount(flat, weights=scaled * error[row], minlength=len(chosen)) + ridge * weight / len(label)
         gb = error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         scale = np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         weight -= 0.02 * scale * m / (np.sqrt(v) + 1e-10)
         bias -= 0.05 * scale * mb / (np.sqrt(vb) + 1e-10)
-    return Model((weight * ratio).astype(np.float32), float(bias))
+    weights = np.zeros(size, np.float32)
+    weights[chosen] = weight * ratio[chosen]
+    return Model(weights, float(bias))
 
 
 def train(labelled: DataFrame, limit: int = 2000, doc: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
