@@ -6,10 +6,11 @@ anchors at equal places.  Windows that share an anchor form one stretch of text,
 
 1. Every document sends its anchors, as packed blobs sorted by anchor, to the anchor's bucket.  An anchor seen in one
    document only has no repeated window.  A context that an earlier document has too is repeated in full.
-2. Where one anchor has several contexts, the earliest holder of each context sends its windows, a front-coded sorted
-   suffix run, to the bucket of anchor and place.  There runs are merged by a loser tree that keeps each run's common
-   prefix with the last output, and so never compares a known prefix again; windows that are equal come out side by
-   side, and each holder learns which of its windows an earlier document has.
+2. Where one anchor has several contexts, the earliest holder of each context sends its suffix from the anchor on, in
+   a front-coded sorted run, and the few bytes before, to the anchor's bucket.  There runs are merged by a loser tree
+   that keeps each run's common prefix with the last output, and so never compares a known prefix again.  Windows
+   that are equal agree on a prefix of that suffix and on the bytes before, and each holder learns which of its
+   windows an earlier document has.
 3. Answers meet the texts again by document, which mark and cut their bytes.
 
 Every exchange is keyed by hashes that spread, one key never holds more than one entry per document and context, and
@@ -251,37 +252,44 @@ class LoserTree:
             self.best = w
 
 
+def _beside(raw: np.ndarray, at: np.ndarray, length: np.ndarray, width: int, step: int) -> np.ndarray:
+    """Rows of the ``length`` bytes that start at each place and go on by ``step``; zeros after them."""
+    each = np.arange(width)
+    inside = each < length[:, None]
+    return np.where(inside, raw[np.where(inside, at[:, None] + step * each, 0)], 0).astype(np.uint8)
+
+
 def _runs(buckets: int):
-    """Front-coded sorted suffix runs (bucket, lcp, tails, docs, contexts, places) of the windows asked for."""
+    """Front-coded sorted suffix runs of the contexts asked for: the bytes from the anchor on, in order, and those
+    before it, backwards."""
 
     def run(batches):
         for batch in batches:
-            ids, (raw, at), asks = batch.column(0).to_numpy(), utf8(batch.column(1)), batch.column(2).to_pylist()
-            wins, docs, ctxs, places, keys = [], [], [], [], []
+            ids, (raw, at), asks = batch.column(0).fill_null(0).to_numpy(), utf8(batch.column(1)), batch.column(3).to_pylist()
+            found = []
             for a, b in slices(at, SLICE):
+                if not any(asks[a:b]):
+                    continue
                 piece = raw[at[a] : at[b]]
                 row, start, count, gram, context, place = contexts(piece, at[a : b + 1] - at[a])
-                pick = _in_row(row, context, asks[a:b])
+                pick = np.flatnonzero(_in_row(row, context, asks[a:b]))
+                _, first = np.unique(np.stack([row[pick].astype(np.uint64), context[pick]]), axis=1, return_index=True)
+                pick = pick[first]
                 row, start, count, gram, context, place = (x[pick] for x in (row, start, count, gram, context, place))
-                if not len(row):
-                    continue
-                each = np.repeat(np.arange(len(row)), count)
-                shift = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
-                wins.append(np.lib.stride_tricks.sliding_window_view(piece, LENGTH)[start[each] + shift])
-                docs.append(ids[a + row][each])
-                ctxs.append(context[each])
-                places.append(shift)
-                keys.append(mixed(gram[each] ^ (place[each] - shift).astype(np.uint64)))
+                right = _beside(piece, start + place, count + LENGTH - 1 - place, LENGTH, 1)
+                left = _beside(piece, start + place - 1, place, SPAN - 1, -1)
+                found.append((right, left, ids[a + row].astype(np.int64), context, place.astype(np.uint8), count.astype(np.uint8), gram))
             out = []
-            if wins:
-                win, doc, ctx, shift, key = (np.concatenate(x) for x in (wins, docs, ctxs, places, keys))
-                bucket = ((key >> _U(40)) * _U(buckets) >> _U(24)).astype(np.int64)
-                order = np.lexsort((np.ascontiguousarray(win).view(f"S{LENGTH}").ravel(), bucket))
-                win, doc, ctx, shift, bucket = (x[order] for x in (win, doc, ctx, shift, bucket))
+            if found:
+                right, left, doc, context, place, count, gram = (np.concatenate(x) for x in zip(*found, strict=True))
+                bucket = ((gram >> _U(40)) * _U(buckets) >> _U(24)).astype(np.int64)
+                order = np.lexsort((np.ascontiguousarray(right).view(f"S{LENGTH}").ravel(), bucket))
+                right, left, doc, context, place, count, bucket = (x[order] for x in (right, left, doc, context, place, count, bucket))
                 for k, i, j in _bucketed(bucket, buckets):
-                    lcp, tails = front_coded(win[i:j])
-                    out.append((k, lcp.tobytes(), tails.tobytes(), doc[i:j].tobytes(), ctx[i:j].tobytes(), shift[i:j].astype(np.uint8).tobytes()))
-            yield _batch(out, ("bucket", "lcp", "tails", "docs", "contexts", "places"), (pa.int32(), *[pa.binary()] * 5))
+                    lcp, tails = front_coded(right[i:j])
+                    lefts = left[i:j][np.arange(SPAN - 1) < place[i:j, None]]
+                    out.append((k, lcp.tobytes(), tails.tobytes(), lefts.tobytes(), doc[i:j].tobytes(), context[i:j].tobytes(), place[i:j].tobytes() + count[i:j].tobytes()))
+            yield _batch(out, ("bucket", "lcp", "tails", "lefts", "docs", "contexts", "places"), (pa.int32(), *[pa.binary()] * 6))
 
     return run
 
@@ -295,7 +303,11 @@ def _in_row(row: np.ndarray, context: np.ndarray, blobs: list[bytes | None]) ->
 
 
 def _merge(batches):
-    """Rows (doc_id, partial): contexts and, for each, the windows that an earlier document has, as bits."""
+    """Rows (doc_id, partial): contexts and, for each, the windows that an earlier document has, as bits.
+
+    A window that starts p bytes before the anchor is shared by contexts that agree on the p bytes before it and on
+    the LENGTH - p bytes from it on.  The merged order with its common prefixes tells the second for every p at once.
+    """
     held: dict[int, list] = {}
     for batch in batches:
         for k, *blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -309,19 +321,28 @@ def _merge(batches):
         offsets = base.tolist()
         for n, (r, at, lcp) in enumerate(LoserTree(runs)):
             order[n], lcps[n] = offsets[r] + at, lcp
-        doc, ctx, place = (np.concatenate([np.frombuffer(b[i], t) for b in blobs])[order] for i, t in ((2, np.int64), (3, np.uint64), (4, np.uint8)))
-        group = np.cumsum(lcps < LENGTH) - (len(lcps) > 0 and lcps[0] < LENGTH)
-        first = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, group, doc)
-        seen = doc > first[group]
-        doc, ctx, place = doc[seen], ctx[seen], place[seen]
-        order = np.lexsort((ctx, doc))
-        doc, ctx, bit = doc[order], ctx[order], _U(1) << place[order].astype(np.uint64)
+        del runs
+        doc, context = (np.concatenate([np.frombuffer(b[i], t) for b in blobs])[order] for i, t in ((3, np.int64), (4, np.uint64)))
+        place, count = (np.concatenate([np.frombuffer(b[5], np.uint8).reshape(2, -1)[i] for b in blobs]).astype(np.int64) for i in (0, 1))
+        left = np.zeros((len(place), SPAN - 1), np.uint8)
+        left[np.arange(SPAN - 1) < place[:, None]] = np.concatenate([np.frombuffer(b[2], np.uint8) for b in blobs])
+        left, place, count = left[order], place[order], count[order]
+        bits, before = np.zeros(len(doc), np.uint64), np.zeros(len(doc), np.uint64)
+        for p in range(SPAN):
+            if p:
+                before = mixed(before * ODD + BYTE[left[:, p - 1]])
+            some = np.flatnonzero((place >= p) & (place - p < count))
+            key = mixed(np.cumsum(lcps < LENGTH - p).astype(np.uint64)[some] * ODD ^ before[some])
+            _, group = np.unique(key, return_inverse=True)
+            first = np.full(len(key), np.iinfo(np.int64).max)
+            np.minimum.at(first, group, doc[some])
+            seen = some[doc[some] > first[group]]
+            bits[seen] |= _U(1) << (place[seen] - p).astype(np.uint64)
+        doc, context, bits = doc[bits > 0], context[bits > 0], bits[bits > 0]
         if not len(doc):
             continue
-        new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (ctx[1:] != ctx[:-1])))
-        bits = np.bitwise_or.reduceat(bit, new)
-        doc, pairs = doc[new], np.stack([ctx[new], bits], axis=1)
+        order = np.argsort(doc, kind="stable")
+        doc, pairs = doc[order], np.stack([context, bits], axis=1)[order]
         edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
         out = [(int(doc[i]), pairs[i:j].tobytes()) for i, j in zip(edges, np.append(edges[1:], len(doc)), strict=True)]
         yield _batch(out, ("doc_id", "partial"), (pa.int64(), pa.binary()))
@@ -330,7 +351,7 @@ def _merge(batches):
 def _cut(batches):
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
     for batch in batches:
-        ids, (raw, at), fulls, parts = batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        ids, (raw, at), fulls, parts = batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), batch.column(4).to_pylist()
         out = []
         for a, b in slices(at, SLICE):
             touched = any(fulls[a:b]) or any(parts[a:b])
@@ -377,18 +398,18 @@ def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    known = rows.where("doc_id IS NOT NULL")
-    sent = map_arrow(known, _anchors(buckets), "bucket int, docs binary, grams binary, contexts binary")
+    sent = map_arrow(rows.where("doc_id IS NOT NULL"), _anchors(buckets), "bucket int, docs binary, grams binary, contexts binary")
     answers = map_arrow(sent.repartition(buckets, "bucket"), _answer, "doc_id long, full binary, ask binary")
 
     def joined(column):
         """One blob per document, of those of its answers."""
         return F.array_join(F.collect_list(F.hex(column)), "")
 
-    asked = known.join(answers.where("length(ask) > 0").groupBy("doc_id").agg(F.unhex(joined("ask")).alias("ask")), "doc_id")
-    runs = map_arrow(asked.select("doc_id", "text", "ask"), _runs(buckets), "bucket int, lcp binary, tails binary, docs binary, contexts binary, places binary")
+    # Both joins read one exchange of the texts and one of the answers, which Spark uses again as long as their plans
+    # are the same; so both take all columns.
+    told = answers.groupBy("doc_id").agg(F.unhex(joined("full")).alias("full"), F.unhex(joined("ask")).alias("ask"))
+    known = rows.join(told, "doc_id", "left").select("doc_id", "text", "full", "ask")
+    runs = map_arrow(known, _runs(buckets), "bucket int, lcp binary, tails binary, lefts binary, docs binary, contexts binary, places binary")
     merged = map_arrow(runs.repartition(buckets, "bucket"), _merge, "doc_id long, partial binary")
-    full = answers.where("length(full) > 0").groupBy("doc_id").agg(F.unhex(joined("full")).alias("full"))
     partial = merged.groupBy("doc_id").agg(F.unhex(joined("partial")).alias("partial"))
-    told = rows.join(full, "doc_id", "left").join(partial, "doc_id", "left").select("doc_id", "text", "full", "partial")
-    return map_arrow(told, _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return map_arrow(known.join(partial, "doc_id", "left").select("doc_id", "text", "full", "ask", "partial"), _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
