@@ -36,11 +36,12 @@ def fixed_point(state: DataFrame, step, value: str, rounds: int = ROUNDS, label:
 def components(cells: DataFrame, mask: str, width: int, diagonal: bool = True) -> DataFrame:
     """scene, r, c, label of the cells in the mask; the label is the component's smallest r * width + c.
 
-    A round takes the least label around, by windows, and then jumps to the least label that the own label's cells
-    have seen, so long shapes need few rounds.
+    A round takes the least label around, by windows; hands it to all cells of the own label; and then follows
+    labels, which are cells, to these cells' own labels.  So the rounds are as many as the logarithm of the longest
+    way inside a component, more or less.
     """
-    flat = (F.col("r") * width + F.col("c")).cast("long")
-    start = cells.select("scene", "r", "c", F.when(F.col(mask), flat).alias("label"))
+    node = (F.col("r") * width + F.col("c")).cast("long")
+    start = cells.select("scene", "r", "c", F.when(F.col(mask), node).alias("label"))
 
     def step(state: DataFrame) -> DataFrame:
         out = state
@@ -49,11 +50,15 @@ def components(cells: DataFrame, mask: str, width: int, diagonal: bool = True) -
             out = out.withColumn("near", least).withColumn("near", F.min("near").over(framed("r", 1, 1)))
         else:
             out = out.withColumn("near", F.least(*[F.min("label").over(framed(d, 1, 1)) for d in ("c", "r")]))
-        out = out.withColumn("near", F.when(F.col("label").isNotNull(), F.col("near")))
-        seen = out.where("label IS NOT NULL").groupBy("scene", "label").agg(F.min("near").alias("jump"))
-        return out.join(seen, ["scene", "label"], "left").select("scene", "r", "c", F.least("near", "jump").alias("label"))
-
-    return fixed_point(start, step, "label", 2, "components").where("label IS NOT NULL")
+        out = out.where("label IS NOT NULL")  # the windows need all cells, for diagonals and gaps
+        hooks = out.groupBy("scene", "label").agg(F.min("near").alias("hook"))
+        hooked = settle(out.join(hooks, ["scene", "label"]).select("scene", "r", "c", F.least("near", "hook").alias("label")), "hooked")
+        up = hooked.select("scene", node.alias("label"), F.col("label").alias("up"))
+        further = up.select("scene", F.col("label").alias("up"), F.col("up").alias("top"))
+        jumped = hooked.join(up, ["scene", "label"]).join(further, ["scene", "up"])
+        return jumped.select("scene", "r", "c", F.col("top").alias("label")).unionByName(state.where("label IS NULL"))
+
+    return fixed_point(start, step, "label", 1, "components").where("label IS NOT NULL")
 
 
 def ranked_components(labels: DataFrame, least: int, most: int) -> DataFrame:
