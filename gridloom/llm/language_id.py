@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_arrow
+from .common import crc_mod, map_arrow, slices
 
 TABLE_BITS = 16
 #: First code point and name of the ranges that tell scripts apart; a range ends where the next begins.
@@ -151,51 +151,51 @@ def train(docs: DataFrame, per_language: int = 2000, share: float = 0.01, doc: s
     return Model(langs, weights.T.astype(np.float32).copy(), (seen >= share * np.maximum(1, seen.sum(1, keepdims=True))).T.copy())
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = 8.0, doc: str = "doc_id", text: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ``others`` (columns passed through), lang_pred, score and spans (start, length, lang; in characters).
+def identify(
+    docs: DataFrame, model: Model, penalty: float = 8.0, doc: str = "doc_id", text: str = "text", others: tuple[str, ...] = (), keep_text: bool = False
+) -> DataFrame:
+    """doc_id, ``others`` (columns passed through), text (if kept), lang_pred, score and spans (start, length, lang; in
+    characters).
 
     ``score`` is the share of the text's letters in spans of ``lang_pred``; ties go to the first name in order.  A
     null text, one without a letter, or any text where nothing was learned gives "und", score 0 and no span.
     Repeated rows and null ids are kept as they are; an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    span_type = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("lang", pa.string())]))
+
+    def found(texts: list[str]) -> list[pa.Array]:
+        model, n = sent.value, len(sent.value.langs)
+        score, row, place, size = model.word_scores(texts)
+        if not n or not len(row):
+            return [pa.array(["und"] * len(texts)), pa.array([0.0] * len(texts)), pa.array([[]] * len(texts), span_type)]
+        start = np.searchsorted(row, np.arange(len(texts)))
+        length = np.diff(np.append(start, len(row)))
+        label = viterbi(score, start[length > 0], length[length > 0], penalty)
+        letters = np.bincount(row * n + label, weights=size, minlength=len(texts) * n).reshape(len(texts), n)
+        best, whole = letters.argmax(1), letters.sum(1)
+        shares = letters[np.arange(len(texts)), best] / np.maximum(whole, 1)
+        langs = np.array([*model.langs, "und"], object)[np.where(whole > 0, best, n)]
+        new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (label[1:] != label[:-1])))
+        final = np.append(new[1:], len(row)) - 1
+        spans = pa.StructArray.from_arrays(
+            [pa.array(place[new], pa.int32()), pa.array((place + size)[final] - place[new], pa.int32()), pa.array(np.array(model.langs, object)[label[new]], pa.string())], ["start", "length", "lang"]
+        )
+        offsets = pa.array(np.searchsorted(row[new], np.arange(len(texts) + 1)), pa.int32())
+        return [pa.array(langs, pa.string()), pa.array(shares), pa.ListArray.from_arrays(offsets, spans)]
 
     def run(batches):
-        model = sent.value
         for batch in batches:
-            texts, n = batch.column(batch.num_columns - 1).fill_null("").to_pylist(), len(model.langs)
-            kinds = [*[f.type for f in batch.schema][:-1], pa.string(), pa.float64(), pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("lang", pa.string())]))]
-            names = [*batch.schema.names[:-1], "lang_pred", "score", "spans"]
-            found, a, chars = [], 0, 0
-            for b, t in enumerate(texts):  # word scores by slices of about four million characters
-                chars += len(t)
-                if chars >= 1 << 22 or b == len(texts) - 1:
-                    score, row, place, size = model.word_scores(texts[a : b + 1])
-                    found.append((score, row + a, place, size))
-                    a, chars = b + 1, 0
-            if not found or not n:
-                blank = [pa.array(["und"] * len(texts)), pa.array([0.0] * len(texts)), pa.array([[]] * len(texts), kinds[-1])]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *blank], schema=pa.schema(list(zip(names, kinds, strict=True))))
-                continue
-            score, row, place, size = (np.concatenate(x) for x in zip(*found, strict=True))
-            start = np.searchsorted(row, np.arange(len(texts)))
-            length = np.diff(np.append(start, len(row)))
-            label = viterbi(score, start[length > 0], length[length > 0], penalty)
-            letters = np.bincount(row * n + label, weights=size, minlength=len(texts) * n).reshape(len(texts), n)
-            best, whole = letters.argmax(1), letters.sum(1)
-            shares = letters[np.arange(len(texts)), best] / np.maximum(whole, 1)
-            langs = np.array([*model.langs, "und"], object)[np.where(whole > 0, best, n)]
-            new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (label[1:] != label[:-1]))) if len(row) else np.zeros(0, np.int64)
-            final = np.append(new[1:], len(row)) - 1
-            spans = pa.StructArray.from_arrays(
-                [pa.array(place[new], pa.int32()), pa.array((place + size)[final] - place[new], pa.int32()), pa.array(np.array(model.langs, object)[label[new]], pa.string())], ["start", "length", "lang"]
-            )
-            offsets = pa.array(np.searchsorted(row[new], np.arange(len(texts) + 1)), pa.int32())
-            out = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(shares), pa.ListArray.from_arrays(offsets, spans)]
-            yield pa.RecordBatch.from_arrays(out, schema=pa.schema(list(zip(names, kinds, strict=True))))
+            texts = batch.column(batch.num_columns - 1).fill_null("").to_pylist()
+            kept = batch.num_columns - (not keep_text)
+            names = [*batch.schema.names[:kept], "lang_pred", "score", "spans"]
+            for a, b in slices(np.cumsum([0, *map(len, texts)]), 1 << 20):  # some million characters at a time
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns[:kept], *found(texts[a:b])], names)
 
     rows = docs.select(F.col(doc).alias("doc_id"), *others, F.col(text).alias("text"))
-    passed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    fields = rows.schema.fields if keep_text else rows.schema.fields[:-1]
+    passed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return map_arrow(rows, run, passed + ", lang_pred string, score double, spans array<struct<start:int, length:int, lang:string>>")
 
 
