@@ -107,13 +107,15 @@ def fit(features: list[np.ndarray], label: np.ndarray, alpha: float = 0.5, keep:
     return Model(weights, float(bias))
 
 
-def train(labelled: DataFrame, limit: int = 2000, doc: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fit on a sample of at most about ``limit`` rows of each class, by a hash of the id; rows without a label are
-    not used.  The features are found by the executors; only they come to the driver."""
-    rows = labelled.where(F.col(label).isNotNull()).select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), (F.col(label) > 0).cast("int").alias("label"))
+def train(docs: DataFrame, labels: DataFrame, limit: int = 2000, doc: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+    """Fit on a sample of at most about ``limit`` labelled rows of each class, by a hash of the id; rows without a
+    label are not used.  The features are found by the executors; only they come to the driver."""
+    rows = labels.where(F.col(label).isNotNull()).select(F.col(doc).alias("doc_id"), (F.col(label) > 0).cast("int").alias("label"))
     sizes = dict(rows.groupBy("label").count().collect())
     share = F.create_map(*[F.lit(x) for k in (0, 1) for x in (k, min(1.0, limit / max(1, sizes.get(k, 0))))])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("label")] * (1 << 20))
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("label")] * (1 << 20))
+    # ``limit`` bounds what is broadcast, and no text moves but those drawn.
+    sample = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id")
 
     def run(batches):
         for batch in batches:
