@@ -133,12 +133,14 @@ def fit(x: np.ndarray, label: np.ndarray, trees: int = 80, depth: int = 4, bins:
     return Model(np.array(features), np.array(thresholds), np.array(values), bias)
 
 
-def train(labelled: DataFrame, limit: int = 20_000, doc: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
+def train(docs: DataFrame, labels: DataFrame, limit: int = 20_000, doc: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Fit on a sample of at most about ``limit`` labelled rows, by a hash of the id.  The statistics are found by the
     executors; only they come to the driver."""
-    rows = labelled.where(F.col(label).isNotNull()).select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), (F.col(label) > 0).cast("int").alias("label"))
+    rows = labels.where(F.col(label).isNotNull()).select(F.col(doc).alias("doc_id"), (F.col(label) > 0).cast("int").alias("label"))
     share = min(1.0, limit / max(1, rows.count()))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    # ``limit`` bounds what is broadcast, and no text moves but those drawn.
+    sample = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id")
 
     def run(batches):
         for batch in batches:

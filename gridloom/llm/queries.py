@@ -58,7 +58,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = quality.train(docs.join(labels.where(crc_mod("doc_id", 3) != 1), "doc_id"), limit=20_000)
+    model = quality.train(docs, labels.where(crc_mod("doc_id", 3) != 1), limit=20_000)
     return quality.score(docs, model).select("doc_id", held_out(3, 1), "score", "predicted")
 
 
