@@ -154,9 +154,47 @@ def _unpacked(docs: bytes, grams: bytes, contexts: bytes) -> tuple[np.ndarray, n
     return doc, gram, np.frombuffer(contexts, np.uint64)
 
 
-def _answer(batches):
-    """For one task's buckets: rows (doc_id, full, ask), the contexts an earlier document has, and those whose windows
-    are to be compared, as blobs of context hashes."""
+def _by_document(doc: np.ndarray, values: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Blobs (part, docs, values) for the parts of all documents: a row for each part, not for each document."""
+    part = (mixed(doc.view(np.uint64)) % _U(parts)).astype(np.int64)
+    order = np.lexsort((doc, part))
+    doc, values, part = doc[order], values[order], part[order]
+    out = [(k, doc[i:j].tobytes(), values[i:j].tobytes()) for k, i, j in _bucketed(part, parts)]
+    return _batch(out, ("part", "docs", "values"), (pa.int32(), pa.binary(), pa.binary()))
+
+
+def _gathered(width: int):
+    """Rows (doc_id, values): all that the blobs of a part hold for each document, ``width`` numbers an entry."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for k, docs, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(k, []).append((docs, values))
+        for k in list(held):
+            docs, values = zip(*held.pop(k), strict=True)
+            doc, value = np.frombuffer(b"".join(docs), np.int64), np.frombuffer(b"".join(values), np.uint64).reshape(-1, width)
+            order = np.argsort(doc, kind="stable")
+            doc, value = doc[order], value[order]
+            edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            yield _batch([(int(doc[i]), value[i:j].tobytes()) for i, j in zip(edges, np.append(edges[1:], len(doc)), strict=True)], ("doc_id", "values"), (pa.int64(), pa.binary()))
+
+    return run
+
+
+def _told(blob: bytes | None, full: bool) -> bytes:
+    """Of a document's answers, the contexts that are repeated in full, or those whose windows are asked for."""
+    told = np.frombuffer(blob or b"", np.uint64)
+    return told[(told & _U(1)) == _U(full)].tobytes()
+
+
+def _answer(parts: int):
+    return lambda batches: _answers(batches, parts)
+
+
+def _answers(batches, parts: int):
+    """For one task's buckets, by document: the contexts an earlier document has, with the lowest bit set, and those
+    whose windows are to be compared, with the lowest bit clear."""
     held: dict[int, list] = {}
     for batch in batches:
         for k, *blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -176,11 +214,7 @@ def _answer(batches):
         doc, context, full = doc[keep], context[keep], full[keep]
         if not len(doc):
             continue
-        order = np.argsort(doc, kind="stable")
-        doc, context, full = doc[order], context[order], full[order]
-        edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        out = [(int(doc[i]), context[i:j][full[i:j]].tobytes(), context[i:j][~full[i:j]].tobytes()) for i, j in zip(edges, np.append(edges[1:], len(doc)), strict=True)]
-        yield _batch(out, ("doc_id", "full", "ask"), (pa.int64(), pa.binary(), pa.binary()))
+        yield _by_document(doc, context >> _U(1) << _U(1) | full.astype(np.uint64), parts)
 
 
 def front_coded(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,7 +299,7 @@ def _runs(buckets: int):
 
     def run(batches):
         for batch in batches:
-            ids, (raw, at), asks = batch.column(0).fill_null(0).to_numpy(), utf8(batch.column(1)), batch.column(3).to_pylist()
+            ids, (raw, at), asks = batch.column(0).fill_null(0).to_numpy(), utf8(batch.column(1)), [_told(x, False) for x in batch.column(2).to_pylist()]
             found = []
             for a, b in slices(at, SLICE):
                 if not any(asks[a:b]):
@@ -295,15 +329,19 @@ def _runs(buckets: int):
 
 
 def _in_row(row: np.ndarray, context: np.ndarray, blobs: list[bytes | None]) -> np.ndarray:
-    """Which contexts their own row's blob of hashes names."""
+    """Which contexts their own row's blob of hashes names (but for their lowest bits)."""
     named = [np.frombuffer(b or b"", np.uint64) for b in blobs]
     of = np.repeat(np.arange(len(named)), [len(x) for x in named])
-    both = lambda r, c: mixed(c ^ (r.astype(np.uint64) * ODD))
+    both = lambda r, c: mixed(c >> _U(1) ^ (r.astype(np.uint64) * ODD))
     return np.isin(both(row, context), both(of, np.concatenate(named) if named else np.zeros(0, np.uint64)))
 
 
-def _merge(batches):
-    """Rows (doc_id, partial): contexts and, for each, the windows that an earlier document has, as bits.
+def _merge(parts: int):
+    return lambda batches: _merged(batches, parts)
+
+
+def _merged(batches, parts: int):
+    """By document: contexts and, for each, the windows that an earlier document has, as bits.
 
     A window that starts p bytes before the anchor is shared by contexts that agree on the p bytes before it and on
     the LENGTH - p bytes from it on.  The merged order with its common prefixes tells the second for every p at once.
@@ -341,17 +379,13 @@ def _merge(batches):
         doc, context, bits = doc[bits > 0], context[bits > 0], bits[bits > 0]
         if not len(doc):
             continue
-        order = np.argsort(doc, kind="stable")
-        doc, pairs = doc[order], np.stack([context, bits], axis=1)[order]
-        edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        out = [(int(doc[i]), pairs[i:j].tobytes()) for i, j in zip(edges, np.append(edges[1:], len(doc)), strict=True)]
-        yield _batch(out, ("doc_id", "partial"), (pa.int64(), pa.binary()))
+        yield _by_document(doc, np.stack([context, bits], axis=1), parts)
 
 
 def _cut(batches):
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
     for batch in batches:
-        ids, (raw, at), fulls, parts = batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), batch.column(4).to_pylist()
+        ids, (raw, at), fulls, parts = batch.column(0).to_pylist(), utf8(batch.column(1)), [_told(x, True) for x in batch.column(2).to_pylist()], batch.column(3).to_pylist()
         out = []
         for a, b in slices(at, SLICE):
             touched = any(fulls[a:b]) or any(parts[a:b])
@@ -399,17 +433,14 @@ def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sent = map_arrow(rows.where("doc_id IS NOT NULL"), _anchors(buckets), "bucket int, docs binary, grams binary, contexts binary")
-    answers = map_arrow(sent.repartition(buckets, "bucket"), _answer, "doc_id long, full binary, ask binary")
-
-    def joined(column):
-        """One blob per document, of those of its answers."""
-        return F.array_join(F.collect_list(F.hex(column)), "")
-
+    parts = "part int, docs binary, values binary"
+    answers = map_arrow(sent.repartition(buckets, "bucket"), _answer(buckets), parts)
+    told = map_arrow(answers.repartition(buckets, "part"), _gathered(1), "doc_id long, values binary").withColumnRenamed("values", "told")
     # Both joins read one exchange of the texts and one of the answers, which Spark uses again as long as their plans
-    # are the same; so both take all columns.
-    told = answers.groupBy("doc_id").agg(F.unhex(joined("full")).alias("full"), F.unhex(joined("ask")).alias("ask"))
-    known = rows.join(told, "doc_id", "left").select("doc_id", "text", "full", "ask")
+    # are the same.
+    known = rows.join(told, "doc_id", "left").select("doc_id", "text", "told")
     runs = map_arrow(known, _runs(buckets), "bucket int, lcp binary, tails binary, lefts binary, docs binary, contexts binary, places binary")
-    merged = map_arrow(runs.repartition(buckets, "bucket"), _merge, "doc_id long, partial binary")
-    partial = merged.groupBy("doc_id").agg(F.unhex(joined("partial")).alias("partial"))
-    return map_arrow(known.join(partial, "doc_id", "left").select("doc_id", "text", "full", "ask", "partial"), _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    merged = map_arrow(runs.repartition(buckets, "bucket"), _merge(buckets), parts)
+    partial = map_arrow(merged.repartition(buckets, "part"), _gathered(2), "doc_id long, values binary").withColumnRenamed("values", "partial")
+    cut = known.join(partial, "doc_id", "left").select("doc_id", "text", "told", "partial")
+    return map_arrow(cut, _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
