@@ -58,7 +58,8 @@ def covered_cells(polygons: DataFrame, key: str, width: int, height: int) -> Dat
     """key, r, c of the cells whose middle lies in a polygon (``ring`` in cell coordinates); a later key wins a cell.
 
     Every polygon makes the cells of its own bounds only, and a ray to the right decides."""
-    bounds = {n: f(F.transform("ring", lambda p, k=k: p[k])) for n, f, k in (("x0", F.array_min, 0), ("x1", F.array_max, 0), ("y0", F.array_min, 1), ("y1", F.array_max, 1))}
+    xs, ys = F.transform("ring", lambda p: p[0]), F.transform("ring", lambda p: p[1])
+    bounds = {"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)}
     box = polygons.select(key, "ring", *[e.alias(n) for n, e in bounds.items()])
     span = lambda a, b, n: F.sequence(F.greatest(F.lit(0), F.floor(a)), F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(b))))
     cells = box.withColumn("r", F.explode(span("y0", "y1", height))).withColumn("c", F.explode(span("x0", "x1", width)))
