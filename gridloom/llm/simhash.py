@@ -5,15 +5,17 @@ quarters: two fingerprints within ``radius`` bits have tiles whose counts differ
 so every other pair of tiles is skipped.  What is left is compared exactly, block against block, by numpy exclusive
 or and bit counts.  Tiles are cut into blocks of bounded size, so no task holds a whole tile.  A unit of work returns
 not its pairs but a spanning forest of them; connected components then grow by star contraction in Spark.
+``similar_groups`` compares sets of shingles instead, and needs no fingerprint.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialise
@@ -68,19 +70,10 @@ def near_tiles(radius: int) -> list[tuple[int, ...]]:
 
 
 def linked(left: np.ndarray, right: np.ndarray, radius: int, cells: int = 1 << 20):
-    """Places (i, j) of the fingerprints of two blocks within ``radius`` bits, some rows of the left at a time.  A
-    fingerprint is a row of 64-bit words; the words after the second are looked at only where the first two leave a
-    chance."""
+    """Places (i, j) of the fingerprints of two blocks within ``radius`` bits, some rows of the left at a time."""
     step = max(1, cells // max(1, len(right)))
     for k in range(0, len(left), step):
-        some = left[k : k + step]
-        apart = np.bitwise_count(some[:, None, 0] ^ right[None, :, 0])
-        if left.shape[1] > 1:
-            apart = apart + np.bitwise_count(some[:, None, 1] ^ right[None, :, 1])
-        i, j = np.nonzero(apart <= radius)
-        if left.shape[1] > 2 and len(i):
-            near = np.bitwise_count(some[i] ^ right[j]).sum(1) <= radius
-            i, j = i[near], j[near]
+        i, j = np.nonzero(np.bitwise_count(left[k : k + step, None] ^ right[None, :]) <= radius)
         yield k + i, j
 
 
@@ -155,103 +148,178 @@ def links(distinct: DataFrame, radius: int, left_block: int = 8192, right_block:
     def compare(t: pa.Table) -> pa.Table:
         side, fp = t.column("side").to_numpy(), t.column("fp").to_numpy()
         left, right = fp[side == 0], fp[side == 1]
-        u, v = forest(left, right, linked(left.view(np.uint64)[:, None], right.view(np.uint64)[:, None], radius))
+        u, v = forest(left, right, linked(left.view(np.uint64), right.view(np.uint64), radius))
         return pa.table({"u": u, "v": v})
 
     spread_out = map_arrow(distinct.select("fp"), spread, "tile long, a long, c long, side byte, fp long")
     return spread_out.groupBy("tile", "a", "c").applyInArrow(compare, "u long, v long").where("u != v")
 
 
-WIDE = 4  # words of a wide fingerprint
-
-
-def wide_fingerprint(text: bytes, shingle: int) -> tuple[bytes, int]:
-    """A fingerprint of 64 * WIDE bits, and the number of shingles; without words, zeros."""
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of a text; without words, none."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return bytes(8 * WIDE), 0
-    joined, digest = b" ".join(words), xxhash.xxh3_128_digest
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh3_64_intdigest
+    if len(words) <= shingle:
+        return np.array([digest(joined)], np.uint64)
     ends = list(accumulate((len(w) + 1 for w in words)))
-    pieces = [joined] if len(words) <= shingle else [joined[a : b - 1] for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)]
-    votes = np.zeros(64 * WIDE, np.int64)
-    for k in range(0, len(pieces), 1 << 14):
-        some = b"".join([digest(p, 1) + digest(p, 2) for p in pieces[k : k + (1 << 14)]])
-        votes += np.unpackbits(np.frombuffer(some, np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little").sum(0, np.int64)
-    return np.packbits(votes * 2 > len(pieces), bitorder="little").tobytes(), len(pieces)
+    return np.unique(np.array([digest(joined[a : b - 1]) for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)], np.uint64))
+
+
+def digest(found: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.array([xxhash.xxh3_64_intdigest(found.tobytes(), 1)], np.uint64).view(np.int64)[0])
+
+
+SKETCH = 16  # words of a sketch
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """For each of 64 * SKETCH classes of shingles, whether their number is odd: two sets differ by at least as many
+    shingles as their sketches by bits."""
+    odd = np.bincount((found >> np.uint64(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def first_shingles(found: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The set's first shingles in the order that all sets share: by hash, and after that the ``common`` (sorted) ones
+    by ``rank``.  They are so many that two sets of the similarity must share one of them."""
+    count = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        known = common[at] == found
+        found = np.concatenate([found[~known], found[known][np.argsort(rank[at[known]])]])
+    return found[:count]
 
 
 def similar_groups(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: int = 8, left_block: int = 8192, right_block: int = 65536,
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, sampled: int = 4000, stars: int = 2, block: int = 2048,
     doc: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """doc_id, component_id for every row, for shingle sets (repeats counted) of a Jaccard ``similarity`` or more.
-
-    Two texts of that similarity have an angle that sets the bits expected to differ among the 256 of a wide
-    fingerprint; ``slack`` bits more make the radius, so that few pairs are lost to chance.  Their numbers of shingles
-    differ by no more than the factor ``similarity``.  Tiles are ranges of that number and of population counts, each
-    as wide as may differ, so only neighbouring tiles are compared.  component_id is the smallest id reachable.  Null
-    and wordless texts form one group; null ids belong to a group but link nothing and name none.  Other columns are
-    not read; an empty table gives no rows.
+    """doc_id, component_id for every row, for sets of shingles of a Jaccard ``similarity`` or more.
+
+    Sets of the similarity share one of their first shingles, in any order that all sets follow; those that a sample
+    of ``sampled`` sets shows to be common come last.  All pairs that share one, and whose sizes and places leave a
+    chance, are candidates; sketches rule out more of them, and a link is only what the whole sets confirm.  In ``stars`` rounds the holders of a
+    shingle are first compared with one of them, so that a large group of copies hangs together before the pairs
+    between different components are compared.  component_id is the smallest id reachable.  Equal sets fold, by a
+    64-bit digest.  Null and wordless texts form one group; null ids link like any other but name no group that has
+    another.  Other columns are not read; an empty table gives no rows.
     """
-    radius = round(64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + slack
-    tall = 64 * WIDE // (radius + 1) + 1
     spark = docs.sparkSession
+    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
+
+    def tally(batches):
+        for batch in batches:
+            sets = [shingle_set(t or b"", shingle) for t in batch.column(0).cast(pa.large_binary()).to_pylist()]
+            found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), [])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["token", "times"])
+
+    some = rows.where(F.pmod("key", F.lit(max(1, rows.count() // sampled))) == 0).select("text")
+    tallied = map_arrow(some, tally, "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).where("times >= 4")
+    often = tallied.orderBy(F.desc("times"), "token").limit(200_000).toPandas()
+    common = often.token.to_numpy(np.int64).view(np.uint64)
+    rank = len(common) - np.arange(len(common))  # the table's order breaks ties, the same for all sets
+    order = np.argsort(common)
+    sent = spark.sparkContext.broadcast((common[order], rank[order]))
 
     def run(batches):
+        common, rank = sent.value
         for batch in batches:
-            found = [wide_fingerprint(t or b"", shingle) for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array([f for f, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], ["doc_id", "fp", "n"]
-            )
-
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    each = materialise(map_arrow(rows, run, "doc_id long, fp binary, n long"), "op5-wide")
-    # Equal fingerprints link whatever their texts' lengths, and so fold; a group is compared by its shortest and its
-    # longest member.
-    folded = materialise(each.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("n").alias("low"), F.max("n").alias("high")), "op5-folded")
-    size = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1))) / F.lit(-float(np.log(similarity))) + 1e-9)
-    count = " + ".join(f"bit_count(cast(conv(hex(substring(fp, {8 * k + 1}, 8)), 16, -10) as bigint))" for k in range(WIDE))
-    tiled = folded.where("node IS NOT NULL").select(
-        "node", "fp", F.floor(F.expr(count) / (radius + 1)).alias("row"), F.explode(F.array_distinct(F.array(size("low"), size("high")))).alias("size")
+            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
+            for k in range(0, len(texts), 1000):
+                sets = [shingle_set(t or b"", shingle) for t in texts[k : k + 1000]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(k, len(sets)), batch.column(2).slice(k, len(sets)), pa.array([digest(s) for s in sets], pa.int64()),
+                        pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()),
+                        pa.array([first_shingles(s, common, rank, similarity).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                    ],
+                    ["doc_id", "key", "node", "n", "sketch", "firsts"],
+                )
+
+    each = materialise(map_arrow(rows, run, "doc_id long, key long, node long, n long, sketch binary, firsts array<long>"), "op5-sets")
+    # A set's text stands for it; rows that repeat the text or the set fold.
+    folded = materialise(each.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.count("*").alias("copies")), "op5-folded")
+    many = materialise(folded.where("copies > 1").select("node"), "op5-many")
+    lone = each.join(many, "node", "left_anti").where("n > 0").select("node", "n", "sketch", "firsts")
+    repeated = each.join(many, "node", "left_semi").where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "firsts")])
+    sets = lone.unionByName(repeated)
+    held = sets.select("node", "n", F.posexplode("firsts").alias("place", "token")).select("token", "node", "n", F.col("place").cast("long").alias("place"))
+    held = held.withColumn("holders", F.count("*").over(Window.partitionBy("token"))).where("holders > 1")
+    shared = materialise(held, "op5-shared")
+    nodes = materialise(shared.select("node").distinct(), "op5-nodes")
+    sketches = materialise(sets.join(nodes, "node", "left_semi").select("node", "sketch"), "op5-sketches")
+
+    # What is left of both sets after the shared shingle bounds how much they share; for the first one they share, exactly.
+    chance = F.expr(
+        f"least(n, n2) >= {similarity} * greatest(n, n2) - 1e-9 AND (1 + least(n - place - 1, n2 - place2 - 1)) * {1 + similarity} >= {similarity} * (n + n2) - 1e-9"
     )
-    tiled = tiled.select("node", "fp", (F.col("size") * (tall + 2) + F.col("row") + 1).cast("long").alias("tile"))
-    # There are as many tiles as ranges of lengths times ranges of counts, whatever the input.
-    counts = dict(tiled.groupBy("tile").count().collect())
-    steps = [0, 1, tall + 1, tall + 2, tall + 3]
-    blocks = {t: -(-n // left_block) for t, n in counts.items()}
-    pools = {t: -(-sum(counts.get(t + s, 0) for s in steps) // right_block) for t in counts}
-    sent = spark.sparkContext.broadcast((blocks, pools))
 
-    def spread(batches):
-        blocks, pools = sent.value
+    def whole(batches):
         for batch in batches:
-            node, tile = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            salt = (node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64)
-            for side, step in [(0, 0), *((1, s) for s in steps)]:
-                home = tile - step
-                kept, free = (np.array([d.get(t, 0) for t in home.tolist()], np.int64) for d in ((blocks, pools) if side == 0 else (pools, blocks)))
-                times = np.where(kept > 0, free, 0)
-                row = np.repeat(np.arange(len(node)), times)
-                other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                own = salt[row] % kept[row]
-                a, c = (own, other) if side == 0 else (other, own)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(home[row]), pa.array(a), pa.array(c), pa.array(np.full(len(row), side, np.int8)), pa.array(node[row]), batch.column(1).take(pa.array(row))],
-                    ["tile", "a", "c", "side", "node", "fp"],
-                )
+            sets = [shingle_set(t, shingle) for t in batch.column(0).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
-    def compare(t: pa.Table) -> pa.Table:
-        side, node = t.column("side").to_numpy(), t.column("node").to_numpy()
-        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
-        u, v = forest(node[side == 0], node[side == 1], linked(fp[side == 0], fp[side == 1], radius))
-        return pa.table({"u": u, "v": v})
+    def may(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH) for c in (4, 5))
+            most = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (1 - similarity) / (1 + similarity) + 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= most))
 
-    units = map_arrow(tiled, spread, "tile long, a long, c long, side byte, node long, fp binary")
-    roots = components(units.groupBy("tile", "a", "c").applyInArrow(compare, "u long, v long").where("u != v"), "op5-similar")
-    rooted = folded.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return each.join(rooted, "fp").select("doc_id", "component_id")
+    def confirm(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                both = np.count_nonzero(y[at] == x)
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs that the sketches allow and the whole sets, made again from the texts, confirm."""
+        turned = F.when(F.col("node") > F.col("node2"), F.struct(F.col("node").alias("u"), F.col("node2").alias("v"), F.col("n").alias("m"), F.col("n2").alias("o")))
+        turned = turned.otherwise(F.struct(F.col("node2").alias("u"), F.col("node").alias("v"), F.col("n2").alias("m"), F.col("n").alias("o")))
+        pairs = pairs.select(turned.alias("pair")).select("pair.*").distinct()
+        left, right = sketches.toDF("u", "x"), sketches.toDF("v", "y")
+        near = materialise(map_arrow(pairs.join(left, "u").join(right, "v").select("u", "v", "m", "o", "x", "y"), may, "u long, v long"), "op5-near")
+        ends = near.select(F.col("u").alias("node")).union(near.select("v")).distinct()
+        keys = materialise(folded.join(ends, "node", "left_semi").select("key"), "op5-keys")
+        texts = rows.join(keys, "key", "left_semi").select("text")
+        compared = materialise(map_arrow(texts, whole, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "op5-compared")
+        left, right = compared.toDF("u", "x"), compared.toDF("v", "y")
+        return materialise(map_arrow(near.join(left, "u").join(right, "v").select("u", "v", "x", "y"), confirm, "u long, v long"), "op5-confirmed")
+
+    def grouped(roots: DataFrame) -> DataFrame:
+        return shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    other = [F.col(c).alias(f"{c}2") for c in ("node", "n", "place", "root")]
+    roots = spark.createDataFrame([], "node long, root long")
+    edges = roots.toDF("u", "v")
+    for k in range(stars):
+        now = grouped(roots).withColumn("size", F.floor(F.log("n") / F.lit(-math.log(similarity))))
+        middle = now.groupBy("token", "size").agg(F.min_by(F.struct(*other), F.xxhash64("node", F.lit(k))).alias("middle"))
+        found = confirmed(now.join(middle, ["token", "size"]).select("*", "middle.*").where("root != root2").where(chance))
+        if not found.limit(1).count():
+            break
+        edges = materialise(edges.unionByName(found), "op5-edges")
+        roots = components(edges, "op5-similar")
+    now = materialise(grouped(roots), "op5-grouped")
+    # Of a shingle's holders, those outside its largest component meet all others; a long list is met in blocks.
+    largest = now.groupBy("token", "root").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots"))
+    met = now.join(largest.where("roots > 1"), "token").withColumn("blocks", F.ceil(F.col("holders") / block).cast("int"))
+    left = met.where("root != main").withColumn("part", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    right = met.select("token", *other, (F.col("root") == F.col("main")).alias("central"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    found = confirmed(left.join(right, ["token", "part"]).where("root != root2 AND (central OR node < node2)").where(chance))
+    roots = components(edges.unionByName(found), "op5-similar")
+    rooted = folded.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return each.select("doc_id", "node").join(rooted.join(named, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:

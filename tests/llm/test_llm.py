@@ -129,6 +129,35 @@ def test_similar_groups(spark):
     assert got == {5: 5, 6: 5, 7: 7, 8: 8, 9: 5}
 
 
+def test_similar_groups_are_those_of_exact_jaccard(spark):
+    """Copies of a few texts with edits, so that similarities lie on both sides of 0.8; one common passage; tiny blocks."""
+    own, rows = random.Random(5), []
+    for size in (6, 30, 80, 200):
+        for _ in range(4):
+            base = [own.choice(WORDS) for _ in range(size)]
+            rows.append(" ".join(base))
+            for _ in range(8):
+                copy = base.copy()
+                for _ in range(own.randint(0, max(1, size // 20))):
+                    copy[own.randrange(size)] = own.choice(WORDS)
+                rows.append(" ".join([*copy, *PASSAGE.split()[: own.choice([0, 0, size // 5])]]))
+    rows += [PASSAGE + " " + " ".join(own.choice(WORDS) for _ in range(k)) for k in range(8, 14)] + ["two words", "Two  words", "", None, " "]
+
+    def sets(t):
+        w = lower(t).split()
+        return frozenset(" ".join(w[a : a + 5]) for a in range(max(1, len(w) - 4))) if w else frozenset()
+
+    held = [sets(t) for t in rows]
+    alike = {(a, b): len(held[a] & held[b]) / (len(held[a] | held[b]) or 1) if held[a] or held[b] else 1.0 for a in range(len(rows)) for b in range(a + 1, len(rows))}
+    assert sum(0.7 <= j < 0.8 for j in alike.values()) > 20 and sum(0.8 <= j < 0.9 for j in alike.values()) > 20
+    find = groups_of(range(len(rows)), lambda a, b: alike[a, b] >= 0.8)
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for how in ({}, {"stars": 0, "block": 3}):
+        got = {r.doc_id: r.component_id for r in simhash.similar_groups(table, **how).collect()}
+        assert got == {k: find(k) for k in range(len(rows))}
+    assert simhash.similar_groups(table.where("false")).count() == 0
+
+
 # --- repeats
 
 
