@@ -348,6 +348,20 @@ def test_pipeline_stages(spark, docs, empty, sf_dir):
         assert corpus_pipeline.STAGES[-1][1](spark, found, sf_dir).where("doc_id IS NULL").count() == 0
 
 
+def test_pipeline_tells_rows_of_one_id_apart(spark, sf_dir):
+    """The clean text of an id stays where another text of that id is a near copy or a leak."""
+    import corpus_pipeline
+
+    base, clean = sentence(200), sentence(150)
+    leak = next(r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").collect() if len(r.text or "") >= 60)
+    rows = [(1, base, "x"), (2, base + " tail", "x"), (2, clean, "y"), (3, leak, "x"), (3, clean[::-1], "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    near = corpus_pipeline.dedup_near(spark, docs, sf_dir)
+    assert near.columns == docs.columns and sorted((r.doc_id, r.source) for r in near.collect()) == [(1, "x"), (2, "y"), (3, "x"), (3, "y")]
+    found = corpus_pipeline.decontaminate_benchmark(spark, docs, sf_dir).collect()
+    assert sorted((r.doc_id, r.source) for r in found) == [(1, "x"), (2, "x"), (2, "y"), (3, "y")]
+
+
 def test_pipeline_runs(spark, sf_dir):
     import corpus_pipeline
 
