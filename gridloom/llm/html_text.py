@@ -4,7 +4,7 @@ A page becomes a tree of elements, tolerant of tags that are not closed.  Elemen
 they are menus, headers, footers, sidebars, notices, adverts, forms or reader comments go, and where a page marks its
 article, the rest of it goes too.  What no mark tells apart is left to the sites: every element subtree that could be
 a template is hashed, Spark counts on how many different pages of a host each hash stands, and subtrees that recur on
-many of them are deleted.  Pages with one main text (copies) count once, so copied articles are not templates.
+many of them are deleted.  Pages with one text (copies) count once, so copied articles are not templates.
 """
 
 from __future__ import annotations
@@ -180,7 +180,7 @@ def _own(tag: str, marks: str) -> tuple[bool, bool]:
 
 def extract(source: str) -> tuple[list[tuple[str, list[int]]], int]:
     """Blocks of the main text, each with the hashes of the subtrees around it that may be a template; and a hash
-    that tells main texts apart."""
+    that tells pages' texts apart."""
     page = Page(source)
     n = len(page.tags)
     heads = [tag in ("h1", "main") for tag in page.tags]
@@ -221,8 +221,7 @@ def extract(source: str) -> tuple[list[tuple[str, list[int]]], int]:
             if not parts:
                 first = k
             parts.append(text)
-    longest = max((b for b, _ in blocks), key=len, default="")
-    return blocks, page._digest(longest.encode()) >> 1
+    return blocks, page._digest("\n".join(b for b, _ in blocks).encode()) >> 1
 
 
 PARSED = "uid long, page_id long, url string, host string, main long, blocks array<struct<text:string,within:array<long>>>"
@@ -246,13 +245,13 @@ def _parse(batches):
         uid += len(ids)
 
 
-def templates(parsed: DataFrame, least: int = 8, share: float = 0.2) -> DataFrame:
-    """(host, subtree) that stands on at least ``least`` pages with different main texts, and on ``share`` of the
-    host's.  Repeated sightings fold before every shuffle, so a host with a third of all pages is no heavier."""
+def templates(parsed: DataFrame, least: int = 8, share: float = 0.2, enough: int = 100) -> DataFrame:
+    """(host, subtree) that stands on at least ``least`` pages with different texts, and on ``share`` of the host's or
+    on ``enough``, however large the host is.  Repeated sightings fold before every shuffle, so a host with a third of all pages is no heavier."""
     seen = parsed.select("host", "main", F.explode(F.array_distinct(F.flatten("blocks.within"))).alias("subtree")).distinct()
     counted = seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     sizes = parsed.select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    return counted.join(sizes, "host").where(F.col("n") >= share * F.col("pages")).select("host", "subtree")
+    return counted.join(sizes, "host").where(F.col("n") >= F.least(share * F.col("pages"), F.lit(enough))).select("host", "subtree")
 
 
 def main_text(

@@ -303,6 +303,14 @@ def test_templates_go_and_copies_stay(spark):
     assert html_text.main_text(pages.where("false")).count() == 0
 
 
+def test_long_templates_and_those_of_large_hosts_go(spark):
+    notice = "<div><p>" + "All rights to what stands here are with the publisher of the site. " * 4 + "</p></div>"
+    rows = [(k, "http://short.example.com/", f"<body><div><p>own {k} {sentence(3)}</p></div>{notice}</body>") for k in range(20)]
+    rows += [(100 + k, "http://hot.example.com/", f"<body><div><p>own {k} {sentence(9)}</p></div>{notice if k % 10 == 0 else ''}</body>") for k in range(1200)]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and all("own" in r.text and "rights" not in r.text for r in got)
+
+
 # --- models
 
 
