@@ -44,7 +44,10 @@ DROPPED_WORDS = frozenset(
     " cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related"
     " breadcrumb breadcrumbs pagination pager toolbar widget copyright alert form search".split()
 )
+#: Words that beside a dropped one still name a part of the page's layout.
+PARTS = frozenset("area bar block box btn button buttons container content form icon icons inner item items links list panel posts section wrap wrapper".split())
 COMMENT_WORDS = frozenset("comment comments commentlist replies reply respond discussion disqus".split())
+TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre li dt dd td th caption figcaption".split())
 CORE = frozenset(("article", "main"))
 SOFT = frozenset("div section ul ol table figure details".split())
 
@@ -157,15 +160,26 @@ class Page:
                 at = stop.start() if stop else n
 
 
-def _own(tag: str, marks: str) -> tuple[bool, bool]:
-    """Does the element's tag or mark say that it is not the article; does it hold reader comments."""
+def _names(words: set[str], some: frozenset[str]) -> bool:
+    """Do the words of one class name a part of the page, and nothing else."""
+    return bool(words & some) and words <= some | DROPPED_WORDS | PARTS
+
+
+def _own(tag: str, marks: str, inside: bool) -> tuple[bool, bool]:
+    """Does the element's tag or mark say that it is not the article; does it hold reader comments.  On headings and
+    texts, and inside the article, ids are often made from the text: there only whole classes tell, and of the ids
+    only that of comments."""
     if tag in ("html", "body"):
         return False, False
     dropped, comments = tag in DROPPED_TAGS or tag in RAW, False
     if marks and not marks.isspace():
         for name, value in _MARKS.findall(marks):
             name, value = name.lower(), value.strip("\"'")
-            if name in ("class", "id"):
+            if name in ("class", "id") and (inside or tag in TEXTS):
+                tokens = [{w.lower() for w in _WORDS.findall(token)} for token in value.split()]
+                dropped |= name == "class" and any(_names(t, DROPPED_WORDS) for t in tokens)
+                comments |= (name == "class" or tag not in TEXTS) and any(_names(t, COMMENT_WORDS) for t in tokens)
+            elif name in ("class", "id"):
                 words = {w.lower() for w in _WORDS.findall(value)}
                 dropped |= bool(words & DROPPED_WORDS)
                 comments |= bool(words & COMMENT_WORDS)
@@ -192,7 +206,7 @@ def extract(source: str) -> tuple[list[tuple[str, list[int]]], int]:
     gone, inside, article = [False] * n, [False] * n, [False] * n
     for k in range(1, n):
         p, tag = page.parents[k], page.tags[k]
-        dropped, comments = _own(tag, page.marks[k])
+        dropped, comments = _own(tag, page.marks[k], inside[p])
         inside[k] = inside[p]
         if tag == "header" or (dropped and tag not in DROPPED_TAGS and tag not in RAW):
             # A mark on what holds the article tells of its layout; a header inside an article is the article's own.

@@ -293,6 +293,13 @@ def test_main_text():
     assert html_text.extract("")[0] == [] and [b for b, _ in html_text.extract("plain  text <é> &am")[0]] == ["plain text <é> &am"]
 
 
+def test_slugs_of_the_article_are_not_marks():
+    body = """<h1>Head</h1><h2 id="related-work">Related work</h2><p class="ad-hoc">One</p><section id="copyright-law"><p>Two</p></section><div id="banner-making"><p>Three</p></div>"""
+    want = ["Head", "Related work", "One", "Two", "Three"]
+    assert [b for b, _ in html_text.extract(f'<article>{body}<div class="related-posts">Else</div><p class="ad">Buy</p></article>')[0]] == want
+    assert [b for b, _ in html_text.extract("<body><h2 id='search-results'>Search results</h2><p id='notice'>Four</p><div id='sidebar'>Else</div>")[0]] == ["Search results", "Four"]
+
+
 def test_templates_go_and_copies_stay(spark):
     rows = [(k, f"http://h.example.com/{k}", f"<body><div><p>Welcome to our site</p></div><div><p>{sentence(12)}</p></div></body>") for k in range(30)]
     rows += [(100 + k, f"http://h.example.com/c{k}", "<body><div><p>A copied article of the site</p></div></body>") for k in range(20)] + [(None, None, None), (7, "http://h.example.com/7", "")]
