@@ -139,3 +139,10 @@ def test_utm_of_a_known_place(spark):
     # A degree east of the central meridian: k0 * cos(lat) * 111.6 km, more or less.
     assert row.z == 32645 and abs(row.e - 500000 - 0.9996 * 6378137 * math.radians(1) * math.cos(math.radians(27)) / math.sqrt(1 - 0.00669438 * math.sin(math.radians(27)) ** 2)) < 60
     assert 2_980_000 < row.n < 2_995_000
+
+
+def test_small_falls_are_seen_in_large_sums(spark):
+    from gridloom.operators import graph
+
+    before, after = (spark.createDataFrame([(4 * 10**17,), (last,)], "label long") for last in (9, 8))
+    assert graph._stable(before, "label") != graph._stable(after, "label")
