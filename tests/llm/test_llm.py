@@ -220,6 +220,24 @@ def test_packing_round_trip(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_words_have_the_ids_of_the_tokenizer(monkeypatch):
+    """Random texts of letters, marks, digits and odd spaces, also when the cache holds few words."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tok, own = Tokenizer.from_file(path), random.Random(3)
+    signs = "aZ\xe9'\xdf\xc91\u0663\xbd\xb2\xaa.!\u2019\u0301\x00\x07\x1c   \n\t\u65e5\xff\xd7\u0130'sS''tRE_~"
+    texts = ["".join(own.choice(signs) for _ in range(own.randint(0, 12))) for _ in range(3000)] + [sentence(500), "", "ab" * 40_000]
+    for kept in (packing.WORDS_KEPT, 40):
+        monkeypatch.setattr(packing, "WORDS_KEPT", kept)
+        words = packing.WordIds(path, "<u2")
+        assert words.letters_apart
+        for k in range(0, len(texts), 50):
+            ids, at = words.ids(pa.array(texts[k : k + 50]), b"\x02\x00")
+            assert [ids[i:j].tolist() for i, j in zip(at, at[1:], strict=False)] == [[*tok.encode(t, add_special_tokens=False).ids, 2] for t in texts[k : k + 50]]
+
+
 # --- decontamination
 
 
