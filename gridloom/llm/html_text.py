@@ -1,18 +1,23 @@
 """Main text of web pages, with site templates removed.
 
-A page becomes a tree of elements, tolerant of tags that are not closed.  Elements whose tag, role or class says that
-they are menus, headers, footers, sidebars, notices, adverts, forms or reader comments go, and where a page marks its
-article, the rest of it goes too.  What no mark tells apart is left to the sites: every element subtree that could be
-a template is hashed, Spark counts on how many different pages of a host each hash stands, and subtrees that recur on
-many of them are deleted.  Pages with one text (copies) count once, so copied articles are not templates.
+A page becomes a tree of elements, tolerant of tags that are not closed, and its text becomes blocks in page order.
+
+1. Every subtree that does not hold the article is hashed, and Spark counts on how many pages of its host, told apart
+   by their texts, each hash stands.  Subtrees that recur go, with the blocks they cover: menus, adverts, footers and
+   notices that a site puts on its pages.  Pages with one text (copies) count once, so copied articles are no templates.
+2. What the count leaves open, on hosts of few pages or where a part stands on few of them, the page's own marks
+   settle: tags, roles and classes of menus, headers, footers, sidebars, notices, adverts, forms and reader comments
+   go, and where a page marks its article, the rest of it goes too.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -60,12 +65,13 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Page:
-    """Elements in page order (``tags``, ``parents``, ``marks``, ``hashes``) and pieces of text (element, block, text)."""
+    """Elements in page order (``tags``, ``parents``, ``marks``, ``hashes``, and the ``spans`` of pieces that they cover)
+    and pieces of text (element, block, text)."""
 
     def __init__(self, source: str):
         from xxhash import xxh64_intdigest
 
-        self.tags, self.parents, self.marks, self.hashes = ["html"], [-1], [""], [0]
+        self.tags, self.parents, self.marks, self.hashes, self.spans = ["html"], [-1], [""], [0], [(0, 0)]
         self.pieces: list[tuple[int, int, str]] = []
         self._digest, self._parts, self._open, self._held, self._block = xxh64_intdigest, [["html"]], [0], Counter(), 0
         self._read(source)
@@ -77,6 +83,7 @@ class Page:
         tag = self.tags[k]
         self._held[tag] -= 1
         self._block += tag in BLOCKS
+        self.spans[k] = (self.spans[k][0], len(self.pieces))
         self.hashes[k] = h = self._digest("\x1f".join(self._parts.pop()).encode()) >> 1
         if self._parts:
             self._parts[-1].append(f"{h:x}")
@@ -117,6 +124,7 @@ class Page:
         self.parents.append(self._open[-2])
         self.marks.append(marks)
         self.hashes.append(0)
+        self.spans.append((len(self.pieces), 0))
         self._parts.append([tag])
         if closed and tag not in BLOCKS:
             self._pop()
@@ -192,9 +200,10 @@ def _own(tag: str, marks: str, inside: bool) -> tuple[bool, bool]:
     return dropped, comments
 
 
-def extract(source: str) -> tuple[list[tuple[str, list[int]]], int]:
-    """Blocks of the main text, each with the hashes of the subtrees around it that may be a template; and a hash
-    that tells pages' texts apart."""
+def extract(source: str) -> tuple[list[tuple[str, bool]], list[tuple[int, int, int, bool]], int]:
+    """Of a page: its blocks, each with whether marks drop it (and without its text if so); the subtrees that may be a
+    template, as (hash, first block, block after the last, does it lie beside a marked article); and a hash that tells
+    pages' texts apart."""
     page = Page(source)
     n = len(page.tags)
     heads = [tag in ("h1", "main") for tag in page.tags]
@@ -203,11 +212,12 @@ def extract(source: str) -> tuple[list[tuple[str, list[int]]], int]:
         p = page.parents[k]
         heads[p] |= heads[k]
         core[p] |= core[k]
-    gone, inside, article = [False] * n, [False] * n, [False] * n
+    gone, inside, article, raw = [False] * n, [False] * n, [False] * n, [False] * n
     for k in range(1, n):
         p, tag = page.parents[k], page.tags[k]
         dropped, comments = _own(tag, page.marks[k], inside[p])
         inside[k] = inside[p]
+        raw[k] = raw[p] or tag in RAW or tag == "head"
         if tag == "header" or (dropped and tag not in DROPPED_TAGS and tag not in RAW):
             # A mark on what holds the article tells of its layout; a header inside an article is the article's own.
             dropped = not (heads[k] or core[k] and tag not in CORE) and not (tag == "header" and inside[p])
@@ -218,73 +228,123 @@ def extract(source: str) -> tuple[list[tuple[str, list[int]]], int]:
         else:
             article[k] = article[p]
     kept = [k for k, _, text in page.pieces if not gone[k] and not text.isspace()]
-    scope = article if any(article[k] for k in kept) else inside if any(inside[k] for k in kept) else [True] * n
-    within: list[tuple[int, ...]] = [()] * n
+    marked = any(inside[k] for k in kept)
+    scope = article if any(article[k] for k in kept) else inside if marked else [True] * n
+    blocks: list[tuple[str, bool]] = []
+    starts: list[int] = []  # the first piece of each block
+    last, parts, any_text, first = -1, [], False, 0
+    for at, (k, block, text) in enumerate([*page.pieces, (0, -2, "")]):
+        if block != last:
+            tidy = " ".join("".join(parts).split())
+            if tidy or any_text:
+                blocks.append((tidy, not tidy))
+                starts.append(first)
+            last, parts, any_text, first = block, [], False, at
+        if not raw[k]:
+            if not gone[k] and scope[k]:
+                parts.append(text)
+            any_text = any_text or not text.isspace() and text != ""
+    elements: list[tuple[int, int, int, bool]] = []
+    spans: list[tuple[int, int]] = [(0, 0)] * n
     for k in range(1, n):
-        p, tag = page.parents[k], page.tags[k]
+        tag, (a, b) = page.tags[k], page.spans[k]
         own = tag in SOFT if inside[k] else tag in BLOCKS and tag != "body"
-        within[k] = (*within[p], page.hashes[k]) if own and not heads[k] and not core[k] else within[p]
-    blocks: list[tuple[str, list[int]]] = []
-    last, parts, first = -1, [], 0
-    for k, block, text in [*page.pieces, (0, -2, "")]:
-        if block != last:
-            if tidy := " ".join("".join(parts).split()):
-                blocks.append((tidy, list(within[first])))
-            last, parts, first = block, [], k
-        if not gone[k] and scope[k]:
-            if not parts:
-                first = k
-            parts.append(text)
-    return blocks, page._digest("\n".join(b for b, _ in blocks).encode()) >> 1
+        spans[k] = span = bisect_left(starts, a), bisect_left(starts, b)
+        if own and not heads[k] and not core[k] and not raw[k] and span[0] < span[1] and span != spans[page.parents[k]]:
+            elements.append((page.hashes[k], *span, marked and not inside[k]))
+        elif not own or heads[k] or core[k]:
+            spans[k] = (0, 0)  # no candidate itself: what fills it may be one
+    return blocks, elements, page._digest("\n".join(b for b, gone in blocks if not gone).encode()) >> 1
+
+
+PARSED = (
+    "uid long, page_id long, url string, host string, main long, blocks array<struct<text:string,marked:boolean>>,"
+    " elements array<struct<subtree:long,first:int,stop:int,beside:boolean>>"
+)
+_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("marked", pa.bool_())]))
+_ELEMENTS = pa.list_(pa.struct([("subtree", pa.int64()), ("first", pa.int32()), ("stop", pa.int32()), ("beside", pa.bool_())]))
 
 
-PARSED = "uid long, page_id long, url string, host string, main long, blocks array<struct<text:string,within:array<long>>>"
-_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("within", pa.list_(pa.int64()))]))
+def _lists(rows: list[list[tuple]], kind: pa.ListType) -> pa.ListArray:
+    flat = [x for row in rows for x in row]
+    columns = zip(*flat, strict=True) if flat else [[] for _ in kind.value_type]
+    fields = list(kind.value_type)
+    offsets = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], [f.name for f in fields]))
 
 
 def _parse(batches):
     uid = TaskContext.get().partitionId() << 40
     for batch in batches:
-        ids, urls, pages = (c.to_pylist() for c in batch.columns)
-        found = [extract(p or "") for p in pages]
-        hosts = [m[1].lower() if (m := re.match(r"(?:[A-Za-z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", u or "")) else "" for u in urls]
-        blocks = [[{"text": t, "within": w} for t, w in b] for b, _ in found]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(range(uid, uid + len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(hosts, pa.string()),
-                pa.array([m for _, m in found], pa.int64()), pa.array(blocks, _BLOCKS),
-            ],
-            ["uid", "page_id", "url", "host", "main", "blocks"],
-        )
-        uid += len(ids)
-
-
-def templates(parsed: DataFrame, least: int = 8, share: float = 0.2, enough: int = 100) -> DataFrame:
-    """(host, subtree) that stands on at least ``least`` pages with different texts, and on ``share`` of the host's or
-    on ``enough``, however large the host is.  Repeated sightings fold before every shuffle, so a host with a third of all pages is no heavier."""
-    seen = parsed.select("host", "main", F.explode(F.array_distinct(F.flatten("blocks.within"))).alias("subtree")).distinct()
-    counted = seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+        for k in range(0, batch.num_rows, 1000):
+            part = batch.slice(k, 1000)
+            ids, urls, pages = (c.to_pylist() for c in part.columns)
+            found = [extract(p or "") for p in pages]
+            hosts = [m[1].lower() if (m := re.match(r"(?:[A-Za-z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", u or "")) else "" for u in urls]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(range(uid, uid + len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(hosts, pa.string()),
+                    pa.array([m for _, _, m in found], pa.int64()), _lists([b for b, _, _ in found], _BLOCKS), _lists([e for _, e, _ in found], _ELEMENTS),
+                ],
+                ["uid", "page_id", "url", "host", "main", "blocks", "elements"],
+            )
+            uid += len(ids)
+
+
+def templates(parsed: DataFrame, beside: int = 3, least: int = 8, share: float = 0.2, enough: int = 100) -> DataFrame:
+    """(host, subtree, n, anywhere) that stands on n pages with different texts: on ``beside`` or more, which will do
+    beside a marked article; and ``anywhere`` if on ``least`` or more, and on ``share`` of the host's or on ``enough``,
+    however large the host is.  Repeated sightings fold before every shuffle, so a host with a third of all pages is no heavier."""
+    seen = parsed.select("host", "main", F.explode(F.array_distinct("elements.subtree")).alias("subtree")).distinct()
+    counted = seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min(beside, least))
     sizes = parsed.select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    return counted.join(sizes, "host").where(F.col("n") >= F.least(share * F.col("pages"), F.lit(enough))).select("host", "subtree")
+    anywhere = (F.col("n") >= least) & (F.col("n") >= F.least(share * F.col("pages"), F.lit(enough)))
+    return counted.join(sizes, "host").select("host", "subtree", "n", anywhere.alias("anywhere")).where((F.col("n") >= beside) | F.col("anywhere"))
+
+
+def cuts(parsed: DataFrame, found: DataFrame, hot: int = 20_000) -> DataFrame:
+    """(uid, cut): the ranges of each page's blocks that are templates.  A template on more than ``hot`` pages meets
+    its sightings in as many parts as the commonest one needs; the templates of that kind are few, whatever the input."""
+    sights = parsed.select("uid", "host", F.explode("elements").alias("e")).select("uid", "host", "e.*")
+    most = found.agg(F.max("n")).first()[0] or 0
+    joined = sights.join(found.where(F.col("n") <= hot), ["host", "subtree"])
+    if most > hot:
+        salts = -(-most // hot)
+        salted = found.where(F.col("n") > hot).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        joined = joined.unionByName(sights.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(salts))).join(salted, ["host", "subtree", "salt"]).drop("salt"))
+    return joined.where("beside OR anywhere").groupBy("uid").agg(F.collect_list(F.struct("first", "stop")).alias("cut"))
+
+
+def _finish(batches):
+    """Blocks that neither a template covers nor a mark drops, and how many went for each reason."""
+    for batch in batches:
+        texts, by_count, by_marks = [], [], []
+        for blocks, cut in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            steps = np.zeros(len(blocks) + 1, np.int64)
+            for c in cut or ():
+                steps[c["first"]] += 1
+                steps[c["stop"]] -= 1
+            covered = np.cumsum(steps[:-1]) > 0
+            texts.append("\n".join(b["text"] for b, gone in zip(blocks, covered.tolist(), strict=True) if not gone and not b["marked"]))
+            by_count.append(int(covered.sum()))
+            by_marks.append(sum(b["marked"] and not gone for b, gone in zip(blocks, covered.tolist(), strict=True)))
+        columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(by_count, pa.int32()), pa.array(by_marks, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars", "blocks_by_count", "blocks_by_marks"])
 
 
 def main_text(
-    pages: DataFrame, least: int = 8, share: float = 0.2, salts: int = 16, page: str = "page_id", url: str = "url", source: str = "html"
+    pages: DataFrame, beside: int = 3, least: int = 8, share: float = 0.2, page: str = "page_id", url: str = "url", source: str = "html"
 ) -> DataFrame:
-    """page_id, url, text, n_chars of every row.
+    """page_id, url, text, n_chars of every row, and how many blocks the count and the marks removed.
 
     White space inside a block is one space, and blocks are joined by one line end; character references are decoded.
-    Null and empty pages, and pages without text, give an empty text.  A null URL belongs to the host "".  Rows
-    repeated with one id, null ids and copies of a page are each kept.  A page that the site's templates would empty
-    keeps its text.  Other columns are not read; an empty table gives no rows.
+    Null and empty pages, and pages whose text is all template, give an empty text.  A null URL belongs to the host "".
+    Rows repeated with one id, null ids and copies of a page are each kept.  A page of any length or depth is parsed
+    whole, in memory and time linear in it.  Other columns are not read; an empty table gives no rows.
     """
     rows = pages.select(F.col(page).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(source).alias("html"))
     parsed = materialise(map_arrow(rows, _parse, PARSED), "op3-parsed")
-    found = materialise(templates(parsed, least, share), "op3-templates")
-    # A template stands on a large part of its host's pages, so its pages are spread over salts.
-    sights = parsed.select("uid", "host", F.explode(F.array_distinct(F.flatten("blocks.within"))).alias("subtree"), (F.col("uid") % salts).alias("salt"))
-    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    cuts = materialise(sights.join(salted, ["host", "subtree", "salt"]).groupBy("uid").agg(F.collect_set("subtree").alias("cut")), "op3-cuts")
-    left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["within"], F.coalesce("cut", F.array().cast("array<bigint>"))))
-    text = F.array_join(F.transform(F.when(F.size(left) > 0, left).otherwise(F.col("blocks")), lambda b: b["text"]), "\n")
-    return parsed.join(cuts, "uid", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    found = materialise(templates(parsed, beside, least, share), "op3-templates")
+    cut = materialise(cuts(parsed, found), "op3-cuts")
+    left = parsed.join(cut, "uid", "left").select("page_id", "url", "blocks", "cut")
+    return map_arrow(left, _finish, "page_id long, url string, text string, n_chars long, blocks_by_count int, blocks_by_marks int")

@@ -306,16 +306,20 @@ PAGE = """<!doctype html><html><head><title>t</title><style>p{}</style></head><b
 <ul><li>a<li>b</ul><div class="share-buttons">Share</div><form>Search</form></article><section id="comments"><article>I disagree</article></section><aside>More</aside><footer>&copy;</footer>"""
 
 
+def kept_blocks(page):
+    return [b for b, marked in html_text.extract(page)[0] if not marked]
+
+
 def test_main_text():
-    assert [b for b, _ in html_text.extract(PAGE)[0]] == ["Head & line", "One two <3 a < b", "Three four", "café x", "a", "b"]
-    assert html_text.extract("")[0] == [] and [b for b, _ in html_text.extract("plain  text <é> &am")[0]] == ["plain text <é> &am"]
+    assert kept_blocks(PAGE) == ["Head & line", "One two <3 a < b", "Three four", "café x", "a", "b"]
+    assert html_text.extract("")[0] == [] and kept_blocks("plain  text <é> &am") == ["plain text <é> &am"]
 
 
 def test_slugs_of_the_article_are_not_marks():
     body = """<h1>Head</h1><h2 id="related-work">Related work</h2><p class="ad-hoc">One</p><section id="copyright-law"><p>Two</p></section><div id="banner-making"><p>Three</p></div>"""
     want = ["Head", "Related work", "One", "Two", "Three"]
-    assert [b for b, _ in html_text.extract(f'<article>{body}<div class="related-posts">Else</div><p class="ad">Buy</p></article>')[0]] == want
-    assert [b for b, _ in html_text.extract("<body><h2 id='search-results'>Search results</h2><p id='notice'>Four</p><div id='sidebar'>Else</div>")[0]] == ["Search results", "Four"]
+    assert kept_blocks(f'<article>{body}<div class="related-posts">Else</div><p class="ad">Buy</p></article>') == want
+    assert kept_blocks("<body><h2 id='search-results'>Search results</h2><p id='notice'>Four</p><div id='sidebar'>Else</div>") == ["Search results", "Four"]
 
 
 def test_templates_go_and_copies_stay(spark):
@@ -336,6 +340,44 @@ def test_long_templates_and_those_of_large_hosts_go(spark):
     assert len(got) == len(rows) and all("own" in r.text and "rights" not in r.text for r in got)
 
 
+def test_count_removes_what_a_naive_count_does(spark):
+    """Menus without a mark, from a pool, beside articles: those on three pages of the host or more go by count, and
+    only those; what marks name goes anyway.  The naive version counts menus in the sources of the pages."""
+    own = random.Random(8)
+    menus = [f"<div><ul><li>Menu {k}</li><li>{sentence(2)}</li></ul></div>" for k in range(12)]
+    rows, shown = [], {}
+    for k in range(60):
+        host, menu = f"h{own.randrange(4)}.example.com", menus[min(11, int(own.expovariate(0.3)))]
+        article = "same words on two pages" if k in (7, 8) else f"own {k} " + sentence(6)
+        rows.append((k, f"https://{host}/{k}", f"<body>{menu}<article><h1>T{k % 5}</h1><p>{article}</p></article><p>{sentence(3)}</p><footer>{k}</footer></body>"))
+        shown.setdefault((host, menu), set()).add((f"T{k % 5}", article))
+    got = {r.page_id: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, url, html in rows:
+        menu = next(m for m in menus if m in html)
+        often = len(shown[url.split("/")[2], menu]) >= 3
+        assert (got[k].blocks_by_count, got[k].blocks_by_marks) == ((2, 2) if often else (0, 4))
+        assert "own" in got[k].text or "same words" in got[k].text
+    assert any(r.blocks_by_count for r in got.values()) and not all(r.blocks_by_count for r in got.values())
+
+
+def test_hot_templates_meet_in_parts(spark):
+    rows = [(k, "http://h.example.com/", f"<body><div><p>Welcome to our site</p></div><div><p>own {k} {sentence(5)}</p></div></body>") for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("page_id", "url", "html")
+    parsed = html_text.map_arrow(pages, html_text._parse, html_text.PARSED).cache()
+    found = html_text.templates(parsed)
+    cuts = [sorted((r.uid, sorted(map(tuple, r.cut))) for r in html_text.cuts(parsed, found, hot).collect()) for hot in (7, 20_000)]
+    assert cuts[0] == cuts[1] and len(cuts[0]) == 40
+
+
+def test_pages_of_template_only_and_deep_pages(spark):
+    notice = "<div><p>All of this is the same everywhere</p></div>"
+    rows = [(k, "http://h.example.com/", f"<body>{notice}<div><p>own {k} {sentence(4)}</p></div></body>") for k in range(12)]
+    rows += [(50, "http://h.example.com/", f"<body>{notice}</body>"), (51, "http://deep.example.com/", "<div>x" * 20_000), (52, None, "<p>" + "word " * 200_000)]
+    got = {r.page_id: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[50].text == "" and got[50].n_chars == 0 and all("everywhere" not in got[k].text for k in range(12))
+    assert got[51].text == "\n".join(["x"] * 20_000) and got[52].n_chars == 999_999
+
+
 # --- models
 
 
