@@ -1,14 +1,16 @@
 """Exact dedup on an extendible-hash index kept in shared files; DataFrame operations only.
 
-Texts are equal when identical after lower-casing A-Z only.  Every text gets a 64-bit key.  The low bits of the key
-pick a slot of a directory; the directory starts with one bucket and doubles while a bucket holds more than
-``capacity`` keys, so a slot's local depth says how many of its bits its bucket really uses.  Buckets live in shared
-files sorted by slot and key, each written by the owner task of a key range.  Keys that collide are chained: the
-groups of one key are told apart by their bytes.
-
-Skew: equal texts are folded on the map side, before any shuffle, into one row with a count and the largest id; so
-a text that makes up a third of the rows reaches its bucket as one row per map task.  The way back is a join of
-narrow rows (id, key, digest), whose hot keys adaptive execution splits.
+Texts are equal when identical after lower-casing A-Z only.  Every text gets a 64-bit key, and the keys go into an
+extendible-hash index: the low bits of a key pick a slot of a directory, which doubles while a bucket holds more than
+``capacity`` keys, so a bucket's local depth says how many bits it really uses.  Buckets live in shared files sorted by
+bucket and key, each written by the owner task of a range.
+
+The index decides: a key that it holds for one row is a group of its own.  The rows of the other keys are looked up in
+it, chained under their key and told apart by their bytes; only their texts move.
+
+Skew: rows are folded on the map side before every shuffle of keys or texts, so a text that makes up a third of the
+rows reaches its bucket as one row per map task.  The way back is a join of narrow rows (id, key, digest), whose hot
+keys adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -29,63 +31,70 @@ def lower_ascii(col: Column) -> Column:
     )
 
 
-def directory(groups: DataFrame, n_groups: int, capacity: int) -> DataFrame:
-    """Slot, local depth and bucket of an extendible-hash directory over ``groups.key``.
+def directory(keys: DataFrame, capacity: int) -> DataFrame:
+    """bucket and local_depth of every distinct ``key``; no bucket holds more than ``capacity`` keys.
 
-    ``groups`` are counted at the finest depth once and summed up the levels; a bucket that holds more than
-    ``capacity`` keys is split by one more bit, down to three bits below the depth that an even spread needs.
-    What is overfull even there is chained in its bucket.
+    A round counts the keys by slot at one depth, and sums the counts up the levels: a bucket that holds more than
+    ``capacity`` keys is split by one more bit.  The first depth is what an even spread needs; keys of slots that are
+    overfull even there go into another round, some bits deeper, until all 64 bits are used.
     """
-    depth = max(0, math.ceil(math.log2(max(1, n_groups) / capacity))) + 3
-    finest = groups.groupBy(F.col("key").bitwiseAND(F.lit(2**depth - 1)).alias("slot")).agg(F.count("*").alias("n"))
-    levels = finest.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
-    prefix = F.expr("slot & (shiftleft(1L, level) - 1)")
-    overfull = levels.groupBy("level", prefix.alias("prefix")).agg(F.sum("n").alias("n")).where(F.col("n") > capacity)
-    split = (
-        levels.withColumn("prefix", prefix)
-        .join(overfull.select("level", "prefix"), ["level", "prefix"], "left_semi")
-        .groupBy("slot")
-        .agg((F.max("level") + 1).alias("deep"))
-    )
-    return finest.join(split, "slot", "left").select(
-        "slot",
-        F.least(F.coalesce("deep", F.lit(0)), F.lit(depth)).alias("local_depth"),
-        F.expr("slot & (shiftleft(1L, least(coalesce(deep, 0), %d)) - 1)" % depth).alias("bucket"),
-    ), depth
+    rest, low, placed = keys, 0, None
+    depth = min(64, max(0, math.ceil(math.log2(max(1, keys.count()) / capacity))) + 1)
+    while True:
+        bits = lambda level: F.expr(f"CASE WHEN {level} > 63 THEN -1L ELSE shiftleft(1L, {level}) - 1 END")
+        slotted = rest.withColumn("slot", F.col("key").bitwiseAND(bits(depth)))
+        counted = slotted.groupBy("slot").agg(F.count("*").alias("n"))
+        levels = counted.select("slot", "n", F.explode(F.sequence(F.lit(low), F.lit(depth))).alias("level"))
+        levels = levels.withColumn("prefix", F.col("slot").bitwiseAND(bits("level")))
+        overfull = levels.groupBy("level", "prefix").agg(F.sum("n").alias("held")).where(F.col("held") > capacity)
+        deep = levels.join(overfull, ["level", "prefix"], "left").groupBy("slot").agg(F.max(F.when(F.col("held") > 0, F.col("level") + 1)).alias("deep"))
+        depths = materialise(deep.select("slot", F.coalesce("deep", F.lit(low)).alias("local_depth")), "op10-directory")
+        full = depths.where(F.col("local_depth") <= depth)
+        found = slotted.join(full, "slot").select("key", F.col("slot").bitwiseAND(bits("local_depth")).alias("bucket"), "local_depth")
+        placed = found if placed is None else placed.unionByName(found)
+        open_slots = depths.where(F.col("local_depth") > depth)
+        if not open_slots.limit(1).count():
+            return placed
+        rest = materialise(slotted.join(open_slots, "slot", "left_semi").select("key"), "op10-overfull")
+        low, depth = depth + 1, min(64, depth + 8)
 
 
-def exact_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int = 4096) -> DataFrame:
+def exact_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int = 4096, bound: int = 1_000_000) -> DataFrame:
     """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, bucket, local_depth.
 
     Null text counts as empty, and empty texts are equal.  Of a group the largest id stays; null ids count in
     group_size but stay only in a group that has no other (keep_id is then null, and kept is false).  Rows repeated
-    with one id each get a row.  Other columns of ``docs`` are not read.  An empty table gives an empty result.
+    with one id each get a row.  Texts of any length are hashed and compared whole.  Other columns of ``docs`` are not
+    read.  An empty table gives an empty result.  Up to ``bound`` keys of several rows are sent to the tasks that
+    look rows up; beyond it, all texts are chained by their keys, folded before they move.
     """
     norm = lower_ascii(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(F.col(doc).alias("doc_id"), norm.alias("norm"))
-    entries = materialise(
-        rows.select("doc_id", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256")), "op10-entries"
-    )
-    # Grouping by the text itself chains what collides on a key and compares its bytes.
-    groups = materialise(
-        rows.groupBy(F.xxhash64("norm").alias("key"), "norm")
-        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"),
-        "op10-groups",
-    )
-    slots, depth = directory(groups, groups.count(), capacity)
-    slot = F.col("key").bitwiseAND(F.lit(2**depth - 1))
+    entries = materialise(rows.select("doc_id", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256")), "op10-entries")
+    keys = materialise(entries.groupBy("key").agg(F.count("*").alias("rows"), F.max("doc_id").alias("keep_id")), "op10-keys")
     owners = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    index = materialise(
-        groups.withColumn("slot", slot).join(slots, "slot").repartitionByRange(owners, "slot", "key").sortWithinPartitions("slot", "key"),
-        "op10-index",
-    )
-    return entries.join(index.drop("slot"), ["key", "text_sha256"]).select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
-        "text_sha256",
-        "bucket",
-        "local_depth",
+    slots = directory(keys.select("key"), capacity)
+    index = materialise(keys.join(slots, "key").repartitionByRange(owners, "bucket", "key").sortWithinPartitions("bucket", "key"), "op10-index")
+
+    several = index.where("rows > 1").select("key")
+    texts = rows.withColumn("key", F.xxhash64("norm"))
+    if several.count() <= bound:
+        texts = texts.join(F.broadcast(several), "key", "left_semi")
+    # Grouping by the text itself chains what collides on a key and compares its bytes.
+    chained = texts.groupBy("key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    chains = materialise(chained.select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"), "op10-chains")
+    alone = index.where("rows = 1").select("key", "bucket", "local_depth", F.lit(None).cast("string").alias("sha"), "keep_id", F.lit(1).cast("long").alias("group_size"))
+    told = index.where("rows > 1").select("key", "bucket", "local_depth").join(chains.withColumnRenamed("text_sha256", "sha"), "key")
+    return (
+        entries.join(alone.unionByName(told), "key")
+        .where(F.col("sha").isNull() | (F.col("sha") == F.col("text_sha256")))
+        .select(
+            "doc_id",
+            "keep_id",
+            "group_size",
+            F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
+            "text_sha256",
+            "bucket",
+            "local_depth",
+        )
     )

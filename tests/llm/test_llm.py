@@ -67,6 +67,29 @@ def test_exact_groups(docs, empty):
     assert exact_dedup.exact_groups(empty).count() == 0
 
 
+def test_chains_beyond_what_is_sent(docs):
+    few, many = ([tuple(r) for r in exact_dedup.exact_groups(docs, capacity=2, bound=b).orderBy("doc_id", "text_sha256").collect()] for b in (0, 1000))
+    assert few == many
+
+
+def test_directory_splits_until_buckets_fit(spark):
+    """Keys that agree on their low bits, and some that do not."""
+    keys = sorted({k << 40 | 5 for k in range(-20, 20)} | {rng.getrandbits(63) for _ in range(100)} | {-1, 0, -(2**63), 2**63 - 1})
+    got = exact_dedup.directory(spark.createDataFrame([(k,) for k in keys], "key long"), 3).collect()
+    assert sorted(r.key for r in got) == keys
+    held = {}
+    for r in got:
+        mask = (1 << r.local_depth) - 1 if r.local_depth < 64 else -1
+        assert r.key & mask == r.bucket if r.local_depth < 63 else (r.key - r.bucket) % (1 << r.local_depth) == 0
+        held.setdefault((r.bucket, r.local_depth), []).append(r.key)
+    assert max(map(len, held.values())) <= 3
+    # A bucket's parent, of one bit less, was overfull.
+    for (bucket, depth), _ in held.items():
+        if depth:
+            parent = sum((k - bucket) % (1 << (depth - 1)) == 0 for k in keys)
+            assert parent > 3
+
+
 # --- SimHash
 
 
