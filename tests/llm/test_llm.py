@@ -213,6 +213,29 @@ def test_overlapping_repeats(spark):
     assert got == brute_repeats(rows)
 
 
+def removed(table, **how):
+    return sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(table, **how).collect())
+
+
+def test_repeats_in_small_parts_and_hot_anchors(spark, docs):
+    """Parts of a few texts, many buckets, and anchors that spread by their windows."""
+    assert removed(docs, part_bytes=400, bucket_bytes=300) == brute_repeats(DOCS)
+    assert removed(docs, part_bytes=400, bucket_bytes=300, hot=2) == brute_repeats(DOCS)
+    own = random.Random(4)
+    rows = [(k, "".join(own.choice("ab") for _ in range(own.randint(0, 30))) + PASSAGE[own.randint(0, 80) : own.randint(120, 240)] * own.randint(1, 2) + sentence(3)) for k in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in ({"hot": 5}, {"part_bytes": 1000, "bucket_bytes": 1000, "hot": 5}, {"part_bytes": 1}):
+        assert removed(table, **how) == brute_repeats(rows)
+
+
+def test_repeats_in_very_long_texts(spark):
+    """A text is worked in stretches: repeats across their edges are found, and none is counted twice."""
+    base = "".join(random.Random(2).choices(string.ascii_lowercase + " ", k=2_400_000))
+    edge = suffix_dedup.SLICE
+    rows = [(1, base), (2, "x" * 70 + base[edge - 100 : edge + 100] + "y"), (3, base[2 * edge - 3000 : 2 * edge + 3000]), (4, "q" * 40 + base[1000:1060])]
+    assert removed(spark.createDataFrame(rows, "doc_id long, text string")) == brute_repeats(rows)
+
+
 def test_loser_tree_sorts():
     runs = [sorted(bytes(rng.choice(b"ab") for _ in range(50)) for _ in range(n)) for n in (5, 0, 1, 9)]
     coded = [([next((k for k in range(50) if a[k] != b[k]), 50) if a else 0 for a, b in zip([b""] + r, r, strict=False)], r) for r in runs]
