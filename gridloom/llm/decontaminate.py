@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, materialise
 
 SCHEMA = "doc_id long, item_id long, edits int, item_chars int, budget int, match_end long"
 
@@ -141,38 +141,37 @@ class Matcher:
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, ratio: float = 0.1, min_chars: int = 20, block_chars: int = 4_000_000,
+    docs: DataFrame, benchmark: DataFrame, ratio: float = 0.1, min_chars: int = 1, block_chars: int = 4_000_000,
     doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """Pairs (doc_id, item_id) whose document holds the item within ``ratio`` of its length in edits, with the
     smallest number of edits, the item's length and budget, and the end of the first best match (all in characters
     after lower-casing and joining white space).
 
-    Items of fewer than ``min_chars`` characters say nothing and are left out; null texts are empty, so null items
-    are left out too and null documents match nothing.  Repeated rows give repeated pairs; of items with equal
-    texts each gives its pair.  Null ids stay null.  Items are taken in blocks of ``block_chars`` characters, each
-    a pass over the documents, so what is sent to the tasks is bounded however long the benchmark is.
+    An item of under 10 characters must stand as it is.  Items of fewer than ``min_chars`` are left out; null texts are
+    empty, so null and empty items are left out, and null documents match nothing.  Documents of any length are
+    searched whole.  Repeated rows give repeated pairs; of items with equal texts each gives its pair.  Null ids stay
+    null.  Items are taken in blocks of ``block_chars`` characters, each a pass over the documents that is written
+    before the next, so what is held by the driver and sent to the tasks is bounded however long the benchmark is.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    blocks: list[list[tuple[int, str]]] = []
-    size = block_chars
-    found = spark.createDataFrame([], SCHEMA)
-    for x in benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).toLocalIterator():
-        if len(t := normal(x.t)) >= min_chars:
-            if size + len(t) > block_chars and size:
-                blocks.append([])
-                size = 0
-            blocks[-1].append((x.i, t))
+    items = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t"))
+    found, block, size = None, [], 0
+    for x in items.toLocalIterator():
+        if len(t := normal(x.t)) >= max(1, min_chars):
+            if size and size + len(t) > block_chars:
+                part = _pass(rows, block, ratio, written=True)
+                found, block, size = part if found is None else found.unionByName(part), [], 0
+            block.append((x.i, t))
             size += len(t)
-            if len(blocks) > 1 and size == len(t):
-                found = found.unionByName(_pass(rows, blocks.pop(0), ratio))
-    for block in blocks:
-        found = found.unionByName(_pass(rows, block, ratio))
-    return found
+    last = _pass(rows, block, ratio) if block or found is None else None
+    return last if found is None else found.unionByName(last)
 
 
-def _pass(rows: DataFrame, items: list[tuple[int, str]], ratio: float) -> DataFrame:
+def _pass(rows: DataFrame, items: list[tuple[int, str]], ratio: float, written: bool = False) -> DataFrame:
+    if not items:
+        return rows.sparkSession.createDataFrame([], SCHEMA)
     sent = rows.sparkSession.sparkContext.broadcast(items)
 
     def match(batches):
@@ -187,4 +186,8 @@ def _pass(rows: DataFrame, items: list[tuple[int, str]], ratio: float) -> DataFr
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(cols, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return map_arrow(rows, match, SCHEMA)
+    found = map_arrow(rows, match, SCHEMA)
+    if written:
+        found = materialise(found, "op9-pairs")
+        sent.unpersist()
+    return found

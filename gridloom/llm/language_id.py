@@ -159,7 +159,8 @@ def identify(
 
     ``score`` is the share of the text's letters in spans of ``lang_pred``; ties go to the first name in order.  A
     null text, one without a letter, or any text where nothing was learned gives "und", score 0 and no span.
-    Repeated rows and null ids are kept as they are; an empty table gives an empty result.
+    Texts of any length are labelled whole.  Repeated rows and null ids are kept as they are; an empty table gives an
+    empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("lang", pa.string())]))

@@ -155,7 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = 20_000, doc: str = "d
 
 def score(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 from 0.5) for every row; null texts are empty, with statistics of zero.
-    Repeated rows and null ids stay; other columns are not read; an empty table gives no rows."""
+    Texts of any length count whole.  Repeated rows and null ids stay; other columns are not read; an empty table
+    gives no rows."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

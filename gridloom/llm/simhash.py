@@ -355,7 +355,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, doc: str = "
     over links of at most ``radius`` bits.
 
     Null, empty and wordless texts have fingerprint 0 and link like any other.  A text of fewer words than a
-    shingle is one shingle.  Repeated rows and copies fold into one fingerprint.  Null ids belong to a component
+    shingle is one shingle; one of any length votes whole.  Repeated rows and copies fold into one fingerprint.  Null ids belong to a component
     but never name one, unless it has no other.  Other columns are not read; an empty table gives an empty result.
     """
     each = materialise(fingerprints(docs, shingle, doc, text), "op5-fingerprints")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, utf8
+from .common import map_arrow, materialise, slices, utf8
 
 BITS, SIZES = 20, (3, 4, 5, 6, 7)
 SLICE = 1 << 20
@@ -63,32 +63,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(features: list[np.ndarray], label: np.ndarray, alpha: float = 0.5, keep: int = 2048, least: int = 4, ridge: float = 3.0, rounds: int = 200) -> Model:
-    """Log-count ratios, then logistic regression over the scaled features by Adam steps over all rows.
+def constant(label: np.ndarray) -> Model:
+    """With rows of one class only, every score is that class's smoothed share; with none, one half."""
+    p = (label.sum() + 1) / (len(label) + 2)
+    return Model(np.zeros(1 << BITS, np.float32), float(np.log(p / (1 - p))))
 
-    Only the ``keep`` buckets take part that tell the classes apart best (by chi-squared) among those in ``least``
-    texts or more: long texts hold so many others that their noise would drown these.  With rows of one class only,
-    every score is that class's smoothed share; with none, one half.
-    """
+
+def fit(features: list[np.ndarray], label: np.ndarray, chosen: np.ndarray, ratio: np.ndarray, ridge: float = 3.0, rounds: int = 200) -> Model:
+    """Logistic regression by Adam steps over all rows; ``features`` are places in ``chosen``, the buckets that take
+    part, and each counts by its log-count ratio."""
     label = np.asarray(label, np.float64)
-    size = 1 << BITS
     if not len(label) or label.min() == label.max():
-        p = (label.sum() + 1) / (len(label) + 2)
-        return Model(np.zeros(size, np.float32), float(np.log(p / (1 - p))))
-    pos, neg = np.zeros(size), np.zeros(size)
-    for x, y in zip(features, label, strict=True):
-        (pos if y else neg)[x] += 1
-    n1, n0 = label.sum(), (1 - label).sum()
-    ratio = np.log((pos + alpha) / (n1 + 2 * alpha)) - np.log((neg + alpha) / (n0 + 2 * alpha))
-    df = pos + neg
-    chi = np.where(df >= least, (pos * n0 - neg * n1) ** 2 / np.maximum(df * (n1 + n0 - df), 1), 0)
-    chosen = np.sort(np.argsort(-chi, kind="stable")[:keep])
-    chosen = chosen[chi[chosen] > 0]
-    place = np.full(size, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    columns = [c[c >= 0] for c in (place[x] for x in features)]
-    flat, row = np.concatenate(columns), np.repeat(np.arange(len(columns)), [len(c) for c in columns])
-    scaled = ratio[chosen][flat]
+        return constant(label)
+    flat, row = np.concatenate(features).astype(np.int64), np.repeat(np.arange(len(features)), [len(c) for c in features])
+    scaled = ratio[flat]
     weight, bias = np.zeros(len(chosen)), float(np.log(label.mean() / (1 - label.mean())))
     m = v = np.zeros(len(chosen))
     mb = vb = 0.0
@@ -102,37 +90,74 @@ def fit(features: list[np.ndarray], label: np.ndarray, alpha: float = 0.5, keep:
         scale = np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         weight -= 0.02 * scale * m / (np.sqrt(v) + 1e-10)
         bias -= 0.05 * scale * mb / (np.sqrt(vb) + 1e-10)
-    weights = np.zeros(size, np.float32)
-    weights[chosen] = weight * ratio[chosen]
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[chosen] = weight * ratio
     return Model(weights, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = 2000, doc: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def counted(sample: DataFrame) -> DataFrame:
+    """bucket, pos, neg: in how many of the sample's texts (text, label) of either class each bucket's n-grams occur."""
+
+    def run(batches):
+        for batch in batches:
+            held = np.zeros((2, 1 << BITS), np.int32)
+            for x, y in zip(present(*utf8(batch.column(0))), batch.column(1).to_pylist(), strict=True):
+                held[y, x] += 1
+            bucket = np.flatnonzero(held.any(0))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(held[1, bucket]), pa.array(held[0, bucket])], ["bucket", "pos", "neg"])
+
+    each = map_arrow(sample.select("text", "label"), run, "bucket int, pos int, neg int")
+    return each.groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, limit: int = 2000, keep: int = 2048, least: int = 4, alpha: float = 0.5, miss: float = 4.0,
+    doc: str = "doc_id", text: str = "text", label: str = "toxic",
+) -> Model:
     """Fit on a sample of at most about ``limit`` labelled rows of each class, by a hash of the id; rows without a
-    label are not used.  The features are found by the executors; only they come to the driver."""
+    label are not used.
+
+    Class frequencies are counted in Spark.  Only the ``keep`` buckets take part that tell the classes apart best (by
+    chi-squared) among those in ``least`` texts or more: long texts hold so many others that their noise would drown
+    these.  Just these buckets, and which of them each sampled text holds, come to the driver.  Scores follow the
+    labels' own shares of the classes, with a toxic text that is missed weighing as much as ``miss`` clean ones flagged.
+    """
     rows = labels.where(F.col(label).isNotNull()).select(F.col(doc).alias("doc_id"), (F.col(label) > 0).cast("int").alias("label"))
     sizes = dict(rows.groupBy("label").count().collect())
     share = F.create_map(*[F.lit(x) for k in (0, 1) for x in (k, min(1.0, limit / max(1, sizes.get(k, 0))))])
     drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("label")] * (1 << 20))
     # ``limit`` bounds what is broadcast, and no text moves but those drawn.
-    sample = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id")
+    found = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id")
+    sample = materialise(found.select("text", "label"), "op2-sample")
+    drawn_sizes = dict(sample.groupBy("label").count().collect())
+    n1, n0 = drawn_sizes.get(1, 0), drawn_sizes.get(0, 0)
+    if not n1 or not n0:
+        return constant(np.repeat([0.0, 1.0], [n0, n1]))
+    df = F.col("pos") + F.col("neg")
+    chi = (F.col("pos") * F.lit(float(n0)) - F.col("neg") * F.lit(float(n1))) ** 2 / F.greatest(df * (F.lit(n1 + n0) - df), F.lit(1))
+    best = counted(sample).where(df >= least).withColumn("chi", chi).where("chi > 0").orderBy(F.desc("chi"), "bucket").limit(keep).toPandas().sort_values("bucket")
+    chosen, pos, neg = (best[c].to_numpy() for c in ("bucket", "pos", "neg"))
+    ratio = np.log((pos + alpha) / (n1 + 2 * alpha)) - np.log((neg + alpha) / (n0 + 2 * alpha))
 
     def run(batches):
+        place = np.full(1 << BITS, -1, np.int32)
+        place[chosen] = np.arange(len(chosen))
         for batch in batches:
-            found = [x.astype(np.int32).tobytes() for x in present(*utf8(batch.column(0)))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], ["label", "features"])
-
-    got = map_arrow(sample.select("text", "label"), run, "label int, features binary").toPandas()
-    model = fit([np.frombuffer(x, np.int32) for x in got.features], got.label.to_numpy(np.float64))
-    prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    if 0 < prior < 1 and len(got) and 0 < got.label.mean() < 1:  # from the sample's shares back to the labels' own
-        model.bias += float(np.log(prior / (1 - prior)) - np.log(got.label.mean() / (1 - got.label.mean())))
+            held = (place[x] for x in present(*utf8(batch.column(0))))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x[x >= 0].tobytes() for x in held], pa.binary())], ["label", "features"])
+
+    got = map_arrow(sample.select("text", "label"), run, "label int, features binary").toPandas().sort_values(["label", "features"])
+    model = fit([np.frombuffer(x, np.int32) for x in got.features], got.label.to_numpy(np.float64), chosen, ratio)
+    prior = sizes.get(1, 0) / sum(sizes.values())
+    # From the sample's shares back to the labels' own, and on to the costs.
+    model.bias += float(np.log(prior / (1 - prior)) - np.log(n1 / n0) + np.log(miss))
     return model
 
 
 def score(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 from 0.5) for every row; null texts are empty, and an empty text scores by
-    the bias alone.  Repeated rows and null ids stay; other columns are not read; an empty table gives no rows."""
+    the bias alone.  Texts of any length are scored whole, some million bytes of a batch at a time.  Repeated rows and
+    null ids stay; other columns are not read; an empty table gives no rows."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -298,7 +298,8 @@ def edit_in(item, text):
 
 def test_contaminated_pairs(spark, docs, empty):
     items = [(1, PASSAGE[:120]), (2, "short"), (3, None), (4, sentence(20)), (5, PASSAGE[:120]), (6, PASSAGE[20:90].upper())]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    items += [(7, "e"), (8, "Hello Word"), (9, PASSAGE[30:45]), (10, ""), (None, "one")]
+    bench = spark.createDataFrame([(*x, 9, "clash") for x in items], "item_id long, text string, doc_id int, edits string")
     more = []
     for k in range(20):
         copy = list(PASSAGE[:120])
@@ -312,9 +313,15 @@ def test_contaminated_pairs(spark, docs, empty):
     for d, t in rows:
         for i, x in items:
             a, b = decontaminate.normal(x), decontaminate.normal(t)
-            if len(a) >= 20 and (e := edit_in(a, b)) <= int(len(a) * 0.1):
+            if a and (e := edit_in(a, b)) <= int(len(a) * 0.1):
                 want[d, i] = e
-    assert got == want and len(want) > 10
+    assert got == want and len(want) > 10 and {7, 8, 9, None} <= {i for _, i in want}
+    blocks = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench, block_chars=150).collect()
+    assert {(r.doc_id, r.item_id): r.edits for r in blocks} == want
+    # A document far longer than the items, with one at its end.
+    far = [(1, sentence(60_000) + " " + PASSAGE[:118] + "zz")]
+    found = {r.item_id: r.edits for r in decontaminate.contaminated(spark.createDataFrame(far, "doc_id long, text string"), bench).collect()}
+    assert found[1] == found[5] == edit_in(decontaminate.normal(PASSAGE[:120]), decontaminate.normal(far[0][1])[-400:]) and 6 in found
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(docs, bench.where("false")).count() == 0
 
 
@@ -453,6 +460,93 @@ def test_classifiers(spark, docs, empty):
         assert {r.score for r in module.score(docs, model).collect()} == {0.5} and module.score(empty, model).count() == 0
 
 
+def naive_toxic(model, text):
+    """The linear model by a loop over every n-gram of one text."""
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    held = set()
+    for n in toxicity.SIZES:
+        for a in range(len(low) - n + 1):
+            x = low[a]
+            for b in low[a + 1 : a + n]:
+                x = (x * 0x100000001B3 + b) % 2**64
+            held.add((x ^ x >> 29) * 0x9E3779B97F4A7C15 % 2**64 >> 64 - toxicity.BITS)
+    z = model.bias + sum(float(model.weights[h]) for h in held)
+    return 1 / (1 + np.exp(-z))
+
+
+def naive_trees(model, x):
+    z = model.bias
+    for feature, threshold, value in zip(model.feature, model.threshold, model.value, strict=True):
+        k = 0
+        while k < len(feature):
+            k = 2 * k + (2 if x[feature[k]] > threshold[k] else 1)
+        z += value[k - len(feature)]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_are_those_of_naive_loops(spark, docs):
+    """Nulls, empty and long texts, repeated rows and clashing columns, with models of two classes."""
+    import pyarrow as pa
+
+    rows = [(k, sentence(20) + (" rotten scoundrel" if k % 3 == 0 else " gentle person"), sentence(15).upper() + "!!! ###" if k % 3 else sentence(15) + ".") for k in range(150)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, loud string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0), int(k % 3 == 0), "clash") for k in range(150)], "doc_id long, toxic int, quality int, text string").select("doc_id", "toxic", "quality")
+    toxic = toxicity.train(table, labels)
+    texts = [t for _, t in DOCS] + [t for _, t, _ in rows[:20]] + [None, "", sentence(3000) + " rotten scoundrel"]
+    more = spark.createDataFrame([(k, t, 0.1, 7) for k, t in enumerate(texts)], "doc_id long, text string, score double, predicted int")
+    got = {r.doc_id: r.score for r in toxicity.score(more.repartition(3), toxic).collect()}
+    assert len(got) == len(texts) and all(abs(got[k] - naive_toxic(toxic, t)) < 1e-5 for k, t in enumerate(texts))
+    assert len(set(got.values())) > 10
+    good = quality.train(table.select("doc_id", "loud"), labels, text="loud")
+    assert len(good.feature) > 0
+    got = {r.doc_id: r.score for r in quality.score(more.repartition(3), good).collect()}
+    x = quality.statistics(pa.array(texts, pa.string()))
+    assert all(abs(got[k] - naive_trees(good, x[k])) < 1e-9 for k in range(len(texts))) and len(set(got.values())) > 1
+    held = {r.doc_id: r for r in toxicity.score(docs, toxic).collect()}
+    assert len(held) == len({d for d, _ in DOCS}) and toxicity.score(docs, toxic).count() == len(DOCS)
+
+
+def test_statistics_are_those_of_naive_counts():
+    import pyarrow as pa
+
+    texts = ["One two two. - three!\n\n- three 4 x" + "y" * 30, None, "", "  \t", "Ünï, ünï"]
+    at = {name: k for k, name in enumerate(quality.STATISTICS)}
+    for row, t in zip(quality.statistics(pa.array(texts, pa.string())), [t or "" for t in texts], strict=True):
+        raw, w = t.encode(), t.split()
+        assert row[at["bytes"]] == len(raw) and row[at["words"]] == len(w)
+        assert row[at["upper"]] == sum(65 <= b <= 90 for b in raw) / max(1, len(raw)) and row[at["high"]] == sum(b > 127 for b in raw) / max(1, len(raw))
+        assert row[at["distinct_words"]] == len(set(w)) / max(1, len(w)) and row[at["long_words"]] == sum(len(x) > 20 for x in w) / max(1, len(w))
+        assert row[at["repeated_pairs"]] == (1 - len(set(zip(w, w[1:], strict=False))) / (len(w) - 1) if len(w) > 1 else 0)
+
+
+def test_spans_are_those_of_all_labellings():
+    """Viterbi against every way to label the words of short texts, and spans of a long text."""
+    from itertools import product
+
+    own = np.random.default_rng(5)
+    sizes = [0, 1, 3, 6, 2, 5]
+    score = own.normal(size=(sum(sizes), 3)).astype(np.float32)
+    start = np.cumsum([0, *sizes[:-1]])
+    live = np.array(sizes) > 0
+    label = language_id.viterbi(score, start[live], np.array(sizes)[live], 0.7)
+    for s, n in zip(start, sizes, strict=True):
+        value = lambda path, s=s: sum(score[s + k, c] for k, c in enumerate(path)) - 0.7 * sum(a != b for a, b in zip(path, path[1:], strict=False))
+        if n:
+            assert abs(value(label[s : s + n]) - max(map(value, product(range(3), repeat=n)))) < 1e-5
+
+
+def test_language_of_long_and_repeated_texts(spark):
+    one, two = "ablo sento carita monda ", "schlag wurken braucht nicht "
+    train = spark.createDataFrame([(k, (one, two)[k % 2] * 3, "ab"[k % 2] * 2) for k in range(40)], "doc_id long, text string, lang string")
+    model = language_id.train(language_id.training_rows(train))
+    rows = [(1, one * 50_000 + two * 20_000), (2, two), (2, two), (2, one), (3, "Привет мир"), (4, "ablo " * 3 + "世界")]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    found = sorted((r.doc_id, r.lang_pred) for r in got)
+    assert len(got) == len(rows) and found[:4] == [(1, "aa"), (2, "aa"), (2, "bb"), (2, "bb")]
+    long = next(r for r in got if r.doc_id == 1)
+    assert [s.lang for s in long.spans] == ["aa", "bb"] and abs(long.score - 50_000 * 20 / (50_000 * 20 + 20_000 * 24)) < 1e-6
+
+
 # --- pipeline
 
 
