@@ -28,6 +28,10 @@ CRLF = "\r\n"
 END = CRLF * 2
 #: Pages carry no time: a page counts as captured as many seconds after this as its id says.
 BASE_TIME = 1_704_067_200
+#: Larger ids share the last second of a four-digit year, and smaller ones the first; the id itself keeps them in order.
+LAST = 253_402_300_799 - BASE_TIME
+#: Largest payload in bytes, and how many such records an archive may hold: none grows beyond 128 MB or one record.
+SIZES = [(1 << 16, 2048), (1 << 20, 128), (1 << 24, 8), (None, 1)]
 FIELDS = ("urlkey", "timestamp", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "archive", "offset", "length")
 SCHEMA = (
     "urlkey string, timestamp string, page_id long, payload_bytes long, payload_digest string, record_type string,"
@@ -51,7 +55,13 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + (m[2] or "") + ")" + (m[3].lower() or "/")
 
 
-def records(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def kept_copies(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
+    """same, kept: of payloads that stand on several pages, the digest and the largest id."""
+    rows = pages.select(F.col(page).cast("long").alias("page_id"), F.sha2(F.coalesce(F.col(html), F.lit("")), 256).alias("same"))
+    return materialise(rows.groupBy("same").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n"), "op1-copies")
+
+
+def records(pages: DataFrame, copies: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One column ``record``: the text of each page's WARC record without the two line ends that close it."""
     rows = pages.select(
         F.col(page).cast("long").alias("page_id"),
@@ -59,14 +69,13 @@ def records(pages: DataFrame, page: str = "page_id", url: str = "url", html: str
         F.regexp_replace(F.coalesce(F.col(url), F.lit("")), "[\\r\\n]+", "%0A").alias("url"),
         F.coalesce(F.col(html), F.lit("")).alias("payload"),
     ).withColumn("same", F.sha2("payload", 256))
-    copies = materialise(rows.groupBy("same").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n"), "op1-copies")
     told = rows.join(copies, "same", "left").withColumn("revisit", F.col("kept").isNotNull() & ~F.col("kept").eqNullSafe(F.col("page_id")))
     head = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit(END)
     )
     block = F.concat(head, F.when(F.col("revisit"), "").otherwise(F.col("payload")))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
-    second = F.timestamp_seconds(F.lit(BASE_TIME) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1 << 31)))
+    second = F.timestamp_seconds(F.lit(BASE_TIME) + F.greatest(F.least(F.coalesce("page_id", F.lit(0)), F.lit(LAST)), F.lit(0)))
     when = F.date_format(F.to_utc_timestamp(second, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     lines = [
         ("WARC-Type: ", F.when(F.col("revisit"), "revisit").otherwise("response")),
@@ -87,11 +96,19 @@ def records(pages: DataFrame, page: str = "page_id", url: str = "url", html: str
 
 
 def write_archives(pages: DataFrame, records_per_file: int = 2000, page: str = "page_id", url: str = "url", html: str = "html") -> str:
-    """Write the pages' records to gzip WARC files of at most ``records_per_file`` in the shared folder; returns the
-    folder.  Two line ends close each record, so they serve as the writer's separator."""
+    """Write the pages' records to gzip WARC files in the shared folder, by classes of size, so that an archive holds at
+    most ``records_per_file`` records and 128 MB, or one record; returns the folder.  Two line ends close each record,
+    so they serve as the writer's separator."""
     path = shared_path(pages.sparkSession, "op1-warc")
-    out = records(pages, page, url, html).write.option("lineSep", END).option("compression", "gzip")
-    out.option("maxRecordsPerFile", records_per_file).text(path)
+    size = F.coalesce(F.octet_length(html), F.lit(0))
+    bounds = [(low, high, n) for (low, _), (high, n) in zip([(-1, 0), *SIZES], SIZES, strict=False)]
+    of_size = lambda low, high: (size > low) & (size <= high if high else F.lit(True))
+    held = pages.agg(*[F.coalesce(F.sum(of_size(low, high).cast("int")), F.lit(0)) for low, high, _ in bounds]).first()
+    copies = kept_copies(pages, page, html)
+    for (low, high, n), some in zip(bounds, held, strict=True):
+        if some or low < 0:
+            out = records(pages.where(of_size(low, high)), copies, page, url, html).write.option("lineSep", END).option("compression", "gzip")
+            out.mode("append").option("maxRecordsPerFile", min(n, records_per_file)).text(path)
     return path
 
 
@@ -215,7 +232,7 @@ def archive(pages: DataFrame, records_per_file: int = 2000, page: str = "page_id
     A null html is an empty payload, and empty payloads are equal like any others.  A null URL is empty.  A page
     without an id never stands for others: it revisits the largest id with its payload, and is a response where no
     page with that payload has an id.  Rows repeated with one id and payload are written each, with the same type.
-    Other columns are not read; an empty table gives no archive and an empty index.  A task holds one archive of
-    ``records_per_file`` pages at a time, and one range of the index.
+    Other columns are not read; an empty table gives no archive and an empty index.  A task holds one archive at a
+    time, of at most 128 MB or one page of any length, and one range of the index.
     """
     return capture_histories(capture_runs(pages.sparkSession, write_archives(pages, records_per_file, page, url, html)))

@@ -346,6 +346,19 @@ def test_archives_round_trip(spark):
     assert warc.archive(pages.where("false")).count() == 0
 
 
+def test_archives_are_bounded_by_bytes(spark, monkeypatch):
+    """Small pages share archives; the larger ones stand in fewer and fewer; huge ids keep their order."""
+    monkeypatch.setattr(warc, "SIZES", [(100, 4), (1000, 2), (None, 1)])
+    lengths = [10] * 9 + [500] * 5 + [5000] * 3
+    rows = [(k + (2**62 if k % 2 else -(2**40)), "http://a.example.com/", chr(97 + k) * n) for k, n in enumerate(lengths)]
+    got = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)).collect()
+    assert [r.page_id for r in got] == sorted(p for p, _, _ in rows)
+    held = {}
+    for r in got:
+        held.setdefault(r.archive, []).append(r.payload_bytes)
+    assert sorted(sorted(x) for x in held.values()) == sorted([[10] * 4, [10] * 4, [10], [500] * 2, [500] * 2, [500], [5000], [5000], [5000]])
+
+
 def test_runs_merge():
     runs = [sorted(rng.randrange(50) for _ in range(n)) for n in (4, 0, 7, 1)]
     assert list(warc.merged([[(x, x) for x in r] for r in runs])) == sorted(x for r in runs for x in r)
