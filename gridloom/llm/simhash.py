@@ -5,7 +5,10 @@ quarters: two fingerprints within ``radius`` bits have tiles whose counts differ
 so every other pair of tiles is skipped.  What is left is compared exactly, block against block, by numpy exclusive
 or and bit counts.  Tiles are cut into blocks of bounded size, so no task holds a whole tile.  A unit of work returns
 not its pairs but a spanning forest of them; connected components then grow by star contraction in Spark.
-``similar_groups`` compares sets of shingles instead, and needs no fingerprint.
+
+``similar_groups`` finds sets of shingles of a given similarity.  The radius that this needs is so wide that population
+counts alone skip few tiles, so there a tile is what shares a band of min-hashes; inside it, population counts, set
+sizes and then wide fingerprints, by the same exclusive or and bit counts, leave the pairs whose whole sets are compared.
 """
 
 from __future__ import annotations
@@ -175,101 +178,100 @@ def digest(found: np.ndarray) -> int:
     return int(np.array([xxhash.xxh3_64_intdigest(found.tobytes(), 1)], np.uint64).view(np.int64)[0])
 
 
-SKETCH = 16  # words of a sketch
+WIDE = 4  # 64-bit words of a wide fingerprint
+_own = np.random.default_rng(20240611)
+TURNS = _own.integers(0, 2**63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+DRAWS = _own.integers(0, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 
+def stirred(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    return x ^ (x >> np.uint64(29))
 
-def sketch(found: np.ndarray) -> bytes:
-    """For each of 64 * SKETCH classes of shingles, whether their number is odd: two sets differ by at least as many
-    shingles as their sketches by bits."""
-    odd = np.bincount((found >> np.uint64(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(bool)).tobytes()
 
+def wide_fingerprint(found: np.ndarray) -> np.ndarray:
+    """A vote of the set's shingles on each of 64 * WIDE bits, as in ``fingerprint``."""
+    votes = np.zeros(64 * WIDE, np.int64)
+    for k in range(0, len(found), 1 << 14):
+        bits = stirred(found[k : k + (1 << 14), None] * TURNS)
+        votes += np.unpackbits(bits.view(np.uint8).reshape(len(bits), -1), axis=1, bitorder="little").sum(0, np.int64)
+    return np.packbits(votes * 2 > len(found), bitorder="little").view(np.uint64)
 
-def first_shingles(found: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
-    """The set's first shingles in the order that all sets share: by hash, and after that the ``common`` (sorted) ones
-    by ``rank``.  They are so many that two sets of the similarity must share one of them."""
-    count = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1
-    if len(common):
-        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        known = common[at] == found
-        found = np.concatenate([found[~known], found[known][np.argsort(rank[at[known]])]])
-    return found[:count]
+
+def band_tokens(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """For each band, a hash of its number and its ``rows`` min-hashes of the set."""
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(found), 1 << 12):
+        np.minimum(least, stirred(found[k : k + (1 << 12), None] * DRAWS[: bands * rows]).min(0), out=least)
+    token = np.arange(1, bands + 1, dtype=np.uint64)
+    for column in least.reshape(bands, rows).T:
+        token = stirred(token * np.uint64(0x9E3779B97F4A7C15) ^ column)
+    return token.view(np.int64)
 
 
 def similar_groups(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, sampled: int = 4000, stars: int = 2, block: int = 2048,
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4, slack: int = 24, stars: int = 2, block: int = 2048,
     doc: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """doc_id, component_id for every row, for sets of shingles of a Jaccard ``similarity`` or more.
 
-    Sets of the similarity share one of their first shingles, in any order that all sets follow; those that a sample
-    of ``sampled`` sets shows to be common come last.  All pairs that share one, and whose sizes and places leave a
-    chance, are candidates; sketches rule out more of them, and a link is only what the whole sets confirm.  In ``stars`` rounds the holders of a
-    shingle are first compared with one of them, so that a large group of copies hangs together before the pairs
-    between different components are compared.  component_id is the smallest id reachable.  Equal sets fold, by a
-    64-bit digest.  Null and wordless texts form one group; null ids link like any other but name no group that has
-    another.  Other columns are not read; an empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
+    Candidates share one of ``bands`` tokens of ``rows`` min-hashes: of pairs at 0.8, all but 3 in 100,000 do, and fewer
+    are missed above.  Of these, pairs go whose sizes or fingerprints forbid the similarity: the radius is the number
+    of bits that it lets differ on average, and ``slack`` more, four standard deviations.  A link is only what the whole
+    sets confirm.  In ``stars`` rounds the holders of a token are first compared with one of them, so that a large
+    group of copies hangs together before the pairs between different components are compared, in blocks.
 
-    def tally(batches):
-        for batch in batches:
-            sets = [shingle_set(t or b"", shingle) for t in batch.column(0).cast(pa.large_binary()).to_pylist()]
-            found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), [])
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["token", "times"])
-
-    some = rows.where(F.pmod("key", F.lit(max(1, rows.count() // sampled))) == 0).select("text")
-    tallied = map_arrow(some, tally, "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).where("times >= 4")
-    often = tallied.orderBy(F.desc("times"), "token").limit(200_000).toPandas()
-    common = often.token.to_numpy(np.int64).view(np.uint64)
-    rank = len(common) - np.arange(len(common))  # the table's order breaks ties, the same for all sets
-    order = np.argsort(common)
-    sent = spark.sparkContext.broadcast((common[order], rank[order]))
+    component_id is the smallest id reachable.  Equal sets fold, by a 64-bit digest.  Null and wordless texts form one
+    group; null ids link like any other but name no group that has another.  Texts of any length count whole.  Other
+    columns are not read; an empty table gives no rows.
+    """
+    radius = round(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi) + slack
+    held_rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
 
     def run(batches):
-        common, rank = sent.value
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary()).to_pylist()
             for k in range(0, len(texts), 1000):
                 sets = [shingle_set(t or b"", shingle) for t in texts[k : k + 1000]]
+                prints = [wide_fingerprint(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(k, len(sets)), batch.column(2).slice(k, len(sets)), pa.array([digest(s) for s in sets], pa.int64()),
-                        pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()),
-                        pa.array([first_shingles(s, common, rank, similarity).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                        batch.column(0).slice(k, len(sets)), batch.column(2).slice(k, len(sets)), pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([int(np.bitwise_count(x).sum()) for x in prints], pa.int32()), pa.array([x.tobytes() for x in prints], pa.binary()),
+                        pa.array([band_tokens(s, bands, rows) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "key", "node", "n", "sketch", "firsts"],
+                    ["doc_id", "key", "node", "n", "ones", "fp", "tokens"],
                 )
 
-    each = materialise(map_arrow(rows, run, "doc_id long, key long, node long, n long, sketch binary, firsts array<long>"), "op5-sets")
+    each = materialise(map_arrow(held_rows, run, "doc_id long, key long, node long, n long, ones int, fp binary, tokens array<long>"), "op5-sets")
     # A set's text stands for it; rows that repeat the text or the set fold.
     folded = materialise(each.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.count("*").alias("copies")), "op5-folded")
     many = materialise(folded.where("copies > 1").select("node"), "op5-many")
-    lone = each.join(many, "node", "left_anti").where("n > 0").select("node", "n", "sketch", "firsts")
-    repeated = each.join(many, "node", "left_semi").where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "firsts")])
+    columns = ["node", "n", "ones", "fp", "tokens"]
+    lone = each.join(many, "node", "left_anti").where("n > 0").select(columns)
+    repeated = each.join(many, "node", "left_semi").where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in columns[1:]])
     sets = lone.unionByName(repeated)
-    held = sets.select("node", "n", F.posexplode("firsts").alias("place", "token")).select("token", "node", "n", F.col("place").cast("long").alias("place"))
-    held = held.withColumn("holders", F.count("*").over(Window.partitionBy("token"))).where("holders > 1")
-    shared = materialise(held, "op5-shared")
+    holders = materialise(sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1"), "op5-holders")
+    shared = materialise(sets.select("node", "n", "ones", F.explode("tokens").alias("token")).join(holders, "token"), "op5-shared")
     nodes = materialise(shared.select("node").distinct(), "op5-nodes")
-    sketches = materialise(sets.join(nodes, "node", "left_semi").select("node", "sketch"), "op5-sketches")
-
-    # What is left of both sets after the shared shingle bounds how much they share; for the first one they share, exactly.
-    chance = F.expr(
-        f"least(n, n2) >= {similarity} * greatest(n, n2) - 1e-9 AND (1 + least(n - place - 1, n2 - place2 - 1)) * {1 + similarity} >= {similarity} * (n + n2) - 1e-9"
-    )
+    prints = materialise(sets.join(nodes, "node", "left_semi").select("node", "fp"), "op5-prints")
 
     def whole(batches):
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in batch.column(0).cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
-    def may(batches):
+    # Only candidates' texts are read again; one of the rows that share a text will do.
+    keys = materialise(folded.join(nodes, "node", "left_semi").select("key"), "op5-keys")
+    texts = held_rows.join(keys, "key", "left_semi").select("text")
+    compared = materialise(map_arrow(texts, whole, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "op5-compared")
+    chance = f"least(n, n2) >= {similarity} * greatest(n, n2) - 1e-9 AND abs(ones - ones2) <= {radius}"
+
+    def near(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH) for c in (4, 5))
-            most = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (1 - similarity) / (1 + similarity) + 1e-9
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= most))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WIDE) for c in (2, 3))
+            away = np.bitwise_count(x ^ y).sum(1, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(away)], ["u", "v", "away"]).filter(pa.array(away <= radius))
 
     def confirm(batches):
         for batch in batches:
@@ -281,36 +283,33 @@ def similar_groups(
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs that the sketches allow and the whole sets, made again from the texts, confirm."""
-        turned = F.when(F.col("node") > F.col("node2"), F.struct(F.col("node").alias("u"), F.col("node2").alias("v"), F.col("n").alias("m"), F.col("n2").alias("o")))
-        turned = turned.otherwise(F.struct(F.col("node2").alias("u"), F.col("node").alias("v"), F.col("n2").alias("m"), F.col("n").alias("o")))
-        pairs = pairs.select(turned.alias("pair")).select("pair.*").distinct()
-        left, right = sketches.toDF("u", "x"), sketches.toDF("v", "y")
-        near = materialise(map_arrow(pairs.join(left, "u").join(right, "v").select("u", "v", "m", "o", "x", "y"), may, "u long, v long"), "op5-near")
-        ends = near.select(F.col("u").alias("node")).union(near.select("v")).distinct()
-        keys = materialise(folded.join(ends, "node", "left_semi").select("key"), "op5-keys")
-        texts = rows.join(keys, "key", "left_semi").select("text")
-        compared = materialise(map_arrow(texts, whole, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "op5-compared")
+    def confirmed(pairs: DataFrame, nearest: bool = False) -> DataFrame:
+        """The pairs (node, node2) that the fingerprints allow and the whole sets confirm; with ``nearest``, of each
+        node only the nearest is tried."""
+        pairs = pairs.select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct()
+        close = map_arrow(pairs.join(prints.toDF("u", "x"), "u").join(prints.toDF("v", "y"), "v").select("u", "v", "x", "y"), near, "u long, v long, away int")
+        if nearest:
+            close = close.groupBy("u").agg(F.min_by("v", F.struct("away", "v")).alias("v"))
+        close = materialise(close.select("u", "v"), "op5-near")
         left, right = compared.toDF("u", "x"), compared.toDF("v", "y")
-        return materialise(map_arrow(near.join(left, "u").join(right, "v").select("u", "v", "x", "y"), confirm, "u long, v long"), "op5-confirmed")
+        return materialise(map_arrow(close.join(left, "u").join(right, "v").select("u", "v", "x", "y"), confirm, "u long, v long"), "op5-confirmed")
 
     def grouped(roots: DataFrame) -> DataFrame:
         return shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    other = [F.col(c).alias(f"{c}2") for c in ("node", "n", "place", "root")]
-    roots = spark.createDataFrame([], "node long, root long")
+    other = [F.col(c).alias(f"{c}2") for c in ("node", "n", "ones", "root")]
+    roots = docs.sparkSession.createDataFrame([], "node long, root long")
     edges = roots.toDF("u", "v")
     for k in range(stars):
-        now = grouped(roots).withColumn("size", F.floor(F.log("n") / F.lit(-math.log(similarity))))
-        middle = now.groupBy("token", "size").agg(F.min_by(F.struct(*other), F.xxhash64("node", F.lit(k))).alias("middle"))
-        found = confirmed(now.join(middle, ["token", "size"]).select("*", "middle.*").where("root != root2").where(chance))
+        now = grouped(roots)
+        middle = now.groupBy("token").agg(F.min_by(F.struct(*other), F.xxhash64("node", F.lit(k))).alias("middle"))
+        found = confirmed(now.join(middle, "token").select("*", "middle.*").where("root != root2").where(chance), nearest=True)
         if not found.limit(1).count():
             break
         edges = materialise(edges.unionByName(found), "op5-edges")
         roots = components(edges, "op5-similar")
     now = materialise(grouped(roots), "op5-grouped")
-    # Of a shingle's holders, those outside its largest component meet all others; a long list is met in blocks.
+    # Of a token's holders, those outside its largest component meet all others; a long list is met in blocks.
     largest = now.groupBy("token", "root").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots"))
     met = now.join(largest.where("roots > 1"), "token").withColumn("blocks", F.ceil(F.col("holders") / block).cast("int"))
     left = met.where("root != main").withColumn("part", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
