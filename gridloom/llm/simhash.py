@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise
+from .common import map_arrow, materialise, ship
 
 PARTS, BITS = 4, 16
 SIDE = BITS + 1
@@ -209,17 +209,42 @@ def band_tokens(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return token.view(np.int64)
 
 
+def linked_sets(node: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, radius: int, similarity: float):
+    """Edges of a spanning forest, between rows of different labels, of the pairs of a ``left`` row and any row whose
+    sets have the similarity.  Fingerprints choose what is compared, and what hangs together already is not."""
+    size = np.array([len(x) for x in sets])
+    edges = np.append(0, np.cumsum(size))
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, label = np.zeros(len(ids) + 1, bool), label.copy()
+    out = []
+    for i in left.tolist():
+        near = (np.bitwise_count(prints ^ prints[i]).sum(1, dtype=np.int32) <= radius) & (label != label[i])
+        near &= np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-9
+        own = ids[edges[i] : edges[i + 1]]
+        mark[own] = True
+        for j in np.flatnonzero(near).tolist():
+            if label[j] == label[i]:
+                continue
+            both = np.count_nonzero(mark[ids[edges[j] : edges[j + 1]]])
+            if both >= similarity * (size[i] + size[j] - both) - 1e-9:
+                out.append((int(node[i]), int(node[j])))
+                label[label == label[j]] = label[i]
+        mark[own] = False
+    return out
+
+
 def similar_groups(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4, slack: int = 24, stars: int = 2, block: int = 2048,
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4, slack: int = 24, tile: int = 65_536, block: int = 4096,
     doc: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """doc_id, component_id for every row, for sets of shingles of a Jaccard ``similarity`` or more.
 
     Candidates share one of ``bands`` tokens of ``rows`` min-hashes: of pairs at 0.8, all but 3 in 100,000 do, and fewer
-    are missed above.  Of these, pairs go whose sizes or fingerprints forbid the similarity: the radius is the number
-    of bits that it lets differ on average, and ``slack`` more, four standard deviations.  A link is only what the whole
-    sets confirm.  In ``stars`` rounds the holders of a token are first compared with one of them, so that a large
-    group of copies hangs together before the pairs between different components are compared, in blocks.
+    are missed above.  The holders of a token are a tile, cut into pieces of ``tile`` rows; inside it fingerprints are
+    compared exactly, within the number of bits that the similarity lets differ on average and ``slack`` more, four
+    standard deviations.  A tile returns a spanning forest, whose components hold all candidates.  Inside these, in
+    blocks of ``block`` sets, the whole sets are compared, and a block returns a spanning forest of the true links; sets
+    outside the largest group of a component that fills several blocks then meet the other blocks.
 
     component_id is the smallest id reachable.  Equal sets fold, by a 64-bit digest.  Null and wordless texts form one
     group; null ids link like any other but name no group that has another.  Texts of any length count whole.  Other
@@ -233,28 +258,65 @@ def similar_groups(
             texts = batch.column(1).cast(pa.large_binary()).to_pylist()
             for k in range(0, len(texts), 1000):
                 sets = [shingle_set(t or b"", shingle) for t in texts[k : k + 1000]]
-                prints = [wide_fingerprint(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(k, len(sets)), batch.column(2).slice(k, len(sets)), pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([int(np.bitwise_count(x).sum()) for x in prints], pa.int32()), pa.array([x.tobytes() for x in prints], pa.binary()),
-                        pa.array([band_tokens(s, bands, rows) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                        pa.array([wide_fingerprint(s).tobytes() for s in sets], pa.binary()), pa.array([band_tokens(s, bands, rows) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "key", "node", "n", "ones", "fp", "tokens"],
+                    ["doc_id", "key", "node", "n", "fp", "tokens"],
                 )
 
-    each = materialise(map_arrow(held_rows, run, "doc_id long, key long, node long, n long, ones int, fp binary, tokens array<long>"), "op5-sets")
+    each = materialise(map_arrow(held_rows, run, "doc_id long, key long, node long, n long, fp binary, tokens array<long>"), "op5-sets")
     # A set's text stands for it; rows that repeat the text or the set fold.
     folded = materialise(each.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.count("*").alias("copies")), "op5-folded")
     many = materialise(folded.where("copies > 1").select("node"), "op5-many")
-    columns = ["node", "n", "ones", "fp", "tokens"]
+    columns = ["node", "n", "fp", "tokens"]
     lone = each.join(many, "node", "left_anti").where("n > 0").select(columns)
     repeated = each.join(many, "node", "left_semi").where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in columns[1:]])
     sets = lone.unionByName(repeated)
     holders = materialise(sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1"), "op5-holders")
-    shared = materialise(sets.select("node", "n", "ones", F.explode("tokens").alias("token")).join(holders, "token"), "op5-shared")
-    nodes = materialise(shared.select("node").distinct(), "op5-nodes")
-    prints = materialise(sets.join(nodes, "node", "left_semi").select("node", "fp"), "op5-prints")
+    # A token of more holders than a tile takes is cut into as many pieces on one side, and met whole on the other.
+    shared = sets.select("node", "n", "fp", F.explode("tokens").alias("token")).join(holders, "token").withColumn("cuts", F.ceil(F.col("holders") / tile).cast("int"))
+    own = F.pmod(F.xxhash64("node"), "cuts").cast("int")
+    many_tiles = int((holders.agg(F.sum("holders")).first()[0] or 0) // tile) + 1
+
+    def compare(batches):
+        """Of tiles that lie one after another: a forest of the pairs within the radius."""
+        table = pa.Table.from_batches(list(batches))
+        if not table.num_rows:
+            return table.select(["node"]).rename_columns(["u"]).append_column("v", table.column("node"))
+        key = np.stack([table.column(c).to_numpy() for c in ("token", "a")])
+        node, n, side = (table.column(c).to_numpy() for c in ("node", "n", "side"))
+        fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
+        order = np.lexsort((node, side, key[1], key[0]))
+        cut = np.flatnonzero(np.append(True, (key[:, order][:, 1:] != key[:, order][:, :-1]).any(0)))
+        us, vs = [], []
+        for i, j in zip(cut, np.append(cut[1:], len(order)), strict=True):
+            at = order[i:j]
+            near = np.bitwise_count(fp[at] ^ fp[at[0]]).sum(1, dtype=np.int32) <= radius
+            us.append(node[at[near]])
+            vs.append(np.full(int(near.sum()), node[at[0]]))
+            for k in at[~near & (side[at] == 0)].tolist():
+                hit = at[(np.bitwise_count(fp[at] ^ fp[k]).sum(1, dtype=np.int32) <= radius) & (np.minimum(n[at], n[k]) >= similarity * np.maximum(n[at], n[k]) - 1e-9)]
+                us.append(node[hit])
+                vs.append(np.full(len(hit), node[k]))
+        u, v = np.concatenate(us), np.concatenate(vs)
+        child, parent = forest(u, v, [(np.arange(len(u)), np.arange(len(u)))])
+        return pa.table({"u": child, "v": parent})
+
+    left = shared.select("token", own.alias("a"), F.lit(0).alias("side"), "node", "n", "fp")
+    right = shared.where("cuts > 1").select("token", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("a"), F.lit(1).alias("side"), "node", "n", "fp", own.alias("home"))
+    units = left.unionByName(right.where("home != a").drop("home")).withColumn("pile", F.pmod(F.xxhash64("token", "a"), F.lit(8 * many_tiles)))
+    ship(docs.sparkSession)
+    candidates = units.groupBy("pile").applyInArrow(lambda t: compare(t.to_batches()), "u long, v long").where("u != v")
+    roots = materialise(components(candidates, "op5-candidates"), "op5-roots")
+
+    # Every node of a candidate component, its root included, with the component's size.
+    inside = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    sizes = inside.groupBy("root").agg(F.count("*").alias("size"))
+    placed = inside.join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    placed = materialise(placed.join(sets.select("node", "n", "fp"), "node"), "op5-placed")
+    piles = int(placed.count() // block) + 1
 
     def whole(batches):
         for batch in batches:
@@ -262,61 +324,48 @@ def similar_groups(
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
     # Only candidates' texts are read again; one of the rows that share a text will do.
-    keys = materialise(folded.join(nodes, "node", "left_semi").select("key"), "op5-keys")
+    keys = materialise(folded.join(placed, "node", "left_semi").select("key"), "op5-keys")
     texts = held_rows.join(keys, "key", "left_semi").select("text")
-    compared = materialise(map_arrow(texts, whole, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "op5-compared")
-    chance = f"least(n, n2) >= {similarity} * greatest(n, n2) - 1e-9 AND abs(ones - ones2) <= {radius}"
-
-    def near(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WIDE) for c in (2, 3))
-            away = np.bitwise_count(x ^ y).sum(1, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(away)], ["u", "v", "away"]).filter(pa.array(away <= radius))
-
-    def confirm(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = np.count_nonzero(y[at] == x)
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    def confirmed(pairs: DataFrame, nearest: bool = False) -> DataFrame:
-        """The pairs (node, node2) that the fingerprints allow and the whole sets confirm; with ``nearest``, of each
-        node only the nearest is tried."""
-        pairs = pairs.select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct()
-        close = map_arrow(pairs.join(prints.toDF("u", "x"), "u").join(prints.toDF("v", "y"), "v").select("u", "v", "x", "y"), near, "u long, v long, away int")
-        if nearest:
-            close = close.groupBy("u").agg(F.min_by("v", F.struct("away", "v")).alias("v"))
-        close = materialise(close.select("u", "v"), "op5-near")
-        left, right = compared.toDF("u", "x"), compared.toDF("v", "y")
-        return materialise(map_arrow(close.join(left, "u").join(right, "v").select("u", "v", "x", "y"), confirm, "u long, v long"), "op5-confirmed")
-
-    def grouped(roots: DataFrame) -> DataFrame:
-        return shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    other = [F.col(c).alias(f"{c}2") for c in ("node", "n", "ones", "root")]
-    roots = docs.sparkSession.createDataFrame([], "node long, root long")
-    edges = roots.toDF("u", "v")
-    for k in range(stars):
-        now = grouped(roots)
-        middle = now.groupBy("token").agg(F.min_by(F.struct(*other), F.xxhash64("node", F.lit(k))).alias("middle"))
-        found = confirmed(now.join(middle, "token").select("*", "middle.*").where("root != root2").where(chance), nearest=True)
-        if not found.limit(1).count():
-            break
-        edges = materialise(edges.unionByName(found), "op5-edges")
-        roots = components(edges, "op5-similar")
-    now = materialise(grouped(roots), "op5-grouped")
-    # Of a token's holders, those outside its largest component meet all others; a long list is met in blocks.
-    largest = now.groupBy("token", "root").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots"))
-    met = now.join(largest.where("roots > 1"), "token").withColumn("blocks", F.ceil(F.col("holders") / block).cast("int"))
-    left = met.where("root != main").withColumn("part", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    right = met.select("token", *other, (F.col("root") == F.col("main")).alias("central"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
-    found = confirmed(left.join(right, ["token", "part"]).where("root != root2 AND (central OR node < node2)").where(chance))
-    roots = components(edges.unionByName(found), "op5-similar")
-    rooted = folded.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    found = map_arrow(texts, whole, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    ready = materialise(placed.join(found, "node"), "op5-ready")
+
+    def verify(table: pa.Table) -> pa.Table:
+        """True links inside each group of a pile; ``label`` tells what hangs together before."""
+        out = []
+        group, node, label, side = (table.column(c).to_numpy() for c in ("group", "node", "label", "side"))
+        order = np.lexsort((node, side, group))
+        cut = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1]))
+        prints, shingles = table.column("fp"), table.column("shingles")
+        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
+            at = order[i:j]
+            some = pa.array(at)
+            fp = np.frombuffer(b"".join(prints.take(some).to_pylist()), np.uint64).reshape(-1, WIDE)
+            held = [np.frombuffer(x, np.uint64) for x in shingles.take(some).to_pylist()]
+            out += linked_sets(node[at], fp, held, label[at], np.flatnonzero(side[at] == 0), radius, similarity)
+        u, v = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    part = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    columns = ["node", "fp", "shingles"]
+    small = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(piles))).otherwise(F.xxhash64("root", part))
+    group = F.when(F.col("blocks") == 1, F.col("root")).otherwise(F.xxhash64("root", part))
+    first = ready.select(small.alias("pile"), group.alias("group"), F.lit(0).alias("side"), F.col("node").alias("label"), *columns)
+    edges = materialise(first.groupBy("pile").applyInArrow(verify, "u long, v long"), "op5-true")
+    true = components(edges, "op5-similar")
+    # Of components that fill several blocks, the nodes outside the largest true group meet the blocks they were not in.
+    large = materialise(ready.where("blocks > 1").join(true.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")), "op5-large")
+    if large.limit(1).count():
+        main = large.groupBy("root", "label").agg(F.count("*").alias("held")).groupBy("root").agg(F.max_by("label", F.struct("held", "label")).alias("main"))
+        met = large.join(F.broadcast(main) if main.count() <= 100_000 else main, "root").withColumn("part", part)
+        rest = met.where("label != main")
+        rests = rest.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("rests"))
+        one, other = F.pmod(F.xxhash64("node", F.lit(1)), "rests").cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+        left = rest.join(rests, "root").withColumn("a", one).withColumn("c", F.explode(other)).select("root", "a", "c", F.lit(0).alias("side"), "label", *columns)
+        right = met.join(rests, "root").withColumn("a", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).select("root", "a", F.col("part").alias("c"), F.lit(1).alias("side"), "label", *columns)
+        second = left.unionByName(right).withColumn("group", F.xxhash64("root", "a", "c")).withColumn("pile", F.col("group"))
+        edges = materialise(edges.unionByName(second.groupBy("pile").applyInArrow(verify, "u long, v long")), "op5-all-true")
+        true = components(edges, "op5-similar")
+    rooted = folded.join(true, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return each.select("doc_id", "node").join(rooted.join(named, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
