@@ -46,9 +46,11 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that the cluster shares (``spark.checkpoint.dir``); where that is unset, as in
-    tests on one machine, in a temporary folder that goes when the process ends."""
+    tests on one machine, in a temporary folder that goes when the process ends.  A cluster must set it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + _temporary()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

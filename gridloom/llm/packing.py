@@ -29,7 +29,7 @@ LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
 #: Byte-level vocabularies write printable bytes as themselves, and the n-th of the others as character 256 + n.
 PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARS = {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)) - PRINTABLE))}
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 300_000  # some 70 MB of a worker
 SLICE = 1 << 23  # bytes of texts tokenized together; a longer text stands alone
 
 
