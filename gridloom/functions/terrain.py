@@ -92,9 +92,12 @@ def datum_shift(source: Column, manual: Column, geoid: Column, tagged: Column, m
 
 
 def zone_name(rank: Column) -> Column:
-    """A to Z, then AA, AB and so on, for 0, 1, 2 ..."""
-    letter = lambda n: F.chr(n + 65)
-    return F.when(rank < 26, letter(rank)).otherwise(F.concat(letter(F.floor(rank / 26) - 1), letter(rank % 26)))
+    """A to Z, then AA, AB and so on, for 0, 1, 2 ... up to any 32-bit rank."""
+    name, left = F.lit(""), rank.cast("long") + 1
+    for _ in range(7):  # 26 ** 7 is beyond 2 ** 31
+        name = F.concat(F.when(left > 0, F.chr((left - 1) % 26 + 65)).otherwise(""), name)
+        left = F.greatest(F.floor((left - 1) / 26), F.lit(0))
+    return name
 
 
 def ramp(value: Column, stops: list[tuple[float, float]]) -> Column:

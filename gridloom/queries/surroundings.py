@@ -145,8 +145,9 @@ ORACLES = {
     "otsu_threshold": f"WITH v AS (SELECT event_type AS k, CAST(floor(value) AS BIGINT) AS v FROM events), {_OTSU} SELECT k AS event_type, threshold FROM otsu",
     "seam_ratio": f"""WITH {GRID}, d AS (SELECT abs(z - lag(z) OVER (PARTITION BY r ORDER BY c)) AS d, c IN (16, 32, 48) AS seam FROM g UNION ALL SELECT abs(z - lag(z) OVER (PARTITION BY c ORDER BY r)), r IN (16, 32, 48) FROM g)
         SELECT avg(d) FILTER (seam) / avg(d) FILTER (NOT seam) AS ratio FROM d WHERE d IS NOT NULL""",
-    "d8_receivers": f"""WITH {GRID}, {OFFSETS}, f AS (SELECT a.r, a.c, a.r + dr AS to_r, a.c + dc AS to_c, row_number() OVER (PARTITION BY a.r, a.c ORDER BY CAST(a.z - b.z AS DOUBLE) / sqrt(CAST(dr * dr + dc * dc AS DOUBLE)) DESC, k) AS n
-            FROM g a CROSS JOIN o JOIN g b ON b.r = a.r + dr AND b.c = a.c + dc WHERE a.z > b.z)
+    "d8_receivers": f"""WITH {GRID}, {OFFSETS}, a AS (SELECT r, c, z, k, dr, dc, r + dr AS to_r, c + dc AS to_c FROM g, o),
+            f AS (SELECT a.r, a.c, to_r, to_c, row_number() OVER (PARTITION BY a.r, a.c ORDER BY CAST(a.z - b.z AS DOUBLE) / sqrt(CAST(dr * dr + dc * dc AS DOUBLE)) DESC, k) AS n
+            FROM a JOIN g b ON b.r = to_r AND b.c = to_c WHERE a.z > b.z)
         SELECT g.r, g.c, to_r, to_c FROM g LEFT JOIN f ON f.r = g.r AND f.c = g.c AND n = 1""",
     "area_resize": f"""WITH {GRID}, {_H}, rr AS (SELECT r, i, least((r + 1) * 48 / CAST(h AS DOUBLE), i + 1) - greatest(r * 48 / CAST(h AS DOUBLE), i) AS w FROM (SELECT DISTINCT r FROM g), h, range(48) t(i) WHERE (r + 1) * 48 > i * h AND r * 48 < (i + 1) * h),
         cc AS (SELECT c, j, least((c + 1) * 24 / CAST(64 AS DOUBLE), j + 1) - greatest(c * 24 / CAST(64 AS DOUBLE), j) AS w FROM range(64) u(c), range(24) t(j) WHERE (c + 1) * 24 > j * 64 AND c * 24 < (j + 1) * 64)

@@ -64,7 +64,7 @@ def covered_cells(polygons: DataFrame, key: str, width: int, height: int) -> Dat
     span = lambda a, b, n: F.sequence(F.greatest(F.lit(0), F.floor(a)), F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(b))))
     cells = box.withColumn("r", F.explode(span("y0", "y1", height))).withColumn("c", F.explode(span("x0", "x1", width)))
     x, y = F.col("c") + 0.5, F.col("r") + 0.5
-    sides = F.zip_with("ring", F.concat(F.slice("ring", 2, 1_000_000), F.slice("ring", 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    sides = F.zip_with("ring", F.concat(F.slice("ring", F.lit(2), F.size("ring")), F.slice("ring", 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     crossed = F.filter(sides, lambda s: ((s["a"][1] > y) != (s["b"][1] > y)) & (x < (s["b"][0] - s["a"][0]) * (y - s["a"][1]) / (s["b"][1] - s["a"][1]) + s["a"][0]))
     return cells.where(F.size(crossed) % 2 == 1).groupBy("r", "c").agg(F.max(key).alias(key))
 

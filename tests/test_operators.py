@@ -146,3 +146,18 @@ def test_small_falls_are_seen_in_large_sums(spark):
 
     before, after = (spark.createDataFrame([(4 * 10**17,), (last,)], "label long") for last in (9, 8))
     assert graph._stable(before, "label") != graph._stable(after, "label")
+
+
+def test_zone_names_of_any_rank(spark):
+    def name(n):
+        out, n = "", n + 1
+        while n:
+            n, k = divmod(n - 1, 26)
+            out = chr(65 + k) + out
+        return out
+
+    from gridloom.functions import terrain
+
+    ranks = [0, 25, 26, 51, 701, 702, 703, 18_277, 18_278, 475_254, 2**31 - 1]
+    got = spark.createDataFrame([(n,) for n in ranks], "rank int").select("rank", terrain.zone_name(F.col("rank")).alias("name")).collect()
+    assert {r.rank: r.name for r in got} == {n: name(n) for n in ranks}
