@@ -53,7 +53,8 @@ def object_masks(cells: DataFrame, width: int, least: int, high: str = "high", v
 
 
 def shadow_mask(cells: DataFrame, dark: str, water: str, width: int, least: int = 4) -> DataFrame:
-    """Adds ``shadow``: dark cells that are not water, opened 2 x 2, in patches of ``least`` cells or more."""
+    """Adds ``shadow``: dark cells that are not water, opened 2 x 2 (which moves it a cell down and right), in
+    patches of ``least`` cells or more."""
     kept = nb.opened(cells.select(*CELL, (F.col(dark) & ~F.col(water)).alias("shadow")), "shadow", 2)
     labels = graph.components(kept, "shadow", width)
     large = labels.groupBy("scene", "label").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("scene", "label")
@@ -72,8 +73,9 @@ def water_regions(cells: DataFrame, blue: str, raised: str, width: int, k: int =
 
 
 def ground_surface(cells: DataFrame, value: str, k: int, height: int, width: int) -> DataFrame:
-    """``value`` without what is narrower than k cells: smoothed, opened and smoothed again."""
-    return nb.gaussian(nb.opened(nb.gaussian(cells, value, 1.0, height, width), value, k), value, k / 3, height, width)
+    """``value`` without what is narrower than k cells: smoothed, opened (in place, for any k) and smoothed again."""
+    low = nb.extreme(nb.gaussian(cells, value, 1.0, height, width), value, k, largest=False)
+    return nb.gaussian(nb.extreme(low, value, k, ahead=True), value, k / 3, height, width)
 
 
 def bare_earth(cells: DataFrame, value: str, under: str, height: int, width: int, sigma: float = 2.0) -> DataFrame:

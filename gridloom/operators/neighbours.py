@@ -96,12 +96,14 @@ def gaussian(cells: DataFrame, value: str, sigma: float, height: int, width: int
     return out
 
 
-def extreme(cells: DataFrame, value: str, k: int, largest: bool = True) -> DataFrame:
-    """Largest or smallest over k x k cells; what lies beyond the border does not count.  An even k reaches further back."""
+def extreme(cells: DataFrame, value: str, k: int, largest: bool = True, ahead: bool = False) -> DataFrame:
+    """Largest or smallest over k x k cells; what lies beyond the border does not count.  An even k reaches further
+    back, or with ``ahead`` further on."""
     pick = F.max if largest else F.min
+    before, after = (k - 1 - k // 2, k // 2) if ahead else (k // 2, k - 1 - k // 2)
     out = cells
     for d in ("c", "r"):
-        out = out.withColumn(value, pick(value).over(framed(d, k // 2, k - 1 - k // 2)))
+        out = out.withColumn(value, pick(value).over(framed(d, before, after)))
     return out
 
 
@@ -114,6 +116,7 @@ def dilate(cells: DataFrame, mask: str, times: int = 1) -> DataFrame:
 
 
 def opened(cells: DataFrame, value: str, k: int) -> DataFrame:
+    """With an even k both steps reach back, so what stays lies one cell further on."""
     return extreme(extreme(cells, value, k, largest=False), value, k)
 
 

@@ -11,7 +11,7 @@ from ..operators import calibration as cal
 from ..sources.grid import grid
 from ..storage import table
 from . import GRID
-from .surroundings import _box, _H, _mirror, _near
+from .surroundings import _H, _mirror, _near
 
 W, AZIMUTH, STEPS = 64, 135.0, 20
 
@@ -26,7 +26,9 @@ def vegetation_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def elevated_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = grid(spark, sf_dir).select("scene", "r", "c", (F.col("z") / 400.0).alias("rel"), (F.pmod("z", F.lit(13)) == 0).alias("water"))
+    """Blocks of raised cells, with single cells of water in them."""
+    block = (F.col("r") % 9 < 6) & (F.col("c") % 11 < 7)
+    cells = grid(spark, sf_dir).select("scene", "r", "c", (F.abs("z") / 400.0 + F.when(block, 2.0).otherwise(0.0)).alias("rel"), (F.pmod("z", F.lit(13)) == 0).alias("water"))
     return cal.elevated(cells, "rel", "water").where("high").select("r", "c")
 
 
@@ -112,9 +114,11 @@ _WALK = f"""t AS MATERIALIZED (SELECT r, c, CASE WHEN z > 120 THEN r // 8 * 8 +
 
 ORACLES = {
     "vegetation_mask": f"""WITH {GRID}, {_H}, p AS MATERIALIZED (SELECT r, c, abs(z) % 256 AS red, abs(z) * 7 % 256 AS green, abs(z) * 3 % 256 AS blue FROM g), y AS MATERIALIZED (SELECT r, c, (red + green + blue) / CAST(3 AS DOUBLE) AS z FROM p),
-        x AS {_box(2, "avg(b.z) AS m, sum(b.z * b.z) / CAST(25 AS DOUBLE) AS q", "y")}
+        x1 AS MATERIALIZED (SELECT a.r, a.c, sum(b.z) AS m, sum(b.z * b.z) AS q FROM y a, range(-2, 3) t(i), y b WHERE b.r = a.r AND b.c = {_mirror("a.c + i", "64")} GROUP BY a.r, a.c),
+        x AS (SELECT a.r, a.c, sum(b.m) / CAST(25 AS DOUBLE) AS m, sum(b.q) / CAST(25 AS DOUBLE) AS q FROM x1 a, h, range(-2, 3) t(i), x1 b WHERE b.c = a.c AND b.r = {_mirror("a.r + i", "h")} GROUP BY a.r, a.c)
         SELECT r, c FROM p JOIN x USING (r, c) WHERE (2 * green - red - blue) / CAST(red + green + blue + 1 AS DOUBLE) > 0.06 AND sqrt(greatest(q - m * m, 0)) > 5""",
-    "elevated_cells": f"""WITH {GRID}, l AS (SELECT greatest(0.02, 0.2 * quantile_cont(z / CAST(400 AS DOUBLE), 0.99)) AS lim FROM g), m AS (SELECT r, c, CAST(z / CAST(400 AS DOUBLE) > lim AND z % 13 <> 0 AS INTEGER) AS z FROM g, l),
+    "elevated_cells": f"""WITH {GRID}, v AS MATERIALIZED (SELECT r, c, z, abs(z) / CAST(400 AS DOUBLE) + CASE WHEN r % 9 < 6 AND c % 11 < 7 THEN 2 ELSE 0 END AS rel FROM g),
+        l AS (SELECT greatest(0.02, 0.2 * quantile_cont(rel, 0.99)) AS lim FROM v), m AS (SELECT r, c, CAST(rel > lim AND z % 13 <> 0 AS INTEGER) AS z FROM v, l),
         {_near(1, 1, "min", "m", "a")}, {_near(1, 1, "max", "a", "b")} SELECT r, c FROM b WHERE z = 1""",
     "ground_surface": f"WITH {GRID}, {_H}, {_blur(1.0, 'g', 'x')}, {_near(2, 2, 'min', 'x', 'a')}, {_near(2, 2, 'max', 'a', 'b')}, {_blur(5 / 3, 'b', 'y')} SELECT r, c, round(z, 5) AS z FROM y",
     "bare_earth": f"""WITH {GRID}, {_H}, o AS MATERIALIZED (SELECT r, c, CASE WHEN z > 120 THEN 0 ELSE z END AS num, CAST(z <= 120 AS INTEGER) AS den FROM g), {_blur(2.0, "o", "x", "num den")}
