@@ -30,7 +30,7 @@ LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
 PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARS = {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)) - PRINTABLE))}
 WORDS_KEPT = 300_000  # some 70 MB of a worker
-SLICE = 1 << 23  # bytes of texts tokenized together; a longer text stands alone
+SLICE = 1 << 21  # bytes of texts tokenized together, which hold some 60 MB of a worker; a longer text stands alone
 
 
 class WordIds:
