@@ -12,7 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: list[str] = []
@@ -62,6 +62,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[Column], label: str, sums: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` in ``order`` with ``row``, its place from 0, and for each column of ``sums`` the total of all rows before.
+
+    Range partitions are sorted and written once.  One total per partition gives the partitions' offsets by a prefix
+    sum, and these join back: a row per partition, far below any table's size.  ``order`` should tell all rows apart,
+    or rows that it does not tell apart stay in one partition.
+    """
+    placed = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), label)
+    part, before = F.shiftright("place", 33), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(part.alias("part")).agg(F.count("*").alias("row"), *[F.sum(c).alias(c) for c in sums])
+    offsets = totals.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_offset") for c in ("row", *sums)])
+    inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    running = placed.withColumns({"part": part} | ({"row": F.col("place").bitwiseAND((1 << 33) - 1)}))
+    running = running.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums}) if sums else running
+    joined = running.join(F.broadcast(offsets), "part")
+    whole = {"row": F.col("row") + F.col("row_offset")} | {f"{c}_before": F.col(f"{c}_before") + F.col(f"{c}_offset") for c in sums}
+    return joined.withColumns(whole).drop("part", "place", *[f"{c}_offset" for c in ("row", *sums)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
