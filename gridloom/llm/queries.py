@@ -187,7 +187,7 @@ ORACLES = {
                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
         o AS (SELECT doc_id, unnest(words) AS word FROM w),
         n AS (SELECT word, sum(s) AS s, sum(t) AS t FROM (SELECT word, 1 AS s, 0 AS t FROM o UNION ALL SELECT word, 0, 1 FROM b) GROUP BY word),
-        h AS (SELECT word, s, t, {crc_sql('word')} % 10000 AS bucket FROM n, crc),
+        h AS (SELECT word, s, n.t, {crc_sql('word')} % 10000 AS bucket FROM n, crc),
         g AS (SELECT bucket, CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t, CAST(sum(sum(s)) OVER () AS DOUBLE) AS all_s, CAST(sum(sum(t)) OVER () AS DOUBLE) AS all_t
               FROM h GROUP BY bucket),
         gain AS (SELECT word, CAST(floor(1000 * ln((g.t + 1) * (all_s + 10000) / ((g.s + 1) * (all_t + 10000)))) AS BIGINT) AS gain FROM h JOIN g USING (bucket)),
