@@ -24,7 +24,7 @@ from .common import map_arrow, materialise, numbered, slices, utf8
 
 #: Runs of ASCII digits, lower-case ASCII letters and bytes of all other characters.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-SLICE = 1 << 22  # bytes of texts that share a slice; a longer text has one to itself
+SLICE = 1 << 23  # bytes of texts that share a slice; a longer text has one to itself
 ROWS = "slice long, words array<binary>, grams array<array<int>>, counts array<long>, docs array<struct<doc_id:long,n_words:long,n_features:long,held:array<int>,times:array<int>>>"
 
 
@@ -80,7 +80,8 @@ def sliced(docs: DataFrame, low: int, high: int, doc: str | None, text: str, lab
                 ]
                 counts = np.bincount(places, minlength=len(grams)).astype(np.int64)
                 kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_features", pa.int64()), ("held", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))]))
-                columns = ([number], [words], [grams], [counts], [rows if doc else []])
+                longer = [g for g in grams if len(g) > 1]  # runs of one word stand first, in the order of the words
+                columns = ([number], [words], [longer], [counts], [rows if doc else []])
                 types = (pa.int64(), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64()), kind)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["slice", "words", "grams", "counts", "docs"])
                 number += 1
@@ -98,11 +99,16 @@ def importance(docs: DataFrame, target: DataFrame, low: int = 1, high: int = 1,
     """
     source, wanted = sliced(docs, low, high, doc, text, "op13-source"), sliced(target, low, high, None, target_text, "op13-target")
     both = source.select(F.lit(False).alias("wanted"), "*").unionByName(wanted.select(F.lit(True).alias("wanted"), "*"))
-    named = both.select("wanted", "slice", F.posexplode("words").alias("code", "word"))
-    dictionary = materialise(named.select("word").distinct().withColumn("id", F.monotonically_increasing_id()), "op13-words")
-    ids = named.join(dictionary, "word").groupBy("wanted", "slice").agg(F.array_sort(F.collect_list(F.struct("code", "id"))).getField("id").alias("ids"))
-    tupled = both.select("wanted", "slice", "grams", "counts").join(ids, ["wanted", "slice"])
-    tuples = tupled.select("wanted", "slice", F.expr("inline(transform(grams, (g, i) -> struct(i AS place, transform(g, c -> ids[c]) AS gram, counts[i] AS n)))"))
+    told = both.select("wanted", "slice", "counts", F.posexplode("words").alias("place", "word"))
+    dictionary = materialise(told.select("word").distinct().withColumn("id", F.monotonically_increasing_id()), "op13-words")
+    named = told.select("wanted", "slice", "place", "word", F.element_at("counts", F.col("place") + 1).alias("n") if low == 1 else F.lit(0).cast("long").alias("n")).join(dictionary, "word")
+    tuples = named.select("wanted", "slice", "place", F.array("id").alias("gram"), "n") if low == 1 else None
+    if high > 1:
+        ids = named.groupBy("wanted", "slice").agg(F.array_sort(F.collect_list(F.struct("place", "id"))).getField("id").alias("ids"))
+        first = "size(words)" if low == 1 else "0"
+        spread = both.select("wanted", "slice", "grams", "counts", F.expr(first).alias("first")).join(ids, ["wanted", "slice"])
+        spread = spread.select("wanted", "slice", F.expr("inline(transform(grams, (g, i) -> struct(i + first AS place, transform(g, c -> ids[c]) AS gram, counts[i + first] AS n)))"))
+        tuples = spread if tuples is None else tuples.unionByName(spread)
     tuples = materialise(tuples, "op13-tuples")
 
     counted = tuples.groupBy("gram").agg(F.sum(F.when(F.col("wanted"), 0).otherwise(F.col("n"))).alias("s"), F.sum(F.when(F.col("wanted"), F.col("n")).otherwise(0)).alias("t"))
