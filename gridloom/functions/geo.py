@@ -34,6 +34,44 @@ def utm(lon: Column, lat: Column) -> tuple[Column, Column]:
     return 500000 + UTM_SCALE * radius * x, F.when(lat < 0, 1e7).otherwise(0.0) + UTM_SCALE * radius * y
 
 
+def lonlat(easting: Column, northing: Column, epsg: Column) -> tuple[Column, Column]:
+    """(longitude, latitude) of UTM coordinates in the zone of an EPSG code, by the Krueger series to the fourth order."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630)
+    xi = (northing - F.when(epsg >= 32700, 1e7).otherwise(0.0)) / (UTM_SCALE * radius)
+    eta = (easting - 500000) / (UTM_SCALE * radius)
+    x, y = xi, eta
+    for k, b in enumerate(beta, 1):
+        x = x - b * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+        y = y - b * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
+    chi = F.asin(F.sin(x) / F.cosh(y))
+    phi = chi
+    for k, d in enumerate(delta, 1):
+        phi = phi + d * F.sin(2 * k * chi)
+    middle = (epsg % 100) * 6 - 183
+    return middle + F.degrees(F.atan2(F.sinh(y), F.cos(x))), F.degrees(phi)
+
+
+def bounds_lonlat(left: Column, bottom: Column, right: Column, top: Column, epsg: Column, points: int = 21) -> Column:
+    """A struct west, south, east, north that holds a rectangle of UTM coordinates: each edge is followed by ``points``
+    places between its ends, since it is no line of equal longitude or latitude.  A rectangle over the date line or a pole
+    is out of a zone's reach and not provided for."""
+    steps = F.transform(F.sequence(F.lit(0), F.lit(points + 1)), lambda k: k / F.lit(points + 1.0))
+    across = lambda y: F.transform(steps, lambda s: F.struct((left + s * (right - left)).alias("x"), y.alias("y")))
+    along = lambda x: F.transform(steps, lambda s: F.struct(x.alias("x"), (bottom + s * (top - bottom)).alias("y")))
+    edge = F.concat(across(bottom), across(top), along(left), along(right))
+
+    def place(p: Column) -> Column:
+        lon, lat = lonlat(p["x"], p["y"], epsg)
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    places = F.transform(edge, place)
+    lon, lat = F.transform(places, lambda p: p["lon"]), F.transform(places, lambda p: p["lat"])
+    return F.struct(F.array_min(lon).alias("west"), F.array_min(lat).alias("south"), F.array_max(lon).alias("east"), F.array_max(lat).alias("north"))
+
+
 def degree_metres(lat: Column) -> tuple[Column, Column]:
     """Metres in a degree of longitude and of latitude."""
     return 111320 * F.cos(F.radians(lat)), F.lit(110540.0)

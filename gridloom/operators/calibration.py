@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import terrain as rules
-from . import distance, graph
+from ..storage import settle
+from . import distance, graph, regrid
 from . import neighbours as nb
 
 CELL = ["scene", "r", "c"]
@@ -80,17 +81,24 @@ def ground_surface(cells: DataFrame, value: str, k: int, height: int, width: int
 
 def bare_earth(cells: DataFrame, value: str, under: str, height: int, width: int, sigma: float = 2.0) -> DataFrame:
     """``value`` under ``under`` (buildings) filled from the ground around: means by Gaussian weights, twice as wide
-    each time until every cell has some; what a filter as wide as the scene leaves takes the scene's median."""
-    out = cells.withColumn("ground", F.when(~F.col(under), F.col(value).cast("double")))
-    base = out.select(*CELL, F.coalesce("ground", F.lit(0.0)).alias("num"), F.col("ground").isNotNull().cast("double").alias("den"))
-    while int(4 * sigma + 0.5) <= min(height, width):
-        wide = nb.gaussian(nb.gaussian(base, "num", sigma, height, width), "den", sigma, height, width)
-        out = out.join(wide, CELL).withColumn("ground", F.coalesce("ground", F.when(F.col("den") > 1e-3, F.col("num") / F.col("den")))).drop("num", "den")
-        if not out.where("ground IS NULL").limit(1).count():
+    each time until every cell has some, up to the scene's longer side; a scene without ground takes its median.
+
+    Every width is written before the next; wide ones work on block means."""
+    base = settle(cells.select(*CELL, F.when(F.col(under), 0.0).otherwise(F.col(value).cast("double")).alias("num"), (~F.col(under)).cast("double").alias("den")), "ground")
+    ground = base.select(*CELL, F.when(F.col("den") > 0, F.col("num")).alias("ground"))
+    while sigma < max(height, width):
+        if sigma <= regrid.WIDEST:
+            wide = nb.gaussian(nb.gaussian(base, "num", sigma, height, width), "den", sigma, height, width)
+        else:
+            wide = regrid.lowpass(base, "num", sigma, height, width).join(regrid.lowpass(base, "den", sigma, height, width), CELL)
+        told = F.coalesce("ground", F.when(F.col("den") > 1e-3, F.col("num") / F.col("den")))
+        ground = settle(ground.join(wide, CELL).select(*CELL, told.alias("ground")), "ground")
+        if not ground.where("ground IS NULL").limit(1).count():
             break
         sigma *= 2
     middle = quantile(cells, ["scene"], value, 0.5, "middle")
-    return out.join(middle, "scene").withColumn(value, F.coalesce("ground", "middle")).drop("ground", "middle")
+    out = cells.join(ground, CELL).join(middle, "scene")
+    return out.withColumn(value, F.when(F.col(under), F.coalesce("ground", "middle")).otherwise(F.col(value).cast("double"))).drop("ground", "middle")
 
 
 def filled_gaps(cells: DataFrame, value: str, width: int) -> DataFrame:

@@ -52,9 +52,14 @@ def hillshade(cells: DataFrame, value: str, cell: float = 1.0, azimuth: float =
 
 
 def mirrored(cells: DataFrame, direction: str, margin: int, size: Column | int) -> DataFrame:
-    """The cells and, on either side, ``margin`` more by reflection (the edge cell is repeated)."""
+    """The cells and, on either side, ``margin`` more by reflection (the edge cell is repeated); a line shorter than the
+    margin is reflected again and again, if ``size`` is a number."""
     place = AXES[direction][1]
     at, n = F.col(place), F.lit(size) if isinstance(size, int) else size
+    if isinstance(size, int) and margin > size:
+        turns = F.sequence(F.lit(-margin // size), F.lit(margin // size + 1))
+        images = F.flatten(F.transform(turns, lambda k: F.array(at + 2 * size * k, 2 * size * k - 1 - at)))
+        return cells.withColumn(place, F.explode(F.filter(images, lambda x: (x >= -margin) & (x < size + margin))))
     low = cells.where(at < margin).withColumn(place, -1 - at)
     high = cells.where(at >= n - margin).withColumn(place, 2 * n - 1 - at)
     return cells.unionByName(low).unionByName(high)

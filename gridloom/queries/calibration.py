@@ -11,7 +11,7 @@ from ..operators import calibration as cal
 from ..sources.grid import grid
 from ..storage import table
 from . import GRID
-from .surroundings import _H, _mirror, _near
+from .surroundings import _H, _box_sums, _mirror, _near
 
 W, AZIMUTH, STEPS = 64, 135.0, 20
 
@@ -113,10 +113,9 @@ _WALK = f"""t AS MATERIALIZED (SELECT r, c, CASE WHEN z > 120 THEN r // 8 * 8 +
     walk AS (SELECT e.r, e.c, e.label, coalesce(i, {STEPS + 1}) - 1 AS length, coalesce(clean, false) AS valid FROM e LEFT JOIN s USING (r, c))"""
 
 ORACLES = {
-    "vegetation_mask": f"""WITH {GRID}, {_H}, p AS MATERIALIZED (SELECT r, c, abs(z) % 256 AS red, abs(z) * 7 % 256 AS green, abs(z) * 3 % 256 AS blue FROM g), y AS MATERIALIZED (SELECT r, c, (red + green + blue) / CAST(3 AS DOUBLE) AS z FROM p),
-        x1 AS MATERIALIZED (SELECT a.r, a.c, sum(b.z) AS m, sum(b.z * b.z) AS q FROM y a, range(-2, 3) t(i), y b WHERE b.r = a.r AND b.c = {_mirror("a.c + i", "64")} GROUP BY a.r, a.c),
-        x AS (SELECT a.r, a.c, sum(b.m) / CAST(25 AS DOUBLE) AS m, sum(b.q) / CAST(25 AS DOUBLE) AS q FROM x1 a, h, range(-2, 3) t(i), x1 b WHERE b.c = a.c AND b.r = {_mirror("a.r + i", "h")} GROUP BY a.r, a.c)
-        SELECT r, c FROM p JOIN x USING (r, c) WHERE (2 * green - red - blue) / CAST(red + green + blue + 1 AS DOUBLE) > 0.06 AND sqrt(greatest(q - m * m, 0)) > 5""",
+    "vegetation_mask": f"""WITH {GRID}, {_H}, p AS MATERIALIZED (SELECT r, c, abs(z) % 256 AS red, abs(z) * 7 % 256 AS green, abs(z) * 3 % 256 AS blue FROM g),
+        y AS MATERIALIZED (SELECT r, c, (red + green + blue) / CAST(3 AS DOUBLE) AS m, m * m AS q FROM p), {_box_sums("y", "m q", 2, "x")}
+        SELECT r, c FROM p JOIN x USING (r, c) WHERE (2 * green - red - blue) / CAST(red + green + blue + 1 AS DOUBLE) > 0.06 AND sqrt(greatest(x.q / 25 - x.m / 25 * x.m / 25, 0)) > 5""",
     "elevated_cells": f"""WITH {GRID}, v AS MATERIALIZED (SELECT r, c, z, abs(z) / CAST(400 AS DOUBLE) + CASE WHEN r % 9 < 6 AND c % 11 < 7 THEN 2 ELSE 0 END AS rel FROM g),
         l AS (SELECT greatest(0.02, 0.2 * quantile_cont(rel, 0.99)) AS lim FROM v), m AS (SELECT r, c, CAST(rel > lim AND z % 13 <> 0 AS INTEGER) AS z FROM v, l),
         {_near(1, 1, "min", "m", "a")}, {_near(1, 1, "max", "a", "b")} SELECT r, c FROM b WHERE z = 1""",

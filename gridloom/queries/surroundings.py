@@ -119,6 +119,16 @@ def _near(k_before: int, k_after: int, pick: str, source: str, name: str) -> str
         {name} AS (SELECT r, c, {pick}(z) OVER (PARTITION BY c ORDER BY r {frame}) AS z FROM {name}1)"""
 
 
+def _box_sums(source: str, values: str, half: int, name: str) -> str:
+    """Sums of ``values`` over boxes of 2 half + 1 cells a side, mirrored at the borders, by windows over a padded table."""
+    columns, total = ", ".join(values.split()), ", ".join(f"sum({v}) OVER w AS {v}" for v in values.split())
+    frame = f"ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING"
+    return f"""{name}1 AS (SELECT r, c, {columns} FROM {source} UNION ALL SELECT r, -1 - c, {columns} FROM {source} WHERE c < {half} UNION ALL SELECT r, 127 - c, {columns} FROM {source} WHERE c >= 64 - {half}),
+        {name}2 AS MATERIALIZED (SELECT * FROM (SELECT r, c, {total} FROM {name}1 WINDOW w AS (PARTITION BY r ORDER BY c {frame})) WHERE c BETWEEN 0 AND 63),
+        {name}3 AS (SELECT r, c, {columns} FROM {name}2 UNION ALL SELECT -1 - r, c, {columns} FROM {name}2 WHERE r < {half} UNION ALL SELECT 2 * h - 1 - r, c, {columns} FROM {name}2, h WHERE r >= h - {half}),
+        {name} AS MATERIALIZED (SELECT x.* FROM (SELECT r, c, {total} FROM {name}3 WINDOW w AS (PARTITION BY c ORDER BY r {frame})) x, h WHERE r BETWEEN 0 AND h - 1)"""
+
+
 _kernel = [math.exp(-0.5 * k * k) for k in range(-4, 5)]
 _TAPER = "CASE WHEN {s} = 0 AND {p} - {s} < 12 THEN 1.0 WHEN {s} + 24 >= {n} AND {p} - {s} >= 12 THEN 1.0 ELSE pow(sin(pi() * ({p} - {s} + 0.5) / 24), 2) END"
 _ORIGINS = "list_distinct(list_append(range(0, {n} - 24, 12), {n} - 24))"
