@@ -81,3 +81,21 @@ def scene_tags(tags: Column) -> dict[str, Column]:
 def mosaic(layers: DataFrame, order: str, value: str) -> DataFrame:
     """One value per cell of overlapping elevation files: that of the first file that has one."""
     return layers.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy("scene", "r", "c").agg(F.min_by(value, order).alias(value))
+
+
+METADATA = "cells long, height long, width long, lowest double, highest double, buildings_p95 double"
+
+
+def saved_scenes(spark: SparkSession, path: str) -> DataFrame:
+    """The index of saved scenes, a row for each that can be read: entries whose JSON is damaged, or that lack a size, are
+    left out, as are files that vanish meanwhile."""
+    index = spark.read.schema(f"scene long, {METADATA}, damaged string").option("columnNameOfCorruptRecord", "damaged").option("mode", "PERMISSIVE")
+    # The damaged column must be kept until it has decided, else the reader does not parse the rest.
+    found = index.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).json(path)
+    return found.where("damaged IS NULL AND cells IS NOT NULL").drop("damaged")
+
+
+def load_scenes(spark: SparkSession, path: str, scenes: list[int], values: list[str] | None = None) -> DataFrame:
+    """Cells of the scenes named, and of these only; with ``values`` only these columns."""
+    cells = spark.read.parquet(path).where(F.col("scene").isin(scenes))
+    return cells if values is None else cells.select("scene", "r", "c", *values)
