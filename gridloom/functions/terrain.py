@@ -51,6 +51,12 @@ def confidence(sigma: Column, height: Column, shadow: Column, water: Column) ->
     return F.when(water, 0).when(shadow, F.least(found, F.lit(1))).otherwise(found).cast("int")
 
 
+def relative_confidence(doubt: Column, q60: Column, q90: Column, shadow: Column, water: Column) -> Column:
+    """2, 1 or 0 as confidence() for heights without a unit: by the scene's own quantiles of doubt."""
+    found = F.when(doubt <= q60, 2).when(doubt <= q90, 1).otherwise(0)
+    return F.when(water, 0).when(shadow, F.least(found, F.lit(1))).otherwise(found).cast("int")
+
+
 def landslide_score(slope: Column, accumulation_share: Column, vegetation: Column) -> Column:
     steep = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (slope - 15) / 25))
     return 0.6 * steep + 0.25 * F.when(slope > 10, accumulation_share).otherwise(0.0) + 0.15 * (1 - vegetation)

@@ -44,12 +44,18 @@ def elevated(cells: DataFrame, value: str, water: str) -> DataFrame:
     return nb.opened(cells.join(limit, "scene").withColumn("high", F.coalesce(over, F.lit(False))).drop("p99"), "high", 3)
 
 
-def object_masks(cells: DataFrame, width: int, least: int, high: str = "high", veg: str = "veg", roof: str = "roof") -> DataFrame:
+def _large(labels: DataFrame, least: int | DataFrame) -> DataFrame:
+    """scene, label of the patches of ``least`` cells or more; a table (scene, least) bounds each scene by its own."""
+    sizes = labels.groupBy("scene", "label").agg(F.count("*").alias("n"))
+    bounded = sizes.join(least.select("scene", "least"), "scene") if isinstance(least, DataFrame) else sizes.withColumn("least", F.lit(least))
+    return bounded.where(F.col("n") >= F.col("least")).select("scene", "label")
+
+
+def object_masks(cells: DataFrame, width: int, least: int | DataFrame, high: str = "high", veg: str = "veg", roof: str = "roof") -> DataFrame:
     """Adds ``building`` (patches of ``least`` cells or more of what is high and not green, or a roof) and ``tree``."""
     marked = cells.withColumn("solid", (F.col(high) & ~F.col(veg)) | F.col(roof)).withColumn("tree", F.col(high) & F.col(veg) & ~F.col(roof))
     labels = graph.components(marked, "solid", width)
-    large = labels.groupBy("scene", "label").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("scene", "label")
-    kept = labels.join(large, ["scene", "label"], "left_semi").select(*CELL, F.lit(True).alias("building"))
+    kept = labels.join(_large(labels, least), ["scene", "label"], "left_semi").select(*CELL, F.lit(True).alias("building"))
     return marked.join(kept, CELL, "left").withColumn("building", F.coalesce("building", F.lit(False))).drop("solid")
 
 
@@ -63,12 +69,12 @@ def shadow_mask(cells: DataFrame, dark: str, water: str, width: int, least: int
     return cells.join(found, CELL, "left").withColumn("shadow", F.coalesce("shadow", F.lit(False)))
 
 
-def water_regions(cells: DataFrame, blue: str, raised: str, width: int, k: int = 3, least: int = 400) -> DataFrame:
+def water_regions(cells: DataFrame, blue: str, raised: str, width: int, k: int = 3, least: int | DataFrame = 400) -> DataFrame:
     """Adds ``water``: closed and opened patches of ``least`` cells or more, of which less than 0.6 is raised."""
     smooth = nb.opened(nb.closed(cells.select(*CELL, F.col(blue).alias("m"), raised), "m", k), "m", k)
     labels = graph.components(smooth, "m", width).join(smooth.select(*CELL, raised), CELL)
     share = F.avg(F.col(raised).cast("double"))
-    flat = labels.groupBy("scene", "label").agg(F.count("*").alias("n"), share.alias("share")).where((F.col("n") >= least) & (F.col("share") < 0.6))
+    flat = labels.groupBy("scene", "label").agg(share.alias("share")).where(F.col("share") < 0.6).join(_large(labels, least), ["scene", "label"], "left_semi")
     found = labels.join(flat.select("scene", "label"), ["scene", "label"], "left_semi").select(*CELL, F.lit(True).alias("water"))
     return cells.join(found, CELL, "left").withColumn("water", F.coalesce("water", F.lit(False)))
 
@@ -111,40 +117,59 @@ def filled_gaps(cells: DataFrame, value: str, width: int) -> DataFrame:
     return cells.join(gaps, CELL, "left").withColumn(value, F.when(known, F.col(value)).otherwise(F.coalesce("lent", F.lit(0)))).drop("lent")
 
 
-def shadow_walk(cells: DataFrame, label: str, shadow: str, azimuth: float, most: int) -> DataFrame:
+Number = float | str  # or the name of a column that is the same in all cells of a scene
+
+
+def _number(x: Number) -> Column:
+    return F.col(x) if isinstance(x, str) else F.lit(float(x))
+
+
+def shadow_walk(cells: DataFrame, label: str, shadow: str, azimuth: Number, most: Number, keep: tuple[str, ...] = ()) -> DataFrame:
     """scene, r, c, label, length, valid for each building cell at whose edge a shadow begins.
 
     A ray leaves the sun for ``most`` steps at most; ``length`` is how many of them stay in shadow, and ``valid`` tells
-    that it then meets open ground, not a building nor the image's edge.  ``label`` is null outside buildings.
+    that it then meets open ground, not a building nor the image's edge.  ``label`` is null outside buildings.  Columns of
+    a scene named in ``keep`` come along; a scene without azimuth or steps has no ray.
     """
-    dr, dc = math.cos(math.radians(azimuth)), -math.sin(math.radians(azimuth))
+    if isinstance(azimuth, str):
+        dr, dc = F.cos(F.radians(azimuth)), -F.sin(F.radians(azimuth))
+    else:
+        dr, dc = F.lit(math.cos(math.radians(azimuth))), F.lit(-math.sin(math.radians(azimuth)))
+    steps = _number(most).cast("int")
+    keep = tuple(dict.fromkeys([*keep, *[x for x in (azimuth, most) if isinstance(x, str)]]))
     ahead = cells.select("scene", F.col("r").alias("nr"), F.col("c").alias("nc"), F.col(label).alias("other"), F.col(shadow).alias("dark"))
 
     def moved(rows: DataFrame, t: Column) -> DataFrame:
-        return rows.withColumns({"nr": F.rint(F.col("r") + t * F.lit(dr)).cast("long"), "nc": F.rint(F.col("c") + t * F.lit(dc)).cast("long")})
+        return rows.withColumns({"nr": F.rint(F.col("r") + t * dr).cast("long"), "nc": F.rint(F.col("c") + t * dc).cast("long")})
 
-    inside = cells.where(F.col(label).isNotNull()).select(*CELL, F.col(label).alias("label"))
-    edge = moved(inside, F.lit(1)).join(ahead, ["scene", "nr", "nc"]).where(F.col("dark") & ~F.col("other").eqNullSafe(F.col("label"))).select(*CELL, "label")
-    rays = moved(edge.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(most)))), F.col("t")).join(ahead, ["scene", "nr", "nc"], "left")
+    inside = cells.where(F.col(label).isNotNull() & (steps >= 1) & dr.isNotNull()).select(*CELL, F.col(label).alias("label"), *keep)
+    edge = moved(inside, F.lit(1)).join(ahead, ["scene", "nr", "nc"]).where(F.col("dark") & ~F.col("other").eqNullSafe(F.col("label"))).select(*CELL, "label", *keep)
+    rays = moved(edge.withColumn("t", F.explode(F.sequence(F.lit(1), steps))), F.col("t")).join(ahead, ["scene", "nr", "nc"], "left")
     stop = F.when(~F.coalesce("dark", F.lit(False)), F.struct("t", (F.col("dark").isNotNull() & F.col("other").isNull()).alias("clean")))
-    ended = rays.groupBy(*CELL, "label").agg(F.min(stop).alias("stop"))
-    return ended.select(*CELL, "label", (F.coalesce(F.col("stop.t"), F.lit(most + 1)) - 1).cast("long").alias("length"), F.coalesce(F.col("stop.clean"), F.lit(False)).alias("valid"))
+    ended = rays.groupBy(*CELL, "label", *keep).agg(F.min(stop).alias("stop"))
+    length = (F.coalesce(F.col("stop.t"), steps + 1) - 1).cast("long")
+    return ended.select(*CELL, "label", *keep, length.alias("length"), F.coalesce(F.col("stop.clean"), F.lit(False)).alias("valid"))
 
 
 def shadow_anchors(
-    cells: DataFrame, label: str, shadow: str, value: str, gsd: float, elevation: float, azimuth: float, longest: float = 150.0, along: str | None = None,
-    off_nadir: float = 0.0, view_azimuth: float = 0.0,
+    cells: DataFrame, label: str, shadow: str, value: str, gsd: Number, elevation: Number, azimuth: Number, longest: float = 150.0, along: str | None = None,
+    off_nadir: Number = 0.0, view_azimuth: Number = 0.0, lowest_sun: float = 10.0,
 ) -> DataFrame:
     """scene, label, row, col, rel, h, spread, w: heights of buildings by the upper quartile of their shadows' lengths
-    (three valid rays at least).  ``along`` is the ground's rise along the shadow, where terrain is known."""
-    rays = shadow_walk(cells, label, shadow, azimuth, int(longest / gsd)).where("valid")
+    (three valid rays at least).  ``along`` is the ground's rise along the shadow, where terrain is known.  Sun, view and
+    pixel size are numbers or columns of the scenes; scenes whose sun stands under ``lowest_sun`` degrees, or whose sun or
+    pixel size is unknown, have no anchor."""
+    named = tuple(dict.fromkeys(x for x in (gsd, elevation, azimuth, off_nadir, view_azimuth) if isinstance(x, str)))
+    steps = F.when(_number(elevation) >= lowest_sun, F.floor(longest / _number(gsd)))
+    rays = shadow_walk(cells.withColumn("ray_steps", steps), label, shadow, azimuth, "ray_steps", named).where("valid")
     rise = F.lit(0.0)
     if along is not None:
-        rays, rise = rays.join(cells.select(*CELL, F.col(along).alias("rise")), CELL), F.median("rise")
+        rays, rise = rays.join(cells.select(*CELL, F.col(along).alias("rise")), CELL), F.coalesce(F.median("rise"), F.lit(0.0))
     # Groups are the edges of single buildings, hence small.
-    told = rays.groupBy("scene", "label").agg(F.count("*").alias("n"), F.percentile("length", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), rise.alias("rise")).where("n >= 3")
+    told = rays.groupBy("scene", "label", *named).agg(F.count("*").alias("n"), F.percentile("length", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), rise.alias("rise")).where("n >= 3")
     pixels = F.col("q")[1] + 0.5
-    h = rules.shadow_height(pixels, F.lit(gsd), F.lit(elevation), F.col("rise"), F.lit(off_nadir), F.lit(view_azimuth - azimuth))
+    lean, turn = F.coalesce(_number(off_nadir), F.lit(0.0)), F.coalesce(_number(view_azimuth) - _number(azimuth), F.lit(90.0))  # an unknown view leans nowhere along the shadow
+    h = rules.shadow_height(pixels, _number(gsd), _number(elevation), F.col("rise"), lean, turn)
     told = told.select("scene", "label", h.alias("h"), (F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(1.0)) / pixels).alias("share"), F.least("n", F.lit(20)).cast("double").alias("w")).where("h IS NOT NULL")
     body = cells.where(F.col(label).isNotNull()).groupBy("scene", F.col(label).alias("label")).agg(
         F.avg("r").alias("row"), F.avg("c").alias("col"), F.percentile(value, F.lit(0.75)).alias("rel")

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 NMAD = 1.4826
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r as an aggregate; null where either side does not vary, on which ``corr`` fails."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def accuracy(pairs: DataFrame, by: list[str], pred: str = "pred", ref: str = "ref", least: int = 10) -> DataFrame:
     """n, rmse, mae, bias, r, nmad, rmse_shift_free by group; all but n are null under ``least`` finite pairs."""
     d = (F.col(pred) - F.col(ref)).alias("d")
@@ -53,14 +58,19 @@ def clean_anchors(anchors: DataFrame, by: list[str], height: str = "h", spread:
     return kept.select(anchors.columns)
 
 
-def robust_scale(anchors: DataFrame, by: list[str], rel: str = "rel", height: str = "h", weight: str = "w") -> DataFrame:
-    """by, scale, inliers, n: weighted median of h / rel, again over what lies within three deviations of it."""
+def inlier_anchors(anchors: DataFrame, by: list[str], rel: str = "rel", height: str = "h", weight: str = "w") -> DataFrame:
+    """The usable anchors with ``k`` (height over relative height), ``inlier`` (within three deviations of the weighted
+    median of k, or a quarter of it) and ``n``, the group's usable ones."""
     ratios = anchors.where((F.col(rel) > 0.005) & (F.col(height) > 0)).withColumn("k", F.col(height) / F.col(rel))
-    med = weighted_median(ratios, by, "k", weight)
-    off = ratios.join(med, by)
+    off = ratios.join(weighted_median(ratios, by, "k", weight), by)
     mad = off.groupBy(*by).agg(F.median(F.abs(F.col("k") - F.col("wmedian"))).alias("mad"), F.count("*").alias("n"))
     inlier = F.abs(F.col("k") - F.col("wmedian")) <= F.greatest(3 * NMAD * F.col("mad"), 0.25 * F.col("wmedian"))
-    kept = off.join(mad, by).where(inlier)
+    return off.join(mad, by).withColumn("inlier", inlier).drop("wmedian", "mad")
+
+
+def robust_scale(anchors: DataFrame, by: list[str], rel: str = "rel", height: str = "h", weight: str = "w") -> DataFrame:
+    """by, scale, inliers, n: weighted median of h / rel, again over what lies within three deviations of it."""
+    kept = inlier_anchors(anchors, by, rel, height, weight).where("inlier")
     again = weighted_median(kept.select(*by, "k", weight), by, "k", weight).withColumnRenamed("wmedian", "scale")
     counts = kept.groupBy(*by).agg(F.count("*").alias("inliers"), F.max("n").alias("n"))
     return again.join(counts, by)
@@ -133,7 +143,7 @@ def plane(rows: DataFrame, by: list[str], x: str, y: str, z: str) -> DataFrame:
 def band_scale(blocks: DataFrame, by: list[str], detail: str, dem: str) -> DataFrame:
     """by, s, r, n: regression through the origin of one detail on another, with its correlation."""
     d, e = F.col(detail), F.col(dem)
-    return blocks.groupBy(*by).agg((F.sum(d * e) / F.nullif(F.sum(d * d), F.lit(0.0))).alias("s"), F.corr(detail, dem).alias("r"), F.count("*").alias("n"))
+    return blocks.groupBy(*by).agg((F.sum(d * e) / F.nullif(F.sum(d * d), F.lit(0.0))).alias("s"), correlation(detail, dem).alias("r"), F.count("*").alias("n"))
 
 
 def kernel_field(anchors: DataFrame, by: list[str], height: int, width: int, scale: str = "scale", prior: float = 3.0, least: int = 12) -> DataFrame:
