@@ -11,6 +11,7 @@ from ..functions import colour, geo
 from ..functions import terrain as rules
 from ..operators import calibration as cal
 from ..operators import outlines, regrid, roofs
+from ..plans import depth
 from ..sources.grid import grid
 from ..storage import settle, table
 from . import EDGES, GRID, NODES, OFFSETS
@@ -102,6 +103,24 @@ def mask_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("polygon", F.col("area").cast("long").alias("n"))
 
 
+def shadow_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = grid(spark, sf_dir).select("scene", "r", "c", (F.col("z") < 20).alias("dark"), (F.pmod("z", F.lit(29)) == 0).alias("water"))
+    return cal.shadow_mask(cells, "dark", "water", W).where("shadow").select("r", "c")
+
+
+def water_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blue blocks of twelve by fourteen cells with holes, some of them mostly raised."""
+    block = (F.col("r") % 16 < 12) & (F.col("c") % 16 < 14) & (F.pmod("z", F.lit(19)) != 0)
+    raised = (F.expr("(r div 16 + c div 16) % 3 = 0")) & (F.pmod("z", F.lit(5)) != 0)
+    cells = grid(spark, sf_dir).select("scene", "r", "c", block.alias("blue"), raised.alias("raised"))
+    return cal.water_regions(cells, "blue", "raised", W, 3, 100).where("water").select("r", "c")
+
+
+def top_hat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands over an ellipse of nine cells' ground."""
+    return depth.top_hat(grid(spark, sf_dir), "z", 9).select("r", "c", "z")
+
+
 def _east_north(key: str) -> tuple[Column, Column, Column]:
     k = F.col(key)
     return 200_000.0 + k * 7919 % 600_000, 1_000_000.0 + k * 104_729 % 7_000_000, 32_601 + k % 60 + F.when(k % 2 == 0, 100).otherwise(0)
@@ -122,7 +141,7 @@ def scene_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        lab_colours, colour_steps, roof_segments, object_masks, lowpass_wide, terrain_removal, geoid_linear, height_cubic, mask_outlines, mask_polygons, lonlat_places, scene_bounds,
+        lab_colours, colour_steps, roof_segments, object_masks, lowpass_wide, terrain_removal, geoid_linear, height_cubic, mask_outlines, mask_polygons, shadow_patches, water_patches, top_hat, lonlat_places, scene_bounds,
     )
 }
 
@@ -199,7 +218,19 @@ _INVERSE = f"""i1 AS (SELECT *, (n - CASE WHEN epsg >= 32700 THEN 10000000 ELSE
     lonlat AS (SELECT *, epsg % 100 * 6 - 183 + degrees(atan2(sinh(y), cos(x))) AS lon, degrees(chi{"".join(f" + {_d(d)} * sin({2 * k} * chi)" for k, d in enumerate(_DELTA, 1))}) AS lat FROM i3)"""
 _PLACE = "{k} * 7919 % 600000 + CAST(200000 AS DOUBLE) AS e, {k} * 104729 % 7000000 + CAST(1000000 AS DOUBLE) AS n, 32601 + {k} % 60 + CASE WHEN {k} % 2 = 0 THEN 100 ELSE 0 END AS epsg"
 
+_SPOTS = ", ".join(f"({d}, {x})" for d, half in depth.ellipse(9) for x in range(-half, half + 1))
+
 ORACLES = {
+    "shadow_patches": f"""WITH RECURSIVE {GRID}, d AS (SELECT r, c, CAST(z < 20 AND z % 29 <> 0 AS INTEGER) AS z FROM g), {_near(1, 0, "min", "d", "lo")}, {_near(1, 0, "max", "lo", "hi")},
+        s AS MATERIALIZED (SELECT r, c, r * 64 + c AS node, z FROM hi), {OFFSETS}, {EDGES}, {_labels("l", "z = 1")}, big AS MATERIALIZED (SELECT label FROM l GROUP BY label HAVING count(*) >= 4)
+        SELECT r, c FROM s JOIN l ON l.n = s.node WHERE label IN (SELECT label FROM big)""",
+    "water_patches": f"""WITH RECURSIVE {GRID}, d AS MATERIALIZED (SELECT r, c, CAST(r % 16 < 12 AND c % 16 < 14 AND z % 19 <> 0 AS INTEGER) AS z, (r // 16 + c // 16) % 3 = 0 AND z % 5 <> 0 AS raised FROM g),
+        {_near(1, 1, "max", "d", "p")}, {_near(1, 1, "min", "p", "q")}, {_near(1, 1, "min", "q", "u")}, {_near(1, 1, "max", "u", "v")},
+        s AS MATERIALIZED (SELECT r, c, r * 64 + c AS node, z FROM v), {OFFSETS}, {EDGES}, {_labels("l", "z = 1")},
+        big AS MATERIALIZED (SELECT label FROM l JOIN s ON s.node = l.n JOIN d USING (r, c) GROUP BY label HAVING count(*) >= 100 AND avg(CAST(raised AS INTEGER)) < 0.6)
+        SELECT r, c FROM s JOIN l ON l.n = s.node WHERE label IN (SELECT label FROM big)""",
+    "top_hat": f"""WITH {GRID}, o(dy, dx) AS (VALUES {_SPOTS}), e AS MATERIALIZED (SELECT g.r - dy AS r, g.c - dx AS c, min(z) AS z FROM g, o GROUP BY ALL), i AS (SELECT e.* FROM e JOIN g USING (r, c)),
+        d AS (SELECT i.r - dy AS r, i.c - dx AS c, max(z) AS z FROM i, o GROUP BY ALL) SELECT r, c, g.z - d.z AS z FROM g JOIN d USING (r, c)""",
     "lab_colours": f"WITH {GRID}, {_QUARTER}, {_LAB} SELECT r, c, l, a, b FROM lab",
     "colour_steps": f"WITH {GRID}, {_QUARTER}, {_sobel('p', 'red green')} SELECT r, c, round(step, 6) AS step FROM steps",
     "roof_segments": f"WITH RECURSIVE {GRID}, {_H}, {_ROOFS} SELECT r, c FROM roofs WHERE z = 1",
