@@ -59,6 +59,7 @@ SOFT = frozenset("div section ul ol table figure details".split())
 _ATTRIBUTES = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
 _OPENS = re.compile(r"<[a-zA-Z/!?]")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_EMPTY_COMMENT = re.compile(r"<!---?>")
 _MARKS = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -145,8 +146,9 @@ class Page:
             if lt > at:
                 self._text(source[at:lt])
             if source.startswith("<!--", lt):
+                empty = _EMPTY_COMMENT.match(source, lt)
                 end = source.find("-->", lt + 4)
-                at = n if end < 0 else end + 3
+                at = empty.end() if empty else n if end < 0 else end + 3
                 continue
             ending = source[lt + 1] == "/"
             name = _NAME.match(source, lt + 1 + ending)
@@ -200,10 +202,10 @@ def _own(tag: str, marks: str, inside: bool) -> tuple[bool, bool]:
     return dropped, comments
 
 
-def extract(source: str) -> tuple[list[tuple[str, bool]], list[tuple[int, int, int, bool]], int]:
+def extract(source: str) -> tuple[list[tuple[str, bool]], list[tuple[int, int, int, bool, bool]], int]:
     """Of a page: its blocks, each with whether marks drop it (and without its text if so); the subtrees that may be a
-    template, as (hash, first block, block after the last, does it lie beside a marked article); and a hash that tells
-    pages' texts apart."""
+    template, as (hash, first block, block after the last, does it lie beside a marked article, does it lie inside one);
+    and a hash that tells pages' texts apart."""
     page = Page(source)
     n = len(page.tags)
     heads = [tag in ("h1", "main") for tag in page.tags]
@@ -244,14 +246,14 @@ def extract(source: str) -> tuple[list[tuple[str, bool]], list[tuple[int, int, i
             if not gone[k] and scope[k]:
                 parts.append(text)
             any_text = any_text or not text.isspace() and text != ""
-    elements: list[tuple[int, int, int, bool]] = []
+    elements: list[tuple[int, int, int, bool, bool]] = []
     spans: list[tuple[int, int]] = [(0, 0)] * n
     for k in range(1, n):
         tag, (a, b) = page.tags[k], page.spans[k]
         own = tag in SOFT if inside[k] else tag in BLOCKS and tag != "body"
         spans[k] = span = bisect_left(starts, a), bisect_left(starts, b)
         if own and not heads[k] and not core[k] and not raw[k] and span[0] < span[1] and span != spans[page.parents[k]]:
-            elements.append((page.hashes[k], *span, marked and not inside[k]))
+            elements.append((page.hashes[k], *span, marked and not inside[k], inside[k]))
         elif not own or heads[k] or core[k]:
             spans[k] = (0, 0)  # no candidate itself: what fills it may be one
     return blocks, elements, page._digest("\n".join(b for b, gone in blocks if not gone).encode()) >> 1
@@ -259,10 +261,10 @@ def extract(source: str) -> tuple[list[tuple[str, bool]], list[tuple[int, int, i
 
 PARSED = (
     "uid long, page_id long, url string, host string, main long, blocks array<struct<text:string,marked:boolean>>,"
-    " elements array<struct<subtree:long,first:int,stop:int,beside:boolean>>"
+    " elements array<struct<subtree:long,first:int,stop:int,beside:boolean,inside:boolean>>"
 )
 _BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("marked", pa.bool_())]))
-_ELEMENTS = pa.list_(pa.struct([("subtree", pa.int64()), ("first", pa.int32()), ("stop", pa.int32()), ("beside", pa.bool_())]))
+_ELEMENTS = pa.list_(pa.struct([("subtree", pa.int64()), ("first", pa.int32()), ("stop", pa.int32()), ("beside", pa.bool_()), ("inside", pa.bool_())]))
 
 
 def _lists(rows: list[list[tuple]], kind: pa.ListType) -> pa.ListArray:
@@ -291,15 +293,18 @@ def _parse(batches):
             uid += len(ids)
 
 
-def templates(parsed: DataFrame, beside: int = 3, least: int = 8, share: float = 0.2, enough: int = 100) -> DataFrame:
-    """(host, subtree, n, anywhere) that stands on n pages with different texts: on ``beside`` or more, which will do
-    beside a marked article; and ``anywhere`` if on ``least`` or more, and on ``share`` of the host's or on ``enough``,
-    however large the host is.  Repeated sightings fold before every shuffle, so a host with a third of all pages is no heavier."""
+def templates(parsed: DataFrame, beside: int = 3, least: int = 8, share: float = 0.2, enough: int = 100, nearly: float = 0.9) -> DataFrame:
+    """(host, subtree, n, anywhere, everywhere) that stands on n pages with different texts: on ``beside`` or more, which
+    will do beside a marked article; ``anywhere`` if on ``least`` or more, and on ``share`` of the host's or on ``enough``,
+    however large the host is, which will do on a page without a marked article; and ``everywhere`` if on ``least`` or
+    more and on the share ``nearly`` of the host's, which alone will do inside a marked article.  Repeated sightings fold before every shuffle, so a host with a third of all pages is no heavier."""
     seen = parsed.select("host", "main", F.explode(F.array_distinct("elements.subtree")).alias("subtree")).distinct()
     counted = seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min(beside, least))
     sizes = parsed.select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     anywhere = (F.col("n") >= least) & (F.col("n") >= F.least(share * F.col("pages"), F.lit(enough)))
-    return counted.join(sizes, "host").select("host", "subtree", "n", anywhere.alias("anywhere")).where((F.col("n") >= beside) | F.col("anywhere"))
+    everywhere = (F.col("n") >= least) & (F.col("n") >= nearly * F.col("pages"))
+    told = counted.join(sizes, "host").select("host", "subtree", "n", anywhere.alias("anywhere"), everywhere.alias("everywhere"))
+    return told.where((F.col("n") >= beside) | F.col("anywhere"))
 
 
 def cuts(parsed: DataFrame, found: DataFrame, hot: int = 20_000) -> DataFrame:
@@ -312,7 +317,7 @@ def cuts(parsed: DataFrame, found: DataFrame, hot: int = 20_000) -> DataFrame:
         salts = -(-most // hot)
         salted = found.where(F.col("n") > hot).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
         joined = joined.unionByName(sights.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(salts))).join(salted, ["host", "subtree", "salt"]).drop("salt"))
-    return joined.where("beside OR anywhere").groupBy("uid").agg(F.collect_list(F.struct("first", "stop")).alias("cut"))
+    return joined.where("beside OR everywhere OR (anywhere AND NOT inside)").groupBy("uid").agg(F.collect_list(F.struct("first", "stop")).alias("cut"))
 
 
 def _finish(batches):
