@@ -5,12 +5,13 @@ extendible-hash index: the low bits of a key pick a slot of a directory, which d
 ``capacity`` keys, so a bucket's local depth says how many bits it really uses.  Buckets live in shared files sorted by
 bucket and key, each written by the owner task of a range.
 
-The index decides: a key that it holds for one row is a group of its own.  The rows of the other keys are looked up in
-it, chained under their key and told apart by their bytes; only their texts move.
+Rows find each other through the directory alone: a row's slot names its bucket, and only what lies in that bucket under
+the row's key is compared with it.  A key that the index holds for one row is a group of its own; the rows of other
+keys are chained in their bucket and told apart by their bytes, and only their texts move.
 
 Skew: rows are folded on the map side before every shuffle of keys or texts, so a text that makes up a third of the
-rows reaches its bucket as one row per map task.  The way back is a join of narrow rows (id, key, digest), whose hot
-keys adaptive execution splits.
+rows reaches its bucket as one row per map task.  The way back is a join of narrow rows (id, bucket, key, digest), whose
+hot keys adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -31,62 +32,78 @@ def lower_ascii(col: Column) -> Column:
     )
 
 
-def directory(keys: DataFrame, capacity: int) -> DataFrame:
-    """bucket and local_depth of every distinct ``key``; no bucket holds more than ``capacity`` keys.
+def _low_bits(depth: Column) -> Column:
+    """A mask of the lowest ``depth`` bits."""
+    return F.when(depth > 63, F.lit(-1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), depth.cast("int")) - 1)
 
-    A round counts the keys by slot at one depth, and sums the counts up the levels: a bucket that holds more than
-    ``capacity`` keys is split by one more bit.  The first depth is what an even spread needs; keys of slots that are
-    overfull even there go into another round, some bits deeper, until all 64 bits are used.
+
+def directory(keys: DataFrame, capacity: int) -> tuple[DataFrame, list[int]]:
+    """The directory of distinct ``key`` values, and the depths that its slots are given at.
+
+    Rows are depth, slot (the low ``depth`` bits of a key), bucket and local_depth; slots without a key are left out.
+    No bucket holds more than ``capacity`` keys.  A round counts the keys by slot at
+    one depth, and sums the counts up the levels: a bucket that holds more than ``capacity`` keys is split by one more
+    bit.  The first depth is what an even spread needs; keys of slots that are overfull even there go into another
+    round, some bits deeper, until all 64 bits are used.
     """
-    rest, low, placed = keys, 0, None
+    rest, low, found, used = keys, 0, None, []
     depth = min(64, max(0, math.ceil(math.log2(max(1, keys.count()) / capacity))) + 1)
     while True:
-        bits = lambda level: F.expr(f"CASE WHEN {level} > 63 THEN -1L ELSE shiftleft(1L, {level}) - 1 END")
-        slotted = rest.withColumn("slot", F.col("key").bitwiseAND(bits(depth)))
+        used.append(depth)
+        slotted = rest.withColumn("slot", F.col("key").bitwiseAND(_low_bits(F.lit(depth))))
         counted = slotted.groupBy("slot").agg(F.count("*").alias("n"))
         levels = counted.select("slot", "n", F.explode(F.sequence(F.lit(low), F.lit(depth))).alias("level"))
-        levels = levels.withColumn("prefix", F.col("slot").bitwiseAND(bits("level")))
+        levels = levels.withColumn("prefix", F.col("slot").bitwiseAND(_low_bits(F.col("level"))))
         overfull = levels.groupBy("level", "prefix").agg(F.sum("n").alias("held")).where(F.col("held") > capacity)
         deep = levels.join(overfull, ["level", "prefix"], "left").groupBy("slot").agg(F.max(F.when(F.col("held") > 0, F.col("level") + 1)).alias("deep"))
         depths = materialise(deep.select("slot", F.coalesce("deep", F.lit(low)).alias("local_depth")), "op10-directory")
-        full = depths.where(F.col("local_depth") <= depth)
-        found = slotted.join(full, "slot").select("key", F.col("slot").bitwiseAND(bits("local_depth")).alias("bucket"), "local_depth")
-        placed = found if placed is None else placed.unionByName(found)
-        open_slots = depths.where(F.col("local_depth") > depth)
-        if not open_slots.limit(1).count():
-            return placed
-        rest = materialise(slotted.join(open_slots, "slot", "left_semi").select("key"), "op10-overfull")
+        last = depth == 64
+        full = depths if last else depths.where(F.col("local_depth") <= depth)
+        local = F.least("local_depth", F.lit(64))
+        closed = full.select(F.lit(depth).alias("depth"), "slot", F.col("slot").bitwiseAND(_low_bits(local)).alias("bucket"), local.alias("local_depth"))
+        found = closed if found is None else found.unionByName(closed)
+        overflow = depths.where(F.col("local_depth") > depth)
+        if last or not overflow.limit(1).count():
+            return found, used
+        rest = materialise(slotted.join(overflow, "slot", "left_semi").select("key"), "op10-overfull")
         low, depth = depth + 1, min(64, depth + 8)
 
 
-def exact_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int = 4096, bound: int = 1_000_000) -> DataFrame:
+def lookup(rows: DataFrame, slots: DataFrame, depths: list[int]) -> DataFrame:
+    """``rows`` with the bucket and local_depth that the directory gives for their ``key``.  A row whose slot the
+    directory does not hold finds nothing and is left out."""
+    at = rows.withColumn("depth", F.lit(depths[0]) if len(depths) == 1 else F.explode(F.array(*map(F.lit, depths))))
+    return at.withColumn("slot", F.col("key").bitwiseAND(_low_bits(F.col("depth")))).join(slots, ["depth", "slot"]).drop("depth", "slot")
+
+
+def probe(rows: DataFrame, held: DataFrame, slots: DataFrame, depths: list[int]) -> DataFrame:
+    """``rows`` beside what ``held`` has for their key in the bucket that the directory sends them to."""
+    return lookup(rows, slots, depths).drop("local_depth").join(held, ["bucket", "key"])
+
+
+def exact_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int = 4096, owned: int = 64) -> DataFrame:
     """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, bucket, local_depth.
 
     Null text counts as empty, and empty texts are equal.  Of a group the largest id stays; null ids count in
     group_size but stay only in a group that has no other (keep_id is then null, and kept is false).  Rows repeated
     with one id each get a row.  Texts of any length are hashed and compared whole.  Other columns of ``docs`` are not
-    read.  An empty table gives an empty result.  Up to ``bound`` keys of several rows are sent to the tasks that
-    look rows up; beyond it, all texts are chained by their keys, folded before they move.
+    read.  An empty table gives an empty result.  An owner task writes about ``owned`` buckets of the index.
     """
     norm = lower_ascii(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.select(F.col(doc).alias("doc_id"), norm.alias("norm"))
-    entries = materialise(rows.select("doc_id", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256")), "op10-entries")
+    rows = docs.select(F.col(doc).alias("doc_id"), norm.alias("norm"), F.xxhash64(norm).alias("key"))
+    entries = materialise(rows.select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256")), "op10-entries")
     keys = materialise(entries.groupBy("key").agg(F.count("*").alias("rows"), F.max("doc_id").alias("keep_id")), "op10-keys")
-    owners = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    slots = directory(keys.select("key"), capacity)
-    index = materialise(keys.join(slots, "key").repartitionByRange(owners, "bucket", "key").sortWithinPartitions("bucket", "key"), "op10-index")
-
-    several = index.where("rows > 1").select("key")
-    texts = rows.withColumn("key", F.xxhash64("norm"))
-    if several.count() <= bound:
-        texts = texts.join(F.broadcast(several), "key", "left_semi")
-    # Grouping by the text itself chains what collides on a key and compares its bytes.
-    chained = texts.groupBy("key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    chains = materialise(chained.select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"), "op10-chains")
-    alone = index.where("rows = 1").select("key", "bucket", "local_depth", F.lit(None).cast("string").alias("sha"), "keep_id", F.lit(1).cast("long").alias("group_size"))
-    told = index.where("rows > 1").select("key", "bucket", "local_depth").join(chains.withColumnRenamed("text_sha256", "sha"), "key")
+    slots, depths = directory(keys.select("key"), capacity)
+    owners = max(1, math.ceil(slots.select("bucket").distinct().count() / owned))
+    index = materialise(lookup(keys, slots, depths).repartitionByRange(owners, "bucket", "key").sortWithinPartitions("bucket", "key"), "op10-index")
+
+    several = index.where("rows > 1").select("bucket", "key", "local_depth")
+    # Grouping by the text itself inside a bucket chains what collides on a key, and compares its bytes.
+    chained = probe(rows, several, slots, depths).groupBy("bucket", "key", "local_depth", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    told = materialise(chained.select("bucket", "key", "local_depth", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size"), "op10-chains")
+    alone = index.where("rows = 1").select("bucket", "key", "local_depth", F.lit(None).cast("string").alias("sha"), "keep_id", F.lit(1).cast("long").alias("group_size"))
     return (
-        entries.join(alone.unionByName(told), "key")
+        probe(entries, alone.unionByName(told), slots, depths)
         .where(F.col("sha").isNull() | (F.col("sha") == F.col("text_sha256")))
         .select(
             "doc_id",
