@@ -13,6 +13,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from gridloom.llm import decontaminate, exact_dedup, html_text, language_id, packing, quality, queries, simhash, suffix_dedup, toxicity, warc
 from gridloom.llm.suffix_dedup import LoserTree
 
@@ -67,15 +69,32 @@ def test_exact_groups(docs, empty):
     assert exact_dedup.exact_groups(empty).count() == 0
 
 
-def test_chains_beyond_what_is_sent(docs):
-    few, many = ([tuple(r) for r in exact_dedup.exact_groups(docs, capacity=2, bound=b).orderBy("doc_id", "text_sha256").collect()] for b in (0, 1000))
-    assert few == many
+def test_rows_find_each_other_through_the_directory(spark):
+    """A directory that sends keys to other buckets than those they lie in finds nothing; the right one finds them all."""
+    keys = spark.range(200).select(F.xxhash64("id").alias("key")).cache()
+    slots, depths = exact_dedup.directory(keys, 8)
+    held = exact_dedup.lookup(keys, slots, depths).cache()
+    assert exact_dedup.probe(keys, held, slots, depths).count() == 200
+    scrambled = slots.withColumn("bucket", F.col("bucket") + 1_000_000)
+    assert exact_dedup.probe(keys, held, scrambled, depths).count() == 0
+    assert exact_dedup.probe(keys, held, slots.where("bucket % 2 = 0"), depths).count() == held.where("bucket % 2 = 0").count() < 200
+
+
+def test_texts_that_collide_on_a_key_are_told_apart(docs, monkeypatch):
+    """Every text gets one of two keys, so chains hold many texts; groups are those of the real keys."""
+    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    want = sorted(map(tuple, exact_dedup.exact_groups(docs, capacity=2).select(columns).collect()), key=repr)
+    hashed = F.xxhash64
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.pmod(hashed(*c), F.lit(2)))
+    few = exact_dedup.exact_groups(docs, capacity=2)
+    assert sorted(map(tuple, few.select(columns).collect()), key=repr) == want and few.select("bucket").distinct().count() == 1
 
 
 def test_directory_splits_until_buckets_fit(spark):
     """Keys that agree on their low bits, and some that do not."""
     keys = sorted({k << 40 | 5 for k in range(-20, 20)} | {rng.getrandbits(63) for _ in range(100)} | {-1, 0, -(2**63), 2**63 - 1})
-    got = exact_dedup.directory(spark.createDataFrame([(k,) for k in keys], "key long"), 3).collect()
+    table = spark.createDataFrame([(k,) for k in keys], "key long")
+    got = exact_dedup.lookup(table, *exact_dedup.directory(table, 3)).collect()
     assert sorted(r.key for r in got) == keys
     held = {}
     for r in got:
@@ -426,6 +445,18 @@ def test_count_removes_what_a_naive_count_does(spark):
     assert any(r.blocks_by_count for r in got.values()) and not all(r.blocks_by_count for r in got.values())
 
 
+def test_what_some_articles_repeat_stays(spark):
+    """A list inside a hundred and more of a host's articles is text; a notice inside all of them is a template."""
+    shared, notice = "<ul><li>first point</li><li>second point</li></ul>", "<section><p>Read more on this site</p></section>"
+    rows = [(k, "http://h.example.com/", f"<body><article><h1>T{k}</h1><p>own {k} {sentence(5)}</p>{shared if k % 4 == 0 else ''}{notice}</article></body>") for k in range(480)]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(("first point" in r.text) == (r.page_id % 4 == 0) and "Read more" not in r.text and f"own {r.page_id} " in r.text for r in got)
+
+
+def test_empty_comments():
+    assert kept_blocks("<p>a</p><!--><p>b</p><!---><p>c</p><!-- x --><p>d</p><!----><p>e</p>") == list("abcde")
+
+
 def test_hot_templates_meet_in_parts(spark):
     rows = [(k, "http://h.example.com/", f"<body><div><p>Welcome to our site</p></div><div><p>own {k} {sentence(5)}</p></div></body>") for k in range(40)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("page_id", "url", "html")
@@ -590,6 +621,20 @@ def test_pipeline_tells_rows_of_one_id_apart(spark, sf_dir):
     assert sorted((r.doc_id, r.source) for r in found) == [(1, "x"), (2, "x"), (2, "y"), (3, "y")]
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, sf_dir):
+    """Columns named as the stages' own keys, nulls, repeated rows, and a very long text."""
+    import corpus_pipeline
+
+    long = " ".join(rng.choice(WORDS) for _ in range(60_000))
+    rows = [(1, long, 111, "mine", "a"), (2, sentence(40), 222, "yours", None), (2, None, None, None, "b"), (3, sentence(30), 333, "c", "c")]
+    docs = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, row_key long, text_sha256 string, `row` string")
+    kept = {r[0:3]: tuple(r) for r in docs.collect()}
+    for stage in (corpus_pipeline.dedup_exact, corpus_pipeline.dedup_near, corpus_pipeline.decontaminate_benchmark):
+        found = stage(spark, docs, sf_dir)
+        got = found.collect()
+        assert found.columns == docs.columns and {tuple(r) for r in got} == set(kept.values())
+
+
 def test_pipeline_runs(spark, sf_dir):
     import corpus_pipeline
 
