@@ -81,13 +81,14 @@ def probe(rows: DataFrame, held: DataFrame, slots: DataFrame, depths: list[int])
     return lookup(rows, slots, depths).drop("local_depth").join(held, ["bucket", "key"])
 
 
-def exact_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int = 4096, owned: int = 64) -> DataFrame:
+def exact_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", capacity: int = 4096, owned: int = 64, bound: int = 1_000_000) -> DataFrame:
     """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, bucket, local_depth.
 
     Null text counts as empty, and empty texts are equal.  Of a group the largest id stays; null ids count in
     group_size but stay only in a group that has no other (keep_id is then null, and kept is false).  Rows repeated
     with one id each get a row.  Texts of any length are hashed and compared whole.  Other columns of ``docs`` are not
-    read.  An empty table gives an empty result.  An owner task writes about ``owned`` buckets of the index.
+    read.  An empty table gives an empty result.  An owner task writes about ``owned`` buckets of the index.  Up to
+    ``bound`` keys of several rows are sent to the tasks that look rows up; beyond it, texts meet them in a shuffle.
     """
     norm = lower_ascii(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(F.col(doc).alias("doc_id"), norm.alias("norm"), F.xxhash64(norm).alias("key"))
@@ -98,6 +99,7 @@ def exact_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", capac
     index = materialise(lookup(keys, slots, depths).repartitionByRange(owners, "bucket", "key").sortWithinPartitions("bucket", "key"), "op10-index")
 
     several = index.where("rows > 1").select("bucket", "key", "local_depth")
+    several = F.broadcast(several) if several.count() <= bound else several
     # Grouping by the text itself inside a bucket chains what collides on a key, and compares its bytes.
     chained = probe(rows, several, slots, depths).groupBy("bucket", "key", "local_depth", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     told = materialise(chained.select("bucket", "key", "local_depth", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size"), "op10-chains")

@@ -69,6 +69,11 @@ def test_exact_groups(docs, empty):
     assert exact_dedup.exact_groups(empty).count() == 0
 
 
+def test_chains_beyond_what_is_sent(docs):
+    few, many = ([tuple(r) for r in exact_dedup.exact_groups(docs, capacity=2, bound=b).orderBy("doc_id", "text_sha256").collect()] for b in (0, 1000))
+    assert few == many
+
+
 def test_rows_find_each_other_through_the_directory(spark):
     """A directory that sends keys to other buckets than those they lie in finds nothing; the right one finds them all."""
     keys = spark.range(200).select(F.xxhash64("id").alias("key")).cache()
