@@ -61,11 +61,13 @@ def components(cells: DataFrame, mask: str, width: int, diagonal: bool = True) -
     return fixed_point(start, step, "label", 1, "components").where("label IS NOT NULL")
 
 
-def ranked_components(labels: DataFrame, least: int, most: int) -> DataFrame:
-    """scene, label, n, rank: components of at least ``least`` cells, the largest ``most``, of ties the first label."""
+def ranked_components(labels: DataFrame, least: int | DataFrame, most: int) -> DataFrame:
+    """scene, label, n, rank: components of at least ``least`` cells (a number, or a row of scene and least for each
+    scene), the largest ``most``, of ties the first label."""
     from pyspark.sql import Window
 
-    sizes = labels.groupBy("scene", "label").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    sizes = labels.groupBy("scene", "label").agg(F.count("*").alias("n"))
+    sizes = sizes.join(least, "scene").where("n >= least").drop("least") if isinstance(least, DataFrame) else sizes.where(F.col("n") >= least)
     rank = F.row_number().over(Window.partitionBy("scene").orderBy(F.desc("n"), "label"))
     return sizes.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most)
 
