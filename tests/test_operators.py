@@ -161,3 +161,23 @@ def test_zone_names_of_any_rank(spark):
     ranks = [0, 25, 26, 51, 701, 702, 703, 18_277, 18_278, 475_254, 2**31 - 1]
     got = spark.createDataFrame([(n,) for n in ranks], "rank int").select("rank", terrain.zone_name(F.col("rank")).alias("name")).collect()
     assert {r.rank: r.name for r in got} == {n: name(n) for n in ranks}
+
+
+def test_nearest_takes_the_lowest_parabola(spark):
+    """Dense and sparse masks, ties, a scene without a mask cell, and lines longer than a batch of Arrow."""
+    import random
+
+    from gridloom.operators.distance import nearest
+
+    own, height, width = random.Random(11), 13, 37
+    rows = [(s, r, c, own.random() < share) for s, share in enumerate((0.5, 0.03, 0.0)) for r in range(height) for c in range(width)]
+    cells = spark.createDataFrame(rows, "scene int, r long, c long, hit boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        found = nearest(cells, "hit", width).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == len(rows) and nearest(cells.where("false"), "hit", width).count() == 0
+    for x in found:
+        near = [((x.r - r) ** 2 + (x.c - c) ** 2, r * width + c) for s, r, c, hit in rows if hit and s == x.scene]
+        assert (x.dist2, x.source) == min(near, default=(None, None))
