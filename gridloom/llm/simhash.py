@@ -7,8 +7,8 @@ or and bit counts.  Tiles are cut into blocks of bounded size, so no task holds
 not its pairs but a spanning forest of them; connected components then grow by star contraction in Spark.
 
 ``similar_groups`` finds sets of shingles of a given similarity.  The radius that this needs is so wide that population
-counts alone skip few tiles, so there a tile is what shares a band of min-hashes; inside it, population counts, set
-sizes and then wide fingerprints, by the same exclusive or and bit counts, leave the pairs whose whole sets are compared.
+counts skip few tiles, so there a tile is what shares a band of min-hashes; inside it, set sizes and wide fingerprints,
+by the same exclusive or and bit counts, leave the pairs whose whole sets are compared.
 """
 
 from __future__ import annotations
@@ -235,16 +235,17 @@ def linked_sets(node: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], la
 
 def similar_groups(
     docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4, slack: int = 24, tile: int = 65_536, block: int = 4096,
-    doc: str = "doc_id", text: str = "text",
+    block_bytes: int = 1 << 26, doc: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """doc_id, component_id for every row, for sets of shingles of a Jaccard ``similarity`` or more.
 
     Candidates share one of ``bands`` tokens of ``rows`` min-hashes: of pairs at 0.8, all but 3 in 100,000 do, and fewer
-    are missed above.  The holders of a token are a tile, cut into pieces of ``tile`` rows; inside it fingerprints are
-    compared exactly, within the number of bits that the similarity lets differ on average and ``slack`` more, four
-    standard deviations.  A tile returns a spanning forest, whose components hold all candidates.  Inside these, in
-    blocks of ``block`` sets, the whole sets are compared, and a block returns a spanning forest of the true links; sets
-    outside the largest group of a component that fills several blocks then meet the other blocks.
+    are missed above.  The holders of a token are a tile; more than ``tile`` are cut into pieces, of which every two meet,
+    so that no tile holds more than two pieces.  Inside it fingerprints are compared exactly, within the number of bits
+    that the similarity lets differ on average and ``slack`` more, four standard deviations.  A tile returns a spanning forest, whose components hold all candidates.  Inside these, in
+    blocks of ``block`` sets and about ``block_bytes`` of shingles, the whole sets are compared, and a block returns a
+    spanning forest of the true links; sets outside the largest group of a component that fills several blocks then meet
+    the other blocks.
 
     component_id is the smallest id reachable.  Equal sets fold, by a 64-bit digest.  Null and wordless texts form one
     group; null ids link like any other but name no group that has another.  Texts of any length count whole.  Other
@@ -275,20 +276,21 @@ def similar_groups(
     repeated = each.join(many, "node", "left_semi").where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in columns[1:]])
     sets = lone.unionByName(repeated)
     holders = materialise(sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1"), "op5-holders")
-    # A token of more holders than a tile takes is cut into as many pieces on one side, and met whole on the other.
+    # The holders of a token that no tile takes are cut into pieces, and every two pieces meet in a tile of their own.
     shared = sets.select("node", "n", "fp", F.explode("tokens").alias("token")).join(holders, "token").withColumn("cuts", F.ceil(F.col("holders") / tile).cast("int"))
     own = F.pmod(F.xxhash64("node"), "cuts").cast("int")
-    many_tiles = int((holders.agg(F.sum("holders")).first()[0] or 0) // tile) + 1
+    sent = holders.agg(F.sum(F.col("holders") * F.ceil(F.col("holders") / tile))).first()[0] or 0
+    piles = 8 * (int(sent // tile) + 1)
 
     def compare(batches):
         """Of tiles that lie one after another: a forest of the pairs within the radius."""
         table = pa.Table.from_batches(list(batches))
         if not table.num_rows:
             return table.select(["node"]).rename_columns(["u"]).append_column("v", table.column("node"))
-        key = np.stack([table.column(c).to_numpy() for c in ("token", "a")])
+        key = np.stack([table.column(c).to_numpy() for c in ("token", "a", "c")])
         node, n, side = (table.column(c).to_numpy() for c in ("node", "n", "side"))
         fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
-        order = np.lexsort((node, side, key[1], key[0]))
+        order = np.lexsort((node, side, *key[::-1]))
         cut = np.flatnonzero(np.append(True, (key[:, order][:, 1:] != key[:, order][:, :-1]).any(0)))
         us, vs = [], []
         for i, j in zip(cut, np.append(cut[1:], len(order)), strict=True):
@@ -296,27 +298,30 @@ def similar_groups(
             near = np.bitwise_count(fp[at] ^ fp[at[0]]).sum(1, dtype=np.int32) <= radius
             us.append(node[at[near]])
             vs.append(np.full(int(near.sum()), node[at[0]]))
-            for k in at[~near & (side[at] == 0)].tolist():
-                hit = at[(np.bitwise_count(fp[at] ^ fp[k]).sum(1, dtype=np.int32) <= radius) & (np.minimum(n[at], n[k]) >= similarity * np.maximum(n[at], n[k]) - 1e-9)]
+            # Rows near the first hang together.  Each other row of the first piece meets all; one of the second meets
+            # those near the first, since others met it, or meet it in a tile of its own piece.
+            for k in at[~near].tolist():
+                to = at[near] if side[k] else at
+                hit = to[(np.bitwise_count(fp[to] ^ fp[k]).sum(1, dtype=np.int32) <= radius) & (np.minimum(n[to], n[k]) >= similarity * np.maximum(n[to], n[k]) - 1e-9)]
                 us.append(node[hit])
                 vs.append(np.full(len(hit), node[k]))
         u, v = np.concatenate(us), np.concatenate(vs)
         child, parent = forest(u, v, [(np.arange(len(u)), np.arange(len(u)))])
         return pa.table({"u": child, "v": parent})
 
-    left = shared.select("token", own.alias("a"), F.lit(0).alias("side"), "node", "n", "fp")
-    right = shared.where("cuts > 1").select("token", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("a"), F.lit(1).alias("side"), "node", "n", "fp", own.alias("home"))
-    units = left.unionByName(right.where("home != a").drop("home")).withColumn("pile", F.pmod(F.xxhash64("token", "a"), F.lit(8 * many_tiles)))
+    met = shared.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    a, c = F.least("own", "other"), F.greatest("own", "other")
+    units = met.select("token", a.alias("a"), c.alias("c"), (F.col("own") != a).cast("int").alias("side"), "node", "n", "fp").withColumn("pile", F.pmod(F.xxhash64("token", "a", "c"), F.lit(piles)))
     ship(docs.sparkSession)
     candidates = units.groupBy("pile").applyInArrow(lambda t: compare(t.to_batches()), "u long, v long").where("u != v")
     roots = materialise(components(candidates, "op5-candidates"), "op5-roots")
 
     # Every node of a candidate component, its root included, with the component's size.
     inside = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    sizes = inside.groupBy("root").agg(F.count("*").alias("size"))
-    placed = inside.join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    placed = materialise(placed.join(sets.select("node", "n", "fp"), "node"), "op5-placed")
-    piles = int(placed.count() // block) + 1
+    filled = F.ceil(F.greatest(F.count("*") / block, F.sum("n") * 8 / block_bytes)).cast("int")
+    inside = inside.join(sets.select("node", "n", "fp"), "node")
+    placed = materialise(inside.join(inside.groupBy("root").agg(filled.alias("blocks")), "root"), "op5-placed")
+    piles = int(placed.agg(filled).first()[0]) + 1 if placed.limit(1).count() else 1
 
     def whole(batches):
         for batch in batches:
@@ -346,7 +351,7 @@ def similar_groups(
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     part = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    columns = ["node", "fp", "shingles"]
+    columns = ["node", "n", "fp", "shingles"]
     small = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(piles))).otherwise(F.xxhash64("root", part))
     group = F.when(F.col("blocks") == 1, F.col("root")).otherwise(F.xxhash64("root", part))
     first = ready.select(small.alias("pile"), group.alias("group"), F.lit(0).alias("side"), F.col("node").alias("label"), *columns)
@@ -358,7 +363,7 @@ def similar_groups(
         main = large.groupBy("root", "label").agg(F.count("*").alias("held")).groupBy("root").agg(F.max_by("label", F.struct("held", "label")).alias("main"))
         met = large.join(F.broadcast(main) if main.count() <= 100_000 else main, "root").withColumn("part", part)
         rest = met.where("label != main")
-        rests = rest.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("rests"))
+        rests = rest.groupBy("root").agg(filled.alias("rests"))
         one, other = F.pmod(F.xxhash64("node", F.lit(1)), "rests").cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
         left = rest.join(rests, "root").withColumn("a", one).withColumn("c", F.explode(other)).select("root", "a", "c", F.lit(0).alias("side"), "label", *columns)
         right = met.join(rests, "root").withColumn("a", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).select("root", "a", F.col("part").alias("c"), F.lit(1).alias("side"), "label", *columns)

@@ -199,7 +199,7 @@ def test_similar_groups_are_those_of_exact_jaccard(spark):
     assert sum(0.7 <= j < 0.8 for j in alike.values()) > 20 and sum(0.8 <= j < 0.9 for j in alike.values()) > 20
     find = groups_of(range(len(rows)), lambda a, b: alike[a, b] >= 0.8)
     table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    for how in ({}, {"tile": 3, "block": 3}):
+    for how in ({}, {"tile": 3, "block": 3}, {"tile": 5, "block_bytes": 900}):
         got = {r.doc_id: r.component_id for r in simhash.similar_groups(table, **how).collect()}
         assert got == {k: find(k) for k in range(len(rows))}
     assert simhash.similar_groups(table.where("false")).count() == 0
