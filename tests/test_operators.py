@@ -181,3 +181,24 @@ def test_nearest_takes_the_lowest_parabola(spark):
     for x in found:
         near = [((x.r - r) ** 2 + (x.c - c) ** 2, r * width + c) for s, r, c, hit in rows if hit and s == x.scene]
         assert (x.dist2, x.source) == min(near, default=(None, None))
+
+
+def test_quantile_by_ranges_is_exact(spark):
+    """Many and few values, ties, a null group, NaN and nulls, one value, no group at all, an empty table."""
+    import random
+
+    import numpy as np
+
+    from gridloom.operators.statistics import quantile
+
+    own = random.Random(3)
+    rows = [("wide", own.gauss(0, 1000)) for _ in range(501)] + [("tied", float(own.randint(0, 3))) for _ in range(100)] + [(None, own.random()) for _ in range(40)]
+    rows += [("one", 7.0), ("gone", None), ("gone", float("nan")), ("wide", None), ("wide", float("nan"))]
+    table = spark.createDataFrame(rows, "g string, x double")
+    held = {g: [x for k, x in rows if k == g and x is not None and x == x] for g in ("wide", "tied", None, "one")}
+    for q in (0.0, 0.25, 0.5, 0.98, 1.0):
+        found = {r.g: r.q for r in quantile(table, ["g"], "x", q).collect()}
+        assert found.keys() == held.keys() and all(abs(found[g] - np.quantile(held[g], q)) < 1e-9 for g in held)
+    (all_of_it,) = quantile(table, [], "x", 0.5).collect()
+    assert abs(all_of_it.q - np.median(sum(held.values(), []))) < 1e-9
+    assert quantile(table.where("false"), ["g"], "x", 0.5).count() == 0
