@@ -183,6 +183,19 @@ def test_resampling_equals_loops(spark, monkeypatch, low, high, buckets):
     assert sorted(map(tuple, found.collect()), key=repr) == naive_resampling(rows, target, low, high, buckets, 25, 5, 11)
 
 
+@pytest.mark.parametrize(("low", "high"), [(1, 1), (1, 2)])
+def test_no_row_holds_a_slice(spark, low, high):
+    """Words and n-grams of a slice lie PART to a row and documents one to a row, so executors hold no slice in a row."""
+    rows = [(k, " ".join(f"w{(k * 3_000 + j) % 9_500}" for j in range(4_000)), "en", "s", 1) for k in range(5)]
+    found = resampling.sliced(frame(spark, rows), low, high, "doc_id", "text", "test-slices").collect()
+    held = {name: [len(r[name]) for r in found if r[name] is not None] for name in ("words", "grams", "held")}
+    assert len({r.slice for r in found}) < len(rows) and max(held["words"] + held["grams"]) <= resampling.PART < sum(held["words"])
+    assert len(held["held"]) == len(rows) and max(held["held"]) <= 4_000 * (high - low + 1)
+    goal = spark.createDataFrame([("w1 w2 w9000 W9001",)], "text string")
+    drawn = resampling.resample(frame(spark, rows), goal, percent=50, least_words=1, seed=7, low=low, high=high, buckets=900)
+    assert sorted(map(tuple, drawn.collect()), key=repr) == naive_resampling(rows, ["w1 w2 w9000 W9001"], low, high, 900, 50, 1, 7)
+
+
 def test_resampling_reads_long_texts_and_empty_tables(spark):
     goal = spark.createDataFrame([("long",)], "text string")
     found = {x.doc_id: x for x in resampling.resample(frame(spark, ODD), goal, percent=100, least_words=1).collect()}
