@@ -6,9 +6,9 @@ so every other pair of tiles is skipped.  What is left is compared exactly, bloc
 or and bit counts.  Tiles are cut into blocks of bounded size, so no task holds a whole tile.  A unit of work returns
 not its pairs but a spanning forest of them; connected components then grow by star contraction in Spark.
 
-``similar_groups`` finds sets of shingles of a given similarity.  The radius that this needs is so wide that population
-counts skip few tiles, so there a tile is what shares a band of min-hashes; inside it, set sizes and wide fingerprints,
-by the same exclusive or and bit counts, leave the pairs whose whole sets are compared.
+``similar_groups`` finds sets of shingles of a given similarity by wide fingerprints, in the same way: tiles, blocks,
+exclusive or, forests.  The radius that this needs is so wide that quarters' counts would skip few tiles, so there a tile is
+a class of population counts and one of set sizes; the pairs that are left have their whole sets compared.
 """
 
 from __future__ import annotations
@@ -181,7 +181,7 @@ def digest(found: np.ndarray) -> int:
 WIDE = 4  # 64-bit words of a wide fingerprint
 _own = np.random.default_rng(20240611)
 TURNS = _own.integers(0, 2**63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-DRAWS = _own.integers(0, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SMALL, MORE = 6, 16  # votes of so few shingles tie often: they may differ in so many bits more
 
 
 def stirred(x: np.ndarray) -> np.ndarray:
@@ -198,15 +198,62 @@ def wide_fingerprint(found: np.ndarray) -> np.ndarray:
     return np.packbits(votes * 2 > len(found), bitorder="little").view(np.uint64)
 
 
-def band_tokens(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """For each band, a hash of its number and its ``rows`` min-hashes of the set."""
-    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(found), 1 << 12):
-        np.minimum(least, stirred(found[k : k + (1 << 12), None] * DRAWS[: bands * rows]).min(0), out=least)
-    token = np.arange(1, bands + 1, dtype=np.uint64)
-    for column in least.reshape(bands, rows).T:
-        token = stirred(token * np.uint64(0x9E3779B97F4A7C15) ^ column)
-    return token.view(np.int64)
+def reach(n: np.ndarray, radius: int) -> np.ndarray:
+    """In how many bits sets may differ of which the larger has ``n`` shingles."""
+    return np.where(n <= SMALL, radius + MORE, radius)
+
+
+def linked_wide(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray, radius: int, similarity: float, cells: int = 1 << 17):
+    """Places (i, j) of wide fingerprints of two blocks, both in ascending order of their set sizes ``n`` and ``m``, within
+    ``radius`` bits, where the right set is as large or larger, and not too large for the similarity."""
+    low, high = np.searchsorted(m, n, side="left"), np.searchsorted(m, n / similarity + 1e-9, side="right")
+    k = 0
+    while k < len(n):
+        to = k + max(1, cells // max(1, int(high[k] - low[k])))
+        a, b = int(low[k]), int(high[min(to, len(n)) - 1])
+        to = min(to, k + max(1, 4 * cells // max(1, b - a)), len(n))
+        b = int(high[to - 1])
+        if b > a:
+            bits = np.zeros((to - k, b - a), np.uint16)
+            for w in range(WIDE):
+                bits += np.bitwise_count(left[k:to, w, None] ^ right[None, a:b, w])
+            i, j = np.nonzero(bits <= reach(m[a:b], radius))
+            i, j = i + k, j + a
+            inside = (j >= low[i]) & (j < high[i])
+            yield i[inside], j[inside]
+        k = to
+
+
+def wide_links(sets: DataFrame, radius: int, similarity: float, block: int) -> DataFrame:
+    """Edges (u, v) between nodes of ``sets`` (node, n, fp, ones) whose components are those of all pairs within ``radius`` bits
+    whose sizes allow the similarity.
+
+    A tile is a class of sizes and one of population counts, so wide that such pairs lie in one tile or in adjacent ones.
+    A tile's sets meet those of its own class of sizes and of the next, in blocks of about ``block`` sets a side.
+    """
+    spark = sets.sparkSession
+    tiled = sets.withColumns({"size": F.floor(F.log("n") / (math.log(1 / similarity) + 1e-9)), "counts": F.floor(F.col("ones") / (radius + MORE + 1))})
+    held = {(r["size"], r["counts"]): r["sets"] for r in tiled.groupBy("size", "counts").agg(F.count("*").alias("sets")).collect()}  # some hundred tiles, whatever the input
+    plan = []
+    for size, counts in held:
+        near = [t for t in product((size, size + 1), (counts - 1, counts, counts + 1)) if t in held]
+        blocks, pools = (-(-n // block) for n in (held[size, counts], sum(held[t] for t in near)))
+        plan += [(size, counts, size, counts, 0, blocks, pools)] + [(*t, size, counts, 1, pools, blocks) for t in near]
+    steps = spark.createDataFrame(plan, "size long, counts long, home_size long, home_counts long, side int, own long, other long")
+    met = tiled.join(F.broadcast(steps), ["size", "counts"]).withColumn("own", F.pmod(F.xxhash64("node"), "own")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other") - 1)))
+    first = F.col("side") == 0
+    units = met.select("home_size", "home_counts", F.when(first, F.col("own")).otherwise(F.col("other")).alias("a"), F.when(first, F.col("other")).otherwise(F.col("own")).alias("c"), "side", "node", "n", "fp")
+
+    def compare(t: pa.Table) -> pa.Table:
+        side, node, n = (t.column(c).to_numpy() for c in ("side", "node", "n"))
+        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
+        left, right = (k[np.argsort(n[k], kind="stable")] for k in (np.flatnonzero(side == s) for s in (0, 1)))
+        pairs = linked_wide(fp[left], fp[right], n[left], n[right], radius, similarity)
+        u, v = forest(node[left], node[right], pairs)
+        return pa.table({"u": u, "v": v})
+
+    ship(spark)
+    return units.groupBy("home_size", "home_counts", "a", "c").applyInArrow(compare, "u long, v long").where("u != v")
 
 
 def linked_sets(node: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, radius: int, similarity: float):
@@ -218,7 +265,7 @@ def linked_sets(node: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], la
     mark, label = np.zeros(len(ids) + 1, bool), label.copy()
     out = []
     for i in left.tolist():
-        near = (np.bitwise_count(prints ^ prints[i]).sum(1, dtype=np.int32) <= radius) & (label != label[i])
+        near = (np.bitwise_count(prints ^ prints[i]).sum(1, dtype=np.int32) <= reach(np.maximum(size, size[i]), radius)) & (label != label[i])
         near &= np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-9
         own = ids[edges[i] : edges[i + 1]]
         mark[own] = True
@@ -234,15 +281,15 @@ def linked_sets(node: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], la
 
 
 def similar_groups(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4, slack: int = 24, tile: int = 65_536, block: int = 4096,
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: int = 24, tile: int = 32_768, block: int = 4096,
     block_bytes: int = 1 << 26, doc: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """doc_id, component_id for every row, for sets of shingles of a Jaccard ``similarity`` or more.
 
-    Candidates share one of ``bands`` tokens of ``rows`` min-hashes: of pairs at 0.8, all but 3 in 100,000 do, and fewer
-    are missed above.  The holders of a token are a tile; more than ``tile`` are cut into pieces, of which every two meet,
-    so that no tile holds more than two pieces.  Inside it fingerprints are compared exactly, within the number of bits
-    that the similarity lets differ on average and ``slack`` more, four standard deviations.  A tile returns a spanning forest, whose components hold all candidates.  Inside these, in
+    Candidates are all pairs whose wide SimHash fingerprints differ in no more bits than the similarity lets differ on
+    average and ``slack`` more, four standard deviations, and whose sizes allow the similarity.  ``wide_links`` compares
+    tiles of them exactly, in blocks of ``tile`` fingerprints a side, and returns spanning forests, whose components hold
+    all candidates.  Inside these, in
     blocks of ``block`` sets and about ``block_bytes`` of shingles, the whole sets are compared, and a block returns a
     spanning forest of the true links; sets outside the largest group of a component that fills several blocks then meet
     the other blocks.
@@ -259,62 +306,24 @@ def similar_groups(
             texts = batch.column(1).cast(pa.large_binary()).to_pylist()
             for k in range(0, len(texts), 1000):
                 sets = [shingle_set(t or b"", shingle) for t in texts[k : k + 1000]]
+                prints = [wide_fingerprint(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(k, len(sets)), batch.column(2).slice(k, len(sets)), pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([wide_fingerprint(s).tobytes() for s in sets], pa.binary()), pa.array([band_tokens(s, bands, rows) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                        pa.array([p.tobytes() for p in prints], pa.binary()), pa.array([int(np.bitwise_count(p).sum()) for p in prints], pa.int32()),
                     ],
-                    ["doc_id", "key", "node", "n", "fp", "tokens"],
+                    ["doc_id", "key", "node", "n", "fp", "ones"],
                 )
 
-    each = materialise(map_arrow(held_rows, run, "doc_id long, key long, node long, n long, fp binary, tokens array<long>"), "op5-sets")
+    each = materialise(map_arrow(held_rows, run, "doc_id long, key long, node long, n long, fp binary, ones int"), "op5-sets")
     # A set's text stands for it; rows that repeat the text or the set fold.
     folded = materialise(each.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"), F.count("*").alias("copies")), "op5-folded")
     many = materialise(folded.where("copies > 1").select("node"), "op5-many")
-    columns = ["node", "n", "fp", "tokens"]
+    columns = ["node", "n", "fp", "ones"]
     lone = each.join(many, "node", "left_anti").where("n > 0").select(columns)
     repeated = each.join(many, "node", "left_semi").where("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in columns[1:]])
     sets = lone.unionByName(repeated)
-    holders = materialise(sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1"), "op5-holders")
-    # The holders of a token that no tile takes are cut into pieces, and every two pieces meet in a tile of their own.
-    shared = sets.select("node", "n", "fp", F.explode("tokens").alias("token")).join(holders, "token").withColumn("cuts", F.ceil(F.col("holders") / tile).cast("int"))
-    own = F.pmod(F.xxhash64("node"), "cuts").cast("int")
-    sent = holders.agg(F.sum(F.col("holders") * F.ceil(F.col("holders") / tile))).first()[0] or 0
-    piles = 8 * (int(sent // tile) + 1)
-
-    def compare(batches):
-        """Of tiles that lie one after another: a forest of the pairs within the radius."""
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
-            return table.select(["node"]).rename_columns(["u"]).append_column("v", table.column("node"))
-        key = np.stack([table.column(c).to_numpy() for c in ("token", "a", "c")])
-        node, n, side = (table.column(c).to_numpy() for c in ("node", "n", "side"))
-        fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
-        order = np.lexsort((node, side, *key[::-1]))
-        cut = np.flatnonzero(np.append(True, (key[:, order][:, 1:] != key[:, order][:, :-1]).any(0)))
-        us, vs = [], []
-        for i, j in zip(cut, np.append(cut[1:], len(order)), strict=True):
-            at = order[i:j]
-            near = np.bitwise_count(fp[at] ^ fp[at[0]]).sum(1, dtype=np.int32) <= radius
-            us.append(node[at[near]])
-            vs.append(np.full(int(near.sum()), node[at[0]]))
-            # Rows near the first hang together.  Each other row of the first piece meets all; one of the second meets
-            # those near the first, since others met it, or meet it in a tile of its own piece.
-            for k in at[~near].tolist():
-                to = at[near] if side[k] else at
-                hit = to[(np.bitwise_count(fp[to] ^ fp[k]).sum(1, dtype=np.int32) <= radius) & (np.minimum(n[to], n[k]) >= similarity * np.maximum(n[to], n[k]) - 1e-9)]
-                us.append(node[hit])
-                vs.append(np.full(len(hit), node[k]))
-        u, v = np.concatenate(us), np.concatenate(vs)
-        child, parent = forest(u, v, [(np.arange(len(u)), np.arange(len(u)))])
-        return pa.table({"u": child, "v": parent})
-
-    met = shared.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    a, c = F.least("own", "other"), F.greatest("own", "other")
-    units = met.select("token", a.alias("a"), c.alias("c"), (F.col("own") != a).cast("int").alias("side"), "node", "n", "fp").withColumn("pile", F.pmod(F.xxhash64("token", "a", "c"), F.lit(piles)))
-    ship(docs.sparkSession)
-    candidates = units.groupBy("pile").applyInArrow(lambda t: compare(t.to_batches()), "u long, v long").where("u != v")
-    roots = materialise(components(candidates, "op5-candidates"), "op5-roots")
+    roots = materialise(components(wide_links(sets, radius, similarity, tile), "op5-candidates"), "op5-roots")
 
     # Every node of a candidate component, its root included, with the component's size.
     inside = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

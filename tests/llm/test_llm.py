@@ -205,6 +205,34 @@ def test_similar_groups_are_those_of_exact_jaccard(spark):
     assert simhash.similar_groups(table.where("false")).count() == 0
 
 
+def test_tiles_of_wide_fingerprints_lose_no_pair(spark):
+    """Random sizes and fingerprints around a few centres, in tiny blocks, against all pairs."""
+    own, radius = np.random.default_rng(3), 63
+    centres = [own.random(256) < share for share in (0.2, 0.35, 0.5) for _ in range(5)]
+    bits = np.array([c ^ (own.random(256) < 0.16) for c in centres for _ in range(8)])
+    n = own.integers(1, 40, len(bits))
+    rows = [(k, int(n[k]), np.packbits(b, bitorder="little").tobytes(), int(b.sum())) for k, b in enumerate(bits)]
+    apart = (bits[:, None] ^ bits[None]).sum(2)
+    near = lambda a, b: apart[a, b] <= radius + 16 * (max(n[a], n[b]) <= 6) and min(n[a], n[b]) >= 0.8 * max(n[a], n[b])
+    find = groups_of(range(len(rows)), near)
+    edges = simhash.wide_links(spark.createDataFrame(rows, "node long, n long, fp binary, ones int"), radius, 0.8, block=7).collect()
+    linked = {tuple(sorted((e.u, e.v))) for e in edges}
+    found = groups_of(range(len(rows)), lambda a, b: (a, b) in linked)
+    want = [find(k) for k in range(len(rows))]
+    assert [found(k) for k in range(len(rows))] == want and 20 < len(set(want)) < len(rows)
+
+
+def test_pipeline_near_dedup_loses_no_link_of_short_texts(spark, sf_dir):
+    """Texts of eight words and the same with a ninth share four of five shingles: all such pairs are links."""
+    import corpus_pipeline
+
+    own = random.Random(8)
+    texts = [" ".join(f"{own.getrandbits(40):x}" for _ in range(9)) for _ in range(1_500)]
+    rows = [(k, t.rsplit(" ", 1)[0] if short else t) for i, t in enumerate(texts) for k, short in ((i, True), (i + 10_000, False))]
+    kept = corpus_pipeline.dedup_near(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(1_500))
+
+
 # --- repeats
 
 
