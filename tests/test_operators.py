@@ -202,3 +202,12 @@ def test_quantile_by_ranges_is_exact(spark):
     (all_of_it,) = quantile(table, [], "x", 0.5).collect()
     assert abs(all_of_it.q - np.median(sum(held.values(), []))) < 1e-9
     assert quantile(table.where("false"), ["g"], "x", 0.5).count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_works_no_frame_out_anew_for_every_row(spark):
+    cells = spark.createDataFrame([(0, r, c, (r * 7 + c * 3) % 11 == 0) for r in range(9) for c in range(7)], "scene long, r long, c long, z boolean")
+    assert "unboundedfollowing" not in _plan(distance.nearest(cells, "z", 7))
