@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import geo, solar
 from gridloom.functions import terrain as rules
-from gridloom.operators import distance, graph, hydrology, neighbours, statistics
+from gridloom.operators import calibration, distance, graph, hydrology, neighbours, statistics
 from gridloom.plans import terrain
 
 
@@ -211,3 +211,8 @@ def _plan(df):
 def test_nearest_works_no_frame_out_anew_for_every_row(spark):
     cells = spark.createDataFrame([(0, r, c, (r * 7 + c * 3) % 11 == 0) for r in range(9) for c in range(7)], "scene long, r long, c long, z boolean")
     assert "unboundedfollowing" not in _plan(distance.nearest(cells, "z", 7))
+
+
+def test_filled_gaps_work_no_frame_out_anew_for_every_row(spark):
+    cells = spark.createDataFrame([(0, r, c, None if (r + c) % 3 else r) for r in range(9) for c in range(7)], "scene long, r long, c long, z long")
+    assert "unboundedfollowing" not in _plan(calibration.filled_gaps(cells, "z", 7))
