@@ -116,25 +116,31 @@ def robust_scale(anchors: DataFrame, by: list[str], rel: str = "rel", height: st
 
 
 def leave_one_out(anchors: DataFrame, by: list[str], rel: str = "rel", height: str = "h", weight: str = "w") -> DataFrame:
-    """by, loo_rmse, loo_mae: each anchor predicted by the weighted median of the others' ratios.
+    """by, loo_rmse, loo_mae: each usable anchor predicted by the weighted median of the others' ratios.
 
-    No anchor meets another: without one anchor the median moves along the sorted ratios by at most that anchor's
-    weight, so two running sums and a search inside an ordered array of distinct ratios give it.
+    No anchor meets another.  Without an anchor of weight w the others weigh tw - w, and the running sum falls by w from
+    its ratio on.  So the median is the first ratio whose sum reaches (tw - w) / 2, if that lies below the anchor's; else the
+    first that reaches (tw + w) / 2, and the one after it where that is a ratio which the anchor alone holds.  Both
+    depend on the group and w only, and are found for all weights at once by a running value over the sorted sums.
     """
-    rows = anchors.withColumn("k", F.col(height) / F.col(rel))
+    rows = anchors.where((F.col(rel) > 0.005) & (F.col(height) > 0)).withColumn("k", F.col(height) / F.col(rel))
     folded = rows.groupBy(*by, "k").agg(F.sum(weight).alias("kw"))
     whole = Window.partitionBy(*by)
-    steps = folded.select(*by, "k", "kw", F.sum("kw").over(whole.orderBy("k")).alias("cw"), F.sum("kw").over(whole).alias("tw"), F.lead("k").over(whole.orderBy("k")).alias("after"))
-    # Half of the rest is (tw - w) / 2.  Ratios above the anchor's keep their running sum; its own and those above
-    # lose w.  So the first ratio that reaches the half is searched separately below and from the anchor's own on.
-    ladder = steps.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "cw", "kw"))).alias("ladder"), F.max("tw").alias("tw"))
-    each = rows.join(ladder, by)
-    half = (F.col("tw") - F.col(weight)) / 2
-    others = F.transform(
-        F.filter("ladder", lambda s: ~((s["k"] == F.col("k")) & (s["kw"] <= F.col(weight)))),
-        lambda s: F.struct(s["k"].alias("k"), (s["cw"] - F.when(s["k"] >= F.col("k"), F.col(weight)).otherwise(0.0)).alias("cw")),
-    )
-    scale = F.element_at(F.filter(others, lambda s: s["cw"] >= half), 1)["k"]
+    upto = whole.orderBy("k")
+    steps = folded.select(*by, F.struct("k", "kw", F.lead("k").over(upto).alias("after")).alias("step"), F.sum("kw").over(upto).alias("cw"), F.sum("kw").over(whole).alias("tw"))
+    total = steps.groupBy(*by).agg(F.max("tw").alias("tw"))
+    wanted = rows.select(*by, F.col(weight).alias("own")).distinct().join(total, by)
+    wanted = wanted.select(*by, "own", F.explode(F.array(*[F.struct(F.lit(x).alias("side"), ((F.col("tw") + x * F.col("own")) / 2).alias("at")) for x in (-1, 1)])).alias("x"))
+    empty = F.lit(None).cast(steps.schema["step"].dataType)
+    line = steps.select(*by, F.col("cw").cast("double").alias("at"), "step", F.lit(None).cast(rows.schema[weight].dataType).alias("own"), F.lit(None).cast("int").alias("side"))
+    line = line.unionByName(wanted.select(*by, F.col("x.at").cast("double").alias("at"), empty.alias("step"), "own", "x.side"))
+    # From the largest sum down; of equal ones the steps come first, so a place sought meets the step that just reaches it.
+    reached = F.last("step", ignorenulls=True).over(whole.orderBy(F.desc("at"), F.col("step").isNull(), F.desc("step.k")).rowsBetween(Window.unboundedPreceding, 0))
+    met = line.select(*by, "own", "side", reached.alias("met")).where("side IS NOT NULL")
+    sides = met.groupBy(*by, "own").agg(F.max(F.when(F.col("side") < 0, F.col("met.k"))).alias("below"), F.max(F.when(F.col("side") > 0, F.col("met"))).alias("from"))
+    each = rows.join(sides.withColumnRenamed("own", weight), [*by, weight])
+    alone = (F.col("from.k") == F.col("k")) & (F.col("from.kw") <= F.col(weight))
+    scale = F.when(F.col("below") < F.col("k"), F.col("below")).when(alone, F.col("from.after")).otherwise(F.col("from.k"))
     error = each.select(*by, (scale * F.col(rel) - F.col(height)).alias("e"))
     return error.groupBy(*by).agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("loo_rmse"), F.avg(F.abs("e")).alias("loo_mae"))
 

@@ -216,3 +216,24 @@ def test_nearest_works_no_frame_out_anew_for_every_row(spark):
 def test_filled_gaps_work_no_frame_out_anew_for_every_row(spark):
     cells = spark.createDataFrame([(0, r, c, None if (r + c) % 3 else r) for r in range(9) for c in range(7)], "scene long, r long, c long, z long")
     assert "unboundedfollowing" not in _plan(calibration.filled_gaps(cells, "z", 7))
+
+
+def test_leave_one_out_meets_no_array_of_ratios(spark):
+    """Against plain loops, with equal ratios, weights that tie, and an anchor that cannot be used."""
+    rng = random.Random(3)
+    rows = [(g, rng.choice([0.5, 0.25, 1.0]), float(rng.randint(1, 12)), float(rng.randint(1, 4))) for g in (1, 2, 3) for _ in range(1 + 12 * (g - 1))]
+    held = spark.createDataFrame([*rows, (2, 0.001, 5.0, 3.0)], "g int, rel double, h double, w double")
+    found = statistics.leave_one_out(held, ["g"])
+    assert "collect_list" not in _plan(found)
+    for x in found.collect():
+        mine, off = [r for r in rows if r[0] == x.g], []
+        for k, (_, rel, h, _w) in enumerate(mine):
+            rest = sorted((b / a, w) for j, (_, a, b, w) in enumerate(mine) if j != k)
+            run, half = 0.0, sum(w for _, w in rest) / 2
+            for v, w in rest:
+                run += w
+                if sum(b for a, b in rest if a <= v) >= half:
+                    off.append(v * rel - h)
+                    break
+        wanted = (math.sqrt(sum(e * e for e in off) / len(off)), sum(map(abs, off)) / len(off)) if off else (None, None)
+        assert (x.loo_rmse, x.loo_mae) == (pytest.approx(wanted[0]), pytest.approx(wanted[1])) if off else (x.loo_rmse, x.loo_mae) == wanted
