@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import settle
+
 NMAD = 1.4826
 
 
@@ -15,46 +17,47 @@ def correlation(x: str, y: str) -> Column:
     return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
 
 
+def _met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """A join of groups that may be null; without columns ``right`` is one row."""
+    if not on:
+        return left.crossJoin(F.broadcast(right))
+    right = right.withColumnsRenamed({k: f"{k}_right" for k in on})
+    return left.join(right, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}_right")) for k in on])).drop(*[f"{k}_right" for k in on])
+
+
 def quantile(rows: DataFrame, by: list[str], value: str | Column, q: float, name: str = "q", ranges: int = 64) -> DataFrame:
     """by, name: the exact quantile of each group, between two values in proportion; nulls and NaN do not count, and a
     group of nothing else has no row.  Groups may be null.
 
-    Equal values fold.  A sketch of bounded size cuts each group's values into ``ranges`` of about equal size, counts
-    tell which of them hold the rank, and only these are sorted, each on its own: no task meets a group's values.  Where
-    the sketch is off, ranges are uneven and the result the same."""
+    A sketch of bounded size cuts each group's values into ``ranges`` of about equal size, counts tell which of them hold
+    the rank, and only these are moved and sorted, each on its own: no task meets a group's values, and the others
+    are read but stay where they are.  Where the sketch is off, ranges are uneven and the result the same.  Edges and
+    ranges are written, so the joins with them are chosen by their true size."""
     v, keys = F.col(value) if isinstance(value, str) else value, [f"g{k}" for k in range(len(by))]
-    whole = rows.select(*[F.col(b).alias(g) for b, g in zip(by, keys, strict=True)], v.cast("double").alias("v"))
-    folded = whole.where("v IS NOT NULL AND NOT isnan(v)").groupBy(*keys, "v").agg(F.count("*").alias("n"))
-
-    def met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-        if not on:
-            return left.crossJoin(F.broadcast(right))  # one row
-        right = right.withColumnsRenamed({k: f"{k}_right" for k in on})
-        return left.join(right, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}_right")) for k in on])).drop(*[f"{k}_right" for k in on])
-
+    whole = rows.select(*[F.col(b).alias(g) for b, g in zip(by, keys, strict=True)], v.cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     cuts = F.percentile_approx("v", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), 16 * ranges)
-    edges = folded.groupBy(*keys).agg(cuts.alias("edges"), (q * (F.sum("n") - 1)).alias("place"))
-    ranged, step = met(folded, edges, keys).withColumn("range", F.lit(0)), ranges // 2
+    edges = settle(whole.groupBy(*keys).agg(cuts.alias("edges"), F.count("*").alias("n")).where("n > 0"), "edges")
+    ranged, step = _met(whole, edges, keys).withColumn("range", F.lit(0)), ranges // 2
     while step:  # a search by halves among the edges; ``ranges`` is a power of two
         ranged = ranged.withColumn("range", F.col("range") + F.when(F.get("edges", F.col("range") + (step - 1)) <= F.col("v"), step).otherwise(0))
         step //= 2
-    ranged = ranged.drop("edges")
-    held = ranged.groupBy(*keys, "range").agg(F.sum("n").alias("held"), F.max("place").alias("place"))
+    ranged = ranged.select(*keys, "v", "range", (q * (F.col("n") - 1)).alias("place"))
+    held = ranged.groupBy(*keys, "range").agg(F.count("*").alias("held"), F.max("place").alias("place"))
     held = held.withColumn("upto", F.sum("held").over(Window.partitionBy(*keys).orderBy("range")))
-    wanted = held.where((F.floor("place") < F.col("upto")) & (F.ceil("place") >= F.col("upto") - F.col("held")))
-    inside = met(ranged, wanted.select(*keys, "range", (F.col("upto") - F.col("held")).alias("before")), [*keys, "range"])
+    wanted = settle(held.where((F.floor("place") < F.col("upto")) & (F.ceil("place") >= F.col("upto") - F.col("held"))).select(*keys, "range", (F.col("upto") - F.col("held")).alias("before")), "ranges")
+    inside = _met(ranged, wanted, [*keys, "range"]).groupBy(*keys, "range", "v").agg(F.count("*").alias("n"), F.max("before").alias("before"), F.max("place").alias("place"))
     upto = F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "range").orderBy("v"))
     low, high = (F.min(F.when(F.col("upto") > f("place"), F.col("v"))) for f in (F.floor, F.ceil))
     part = F.max("place") - F.floor(F.max("place"))
-    found = inside.withColumn("upto", upto).groupBy(*keys).agg((low + (high - low) * part).alias("found"))
+    found = inside.withColumn("upto", upto).groupBy(*keys).agg((low + (high - low) * part).alias("found"), F.count("*").alias("some")).where("some > 0")
     return found.select(*[F.col(g).alias(b) for b, g in zip(by, keys, strict=True)], F.col("found").alias(name))
 
 
 def accuracy(pairs: DataFrame, by: list[str], pred: str = "pred", ref: str = "ref", least: int = 10) -> DataFrame:
     """n, rmse, mae, bias, r, nmad, rmse_shift_free by group; all but n are null under ``least`` finite pairs."""
     d = (F.col(pred) - F.col(ref)).alias("d")
-    finite = pairs.where(F.col(pred).isNotNull() & F.col(ref).isNotNull() & ~F.isnan(pred) & ~F.isnan(ref)).select(*by, pred, ref, d)
-    median = quantile(finite, by, "d", 0.5, "med")
+    finite = settle(pairs.where(F.col(pred).isNotNull() & F.col(ref).isNotNull() & ~F.isnan(pred) & ~F.isnan(ref)).select(*by, pred, ref, d), "pairs")
+    median = settle(quantile(finite, by, "d", 0.5, "med"), "medians")
     # The medians are one row per group, and join by the groups' columns.
     off = F.col("d") - F.col("med")
     both = finite.join(median, by) if by else finite.crossJoin(F.broadcast(median))

@@ -237,3 +237,12 @@ def test_leave_one_out_meets_no_array_of_ratios(spark):
                     break
         wanted = (math.sqrt(sum(e * e for e in off) / len(off)), sum(map(abs, off)) / len(off)) if off else (None, None)
         assert (x.loo_rmse, x.loo_mae) == (pytest.approx(wanted[0]), pytest.approx(wanted[1])) if off else (x.loo_rmse, x.loo_mae) == wanted
+
+
+def test_quantile_moves_only_the_ranges_that_hold_the_rank(spark):
+    import re
+
+    rows = spark.range(5000).select((F.col("id") % 3).alias("g"), F.xxhash64("id").cast("double").alias("v"))
+    found = statistics.quantile(rows, ["g"], "v", 0.5)
+    assert not re.search(r"hashpartitioning\(g0#\w+, v#", _plan(found))
+    assert {r.g: r.q for r in found.collect()} == {r.g: r.m for r in rows.groupBy("g").agg(F.median("v").alias("m")).collect()}
