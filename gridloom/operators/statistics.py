@@ -164,16 +164,18 @@ def affine(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 def trimmed_affine(rows: DataFrame, by: list[str], x: str, y: str, trim: float = 0.05, rounds: int = 2) -> DataFrame:
     """affine() from medians and deviations, refitted on the pairs with the smaller residuals; a slope that is not
     positive gives way to the ratio of the deviations."""
-    med = rows.groupBy(*by).agg(F.median(x).alias("mx"), F.median(y).alias("my"))
-    off = rows.join(med, by)
-    mad = off.groupBy(*by).agg(F.median(F.abs(F.col(x) - F.col("mx"))).alias("dx"), F.median(F.abs(F.col(y) - F.col("my"))).alias("dy"), F.first("mx").alias("mx"), F.first("my").alias("my"))
+    pairs = settle(rows.select(*by, F.col(x).alias("x"), F.col(y).alias("y")), "pairs")
+    off = lambda c, m: F.abs(F.col(c) - F.col(m))
+    med = settle(quantile(pairs, by, "x", 0.5, "mx").join(quantile(pairs, by, "y", 0.5, "my"), by), "medians")
+    left = pairs.join(med, by)
+    mad = quantile(left, by, off("x", "mx"), 0.5, "dx").join(quantile(left, by, off("y", "my"), 0.5, "dy"), by).join(med, by)
     fit = mad.select(*by, F.when(F.col("dx") > 1e-9, F.col("dy") / F.col("dx")).otherwise(0.0).alias("a"), "mx", "my")
-    fit = fit.select(*by, "a", (F.col("my") - F.col("a") * F.col("mx")).alias("b"))
+    fit = settle(fit.select(*by, "a", (F.col("my") - F.col("a") * F.col("mx")).alias("b")), "fit")
     for _ in range(rounds):
-        left = rows.join(fit, by).withColumn("res", F.abs(F.col("a") * F.col(x) + F.col("b") - F.col(y)))
-        cut = left.groupBy(*by).agg(F.percentile("res", F.lit(1 - trim)).alias("cut"))
-        kept = left.join(cut, by).where(F.col("res") <= F.col("cut"))
-        fit = affine(kept, by, x, y)
+        left = pairs.join(fit, by).withColumn("res", F.abs(F.col("a") * F.col("x") + F.col("b") - F.col("y")))
+        cut = settle(quantile(left, by, "res", 1 - trim, "cut"), "cut")
+        kept = left.drop("a", "b").join(cut, by).where(F.col("res") <= F.col("cut"))
+        fit = settle(affine(kept, by, "x", "y"), "fit")
     return fit
 
 

@@ -239,6 +239,15 @@ def test_leave_one_out_meets_no_array_of_ratios(spark):
         assert (x.loo_rmse, x.loo_mae) == (pytest.approx(wanted[0]), pytest.approx(wanted[1])) if off else (x.loo_rmse, x.loo_mae) == wanted
 
 
+def test_trimmed_affine_keeps_no_groups_values(spark, monkeypatch):
+    """Medians and cuts come from ranges of values, never from an aggregate that holds a group."""
+    for name in ("median", "percentile"):
+        monkeypatch.setattr(F, name, None)
+    rows = [(g, float(x), 3.0 * x + g + (500.0 if x % 25 == 0 else 0.0)) for g in (1, 2) for x in range(100)]
+    found = {r.g: (r.a, r.b) for r in statistics.trimmed_affine(spark.createDataFrame(rows, "g int, x double, y double"), ["g"], "x", "y").collect()}
+    assert found == {g: (pytest.approx(3.0), pytest.approx(float(g))) for g in (1, 2)}
+
+
 def test_quantile_moves_only_the_ranges_that_hold_the_rank(spark):
     import re
 
