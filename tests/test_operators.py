@@ -255,3 +255,13 @@ def test_quantile_moves_only_the_ranges_that_hold_the_rank(spark):
     found = statistics.quantile(rows, ["g"], "v", 0.5)
     assert not re.search(r"hashpartitioning\(g0#\w+, v#", _plan(found))
     assert {r.g: r.q for r in found.collect()} == {r.g: r.m for r in rows.groupBy("g").agg(F.median("v").alias("m")).collect()}
+
+
+@pytest.mark.parametrize(("height", "width", "tile", "stride"), [(50, 7, 24, 12), (24, 30, 24, 12), (25, 9, 10, 4), (41, 20, 10, 10)])
+def test_tiles_are_reckoned_not_listed(spark, height, width, tile, stride):
+    """A longer grid makes no longer plan, and the tiles are those of ``tile_origins``."""
+    cells = grid_of(spark, [[0.0] * width for _ in range(height)])
+    origins = [neighbours.tile_origins(n, tile, stride) for n in (height, width)]
+    wanted = sorted((r, c, a, b) for r in range(height) for c in range(width) for a in origins[0] if a <= r < a + tile for b in origins[1] if b <= c < b + tile)
+    assert sorted((x.r, x.c, x.tr, x.tc) for x in neighbours.tiled(cells, tile, stride, height, width).collect()) == wanted
+    assert len(_plan(neighbours.tiled(cells, tile, stride, 10_000_000, width))) < 20_000
