@@ -265,3 +265,50 @@ def test_tiles_are_reckoned_not_listed(spark, height, width, tile, stride):
     wanted = sorted((r, c, a, b) for r in range(height) for c in range(width) for a in origins[0] if a <= r < a + tile for b in origins[1] if b <= c < b + tile)
     assert sorted((x.r, x.c, x.tr, x.tc) for x in neighbours.tiled(cells, tile, stride, height, width).collect()) == wanted
     assert len(_plan(neighbours.tiled(cells, tile, stride, 10_000_000, width))) < 20_000
+
+
+@pytest.mark.parametrize("diagonal", [True, False])
+def test_components_across_many_strips(spark, monkeypatch, diagonal):
+    """Strips of two rows, united two at a time; snakes that go up and down through all of them."""
+    from gridloom.operators import strips
+
+    monkeypatch.setattr(strips, "CELLS", 2)
+    monkeypatch.setattr(strips, "FAN", 2)
+    rng, height, width = random.Random(8), 23, 9
+    held = [[(c % 4 == 0 or (c % 4 == 2 and r == (0 if c % 8 == 2 else height - 1))) if s == 0 else rng.random() < 0.55 for c in range(width)] for s in (0, 1) for r in range(height)]
+    held = [held[:height], held[height:]]
+    cells = spark.createDataFrame([(s, r, c, held[s][r][c]) for s in (0, 1) for r in range(height) for c in range(width)], "scene long, r long, c long, m boolean")
+    found = {(x.scene, x.r, x.c): x.label for x in graph.components(cells, "m", width, diagonal).collect()}
+    wanted = {}
+    for s in (0, 1):
+        for r in range(height):
+            for c in range(width):
+                if held[s][r][c] and (s, r, c) not in wanted:
+                    label, todo = r * width + c, [(r, c)]
+                    while todo:
+                        y, x = todo.pop()
+                        if 0 <= y < height and 0 <= x < width and held[s][y][x] and (s, y, x) not in wanted:
+                            wanted[s, y, x] = label
+                            todo += [(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if diagonal or a * b == 0]
+    assert found == wanted
+    wet = graph.reached(cells.withColumn("seed", (F.col("r") == height - 1) & (F.col("c") == 0)), "m", "seed", width)
+    if diagonal:
+        first = {k for k, v in wanted.items() if v == wanted.get((k[0], height - 1, 0))}
+        assert {(x.scene, x.r, x.c) for x in wet.where("reached").collect()} == first and wet.count() == 2 * height * width
+
+
+def test_components_take_few_jobs(spark):
+    """A long snake inside one strip is settled at once, whatever its length."""
+    from gridloom import storage
+    from gridloom.operators import strips
+
+    names, plain = [], storage.settle
+    cells = spark.range(40 * 20).select(F.lit(0).cast("long").alias("scene"), F.expr("id div 20").alias("r"), F.expr("id % 20").alias("c"))
+    snake = cells.withColumn("m", (F.col("r") % 2 == 0) | (F.col("c") == F.when(F.col("r") % 4 == 1, 19).otherwise(0)))
+    for module in (graph, strips):
+        module.settle = lambda df, label="": names.append(label) or plain(df, label)
+    try:
+        assert graph.components(snake, "m", 20).select("label").distinct().count() == 1
+    finally:
+        graph.settle = strips.settle = plain
+    assert len(names) <= 2
