@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import distance, graph, hydrology
@@ -87,18 +87,22 @@ def nearest_building(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distance.nearest(cells, "building", W).select("r", "c", "dist2", "source")
 
 
+def _hard(c: str) -> Column:
+    return F.when(F.col(c) > 120, 3).otherwise(0)
+
+
 def _routes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Arcs with whole costs, and the safe cells."""
     arcs = graph.edges(grid(spark, sf_dir), ["z"], W)
-    hard = lambda c: F.when(F.col(c) > 120, 3).otherwise(0)
-    cost = F.when(F.col("distance") > 1, 141).otherwise(100) * (1 + hard("z_src") + hard("z_dst"))
+    cost = F.when(F.col("distance") > 1, 141).otherwise(100) * (1 + _hard("z_src") + _hard("z_dst"))
     safe = grid(spark, sf_dir).where("z < -250").select("scene", (F.col("r") * W + F.col("c")).alias("node"), F.lit(0).cast("long").alias("dist"))
     return settle(arcs.select("scene", "src", "dst", cost.cast("long").alias("cost")), "routes"), settle(safe, "safe")
 
 
 def _field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arcs, safe = _routes(spark, sf_dir)
-    return settle(graph.next_steps(arcs, settle(graph.shortest(arcs, safe), "times"), safe), "field")
+    cells = grid(spark, sf_dir).withColumn("safe", F.when(F.col("z") < -250, 0))
+    cost = lambda k, distance: ((141 if distance > 1 else 100) * (1 + _hard("z") + _hard(f"z_{k}"))).cast("long")
+    return graph.walked(cells, ["z"], cost, "safe", W).drop("r", "c")
 
 
 def route_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

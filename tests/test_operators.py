@@ -312,3 +312,50 @@ def test_components_take_few_jobs(spark):
     finally:
         graph.settle = strips.settle = plain
     assert len(names) <= 2
+
+
+def test_walks_folds_ends_and_traces_across_ranges(spark, monkeypatch):
+    """Strips of two rows and ranges of ten nodes, against arcs and against single steps along the pointers."""
+    from gridloom.operators import strips
+
+    monkeypatch.setattr(strips, "CELLS", 10)
+    rng, height, width = random.Random(4), 9, 5
+    z = [[float(rng.randint(0, 6)) for _ in range(width)] for _ in range(height)]
+    cells = grid_of(spark, z).withColumn("start", F.when((F.col("c") == 0) & (F.col("r") % 8 == 0), 0))
+    monkeypatch.setattr(graph, "edges", None)  # no table of arcs
+    walk = graph.walked(cells, ["z"], lambda k, d: (d * 100 + F.abs(F.col("z") - F.col(f"z_{k}"))).cast("long"), "start", width)
+    walk = walk.drop("r", "c").cache()
+    held = {x.node: (x.dist, x.next) for x in walk.collect()}
+    cost = lambda a, b: int(math.hypot(a // width - b // width, a % width - b % width) * 100 + abs(z[a // width][a % width] - z[b // width][b % width]))
+    beside = lambda n: [r * width + c for r in range(n // width - 1, n // width + 2) for c in range(n % width - 1, n % width + 2) if 0 <= r < height and 0 <= c < width and r * width + c != n]
+    best, todo = {}, [(0, 0), (0, 8 * width)]
+    while todo:
+        d, n = heapq.heappop(todo)
+        if best.setdefault(n, d) == d:
+            for m in beside(n):
+                if m not in best:
+                    heapq.heappush(todo, (d + cost(m, n), m))
+    assert {n: d for n, (d, _) in held.items()} == best
+    assert all(to is None if n in (0, 8 * width) else to == min((best[m] + cost(n, m), m) for m in beside(n))[1] for n, (_, to) in held.items())
+    total, last, steps = {n: 0 for n in held}, {}, set()
+    for n in held:
+        at, k = n, 0
+        while True:
+            total[at] += n
+            steps.add((n, k, at))
+            if held[at][1] is None:
+                break
+            at, k = held[at][1], k + 1
+        last[n] = at
+    assert {x.node: x.end for x in graph.ends(walk).collect()} == last
+    assert {x.node: x.total for x in graph.folded(walk.withColumn("w", F.col("node")), "w").collect()} == total
+    assert {(x.path, x.step, x.node) for x in graph.traced(walk, walk.select("scene", F.col("node").alias("path"), "node")).collect()} == steps
+    full = hydrology.filled(grid_of(spark, z), "z", 0.5, height, width)
+    level = {x.r * width + x.c: x.level for x in full.collect()}
+    lows = {n: z[n // width][n % width] for n in range(height * width)}
+    for n, v in level.items():
+        if len(beside(n)) == 8:
+            least = min(level[m] for m in beside(n))
+            assert v == (lows[n] if lows[n] > least else least + 0.5)
+        else:
+            assert v == lows[n]
